@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codefold.session import ship
+
 #: Rows and bytes in an Arrow batch: texts can be long, so batches stay small.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
@@ -35,8 +37,9 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get, unless the session already has tighter bounds."""
+def ready(spark: SparkSession) -> None:
+    """Ship this package to the Python workers and bound the Arrow batches they get, unless the session has tighter bounds."""
+    ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(key).rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefold.llm.common import id_text, small_batches
+from codefold.llm.common import id_text, ready
 from codefold.llm.tokens import encoder
 
 #: Words in the broadcast table, and the rows whose words fill it.
@@ -60,7 +60,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     shuffled; the plan is one scan and one map.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    ready(spark)
     rows = id_text(docs)
     table = spark.sparkContext.broadcast(frequent_lengths(rows, tokenizer))
 
