@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codefold.llm.exact_dedup import exact_duplicates
+from codefold.llm.pii import detect_pii
+from codefold.llm.simhash import near_duplicates
 from codefold.llm.token_counts import count_tokens
 
 
@@ -12,10 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_pii(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), "word_bpe_49k.json", limit=2048)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,7 +42,9 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_s
 
 def queries() -> dict:
     return {
+        "op1_pii": op1_pii,
         "op2_token_counts": op2_token_counts,
+        "op3_near_dedup": op3_near_dedup,
         "op6_exact_dedup": op6_exact_dedup,
     }
 
