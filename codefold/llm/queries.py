@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codefold.llm.common import work_dir
+from codefold.llm.decontaminate import benchmark_leaks
 from codefold.llm.exact_dedup import exact_duplicates
 from codefold.llm.pii import detect_pii
+from codefold.llm.quality import classify_quality
 from codefold.llm.simhash import near_duplicates
 from codefold.llm.token_counts import count_tokens
 from codefold.llm.token_shards import read_documents, write_token_shards
@@ -38,11 +40,19 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, manifest)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_warc(table(spark, sf_dir, "pages"), work_dir(spark, "warc"))
     return read_warc(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP9_SQL = """
 WITH p AS (
     SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -72,7 +82,9 @@ def queries() -> dict:
         "op3_near_dedup": op3_near_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_token_shards": op7_token_shards,
+        "op8_quality": op8_quality,
         "op9_warc": op9_warc,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
