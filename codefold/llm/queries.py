@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from codefold.llm.common import work_dir
 from codefold.llm.decontaminate import benchmark_leaks
 from codefold.llm.exact_dedup import exact_duplicates
+from codefold.llm.packing import pack
 from codefold.llm.pii import detect_pii
 from codefold.llm.quality import classify_quality
 from codefold.llm.simhash import near_duplicates
@@ -31,6 +32,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -80,6 +85,7 @@ def queries() -> dict:
         "op1_pii": op1_pii,
         "op2_token_counts": op2_token_counts,
         "op3_near_dedup": op3_near_dedup,
+        "op5_best_fit_packing": op5_best_fit_packing,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_token_shards": op7_token_shards,
         "op8_quality": op8_quality,
