@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codefold.llm.chat import format_chats
 from codefold.llm.common import work_dir
 from codefold.llm.decontaminate import benchmark_leaks
 from codefold.llm.exact_dedup import exact_duplicates
@@ -32,6 +33,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
@@ -85,6 +90,7 @@ def queries() -> dict:
         "op1_pii": op1_pii,
         "op2_token_counts": op2_token_counts,
         "op3_near_dedup": op3_near_dedup,
+        "op4_chat_format": op4_chat_format,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_token_shards": op7_token_shards,
