@@ -1,11 +1,376 @@
-"""Registry of the named queries and of their SQL oracles."""
+"""Registry of the named queries and of their SQL oracles.
+
+Each query runs an operator over a table adapter; the SQL beside it states the
+same result over the plain tables.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codefold.functions.text import canonical_order, matches_filters
+from codefold.operators import account as A
+from codefold.operators import audits, edges, graph, search, web
+from codefold.operators import stacktrace as S
+from codefold.operators import symbols as Y
+from codefold.sources import tables as T
+from codefold.sources.repo import document_files, facts, relations, stale
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+LINES = "lines AS (SELECT CAST(doc_id AS VARCHAR) AS file, CAST(i AS INTEGER) AS line, parts[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents) d, LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i) u)"
+SYMBOLS = """sym AS (SELECT CAST(p_partkey AS VARCHAR) AS symbol_id, p_name AS name, CASE WHEN p_size % 10 = 0 THEN 'class' ELSE 'function' END AS kind,
+    CASE p_type WHEN 'SMALL' THEN 'tests/' WHEN 'LARGE' THEN 'lib/' WHEN 'MEDIUM' THEN 'examples/' ELSE 'app/' END || replace(p_brand, '#', '_') || '.py' AS rel,
+    CAST(p_partkey * 100 + 1 AS INTEGER) AS start_line, CAST(p_partkey * 100 + 1 + p_size AS INTEGER) AS end_line, CASE WHEN p_size % 2 = 1 THEN p_brand END AS owner, p_size, p_type, p_retailprice FROM part)"""
+EDGES = """ev AS (SELECT CAST(l_orderkey AS VARCHAR) AS file, l_linenumber AS line, CAST(l_partkey AS VARCHAR) AS to_id, l_suppkey, CAST(l_quantity AS INTEGER) AS quantity, l_returnflag AS flag,
+    CASE WHEN l_quantity < 3 THEN 1 WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 2 WHEN l_discount = 0 THEN 3 WHEN l_returnflag = 'A' THEN 4 WHEN l_quantity > 45 THEN 5 WHEN l_tax >= 0.07 THEN 6 WHEN l_discount >= 0.05 THEN 8 WHEN l_tax = 0 THEN 9 ELSE 10 END AS rung FROM lineitem),
+  tiers AS (SELECT *, CASE WHEN rung IN (4, 5, 6, 8) THEN 'confirmed' ELSE 'unverified' END AS tier,
+    CASE rung WHEN 1 THEN 'uncertain' WHEN 2 THEN 'possible-dispatch' WHEN 3 THEN 'method-ambiguous' WHEN 4 THEN 'exact-binding' WHEN 5 THEN 'same-class' WHEN 6 THEN 'receiver-hint' WHEN 8 THEN 'scope-match' WHEN 9 THEN 'uncertain' ELSE 'name-only' END AS resolution,
+    CASE rung WHEN 1 THEN 0.25 WHEN 2 THEN 0.5 WHEN 3 THEN 0.35 WHEN 4 THEN 0.98 WHEN 5 THEN 0.92 WHEN 6 THEN 0.8 WHEN 8 THEN 0.65 WHEN 9 THEN 0.25 ELSE 0.4 END AS score FROM ev)"""
+FOREST = """forest AS (SELECT 'r' || r_regionkey AS src, 'n' || n_nationkey AS dst FROM region JOIN nation ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)"""
+RING = """ring AS (SELECT DISTINCT CAST(a AS VARCHAR) AS src, CAST(b AS VARCHAR) AS dst FROM (
+    SELECT p_partkey AS a, CASE WHEN p_size < 8 THEN (p_partkey * 7 + p_size) % (SELECT count(*) FROM part) WHEN p_size < 20 THEN p_partkey - p_size % 3 END AS b FROM part) WHERE b IS NOT NULL AND b >= 0)"""
+BOUND = "(^|[^A-Za-z0-9_])the($|[^A-Za-z0-9_])"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+# text
+
+
+@query("search", f"WITH {LINES} SELECT file, line, text FROM lines WHERE contains(lower(text), 'ertion')")
+def _search(spark, sf):
+    return search.search(T.doc_lines(spark, sf), "erTION")
+
+
+@query("search_regex", f"WITH {LINES} SELECT file, line, text FROM lines WHERE regexp_matches(text, '[0-9]{{3}}-[0-9]{{4}}')")
+def _search_regex(spark, sf):
+    return search.search(T.doc_lines(spark, sf), "[0-9]{3}-[0-9]{4}", regex=True, case_sensitive=True)
+
+
+@query("search_top", f"WITH {LINES} SELECT file, line, text FROM lines WHERE contains(lower(text), 'mail') ORDER BY lower(file), file, line LIMIT 20")
+def _search_top(spark, sf):
+    return search.search(T.doc_lines(spark, sf), "mail", top=20)
+
+
+@query("search_context", f"""WITH {LINES}, m AS (SELECT * FROM lines WHERE contains(text, '@mail'))
+SELECT m.file, m.line, m.text, coalesce(string_agg(CASE WHEN l.line < m.line THEN l.text END, '|' ORDER BY l.line), '') AS before, coalesce(string_agg(CASE WHEN l.line > m.line THEN l.text END, '|' ORDER BY l.line), '') AS after
+FROM m JOIN lines l ON l.file = m.file AND l.line BETWEEN m.line - 2 AND m.line + 2 GROUP BY ALL""")
+def _search_context(spark, sf):
+    lines = T.doc_lines(spark, sf)
+    found = search.with_context(search.search(lines, "@mail", case_sensitive=True), lines, 2)
+    return found.select("file", "line", "text", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after"))
+
+
+@query("ground_set", f"WITH {LINES} SELECT DISTINCT file, line FROM lines WHERE regexp_matches(text, '\\bé\\b')")
+def _ground(spark, sf):
+    return search.ground_set(T.doc_lines(spark, sf), "é")
+
+
+@query("usages", f"WITH {LINES} SELECT file, line, text FROM lines WHERE regexp_matches(text, '(^|[^A-Za-z0-9_$])on([^A-Za-z0-9_$]|$)')")
+def _usages(spark, sf):
+    return search.textual_usages(T.doc_lines(spark, sf), "on")
+
+
+@query("source_range", f"WITH {LINES} SELECT file, line, text FROM lines WHERE file = '0' AND line BETWEEN 2 AND 4")
+def _range(spark, sf):
+    return search.source_range(T.doc_lines(spark, sf), "0", 4, 2)
+
+
+@query("file_lengths", "SELECT CAST(doc_id AS VARCHAR) AS file, CAST(len(string_split(text, chr(10))) - CASE WHEN text = '' OR text LIKE '%' || chr(10) THEN 1 ELSE 0 END AS INTEGER) AS lines FROM documents")
+def _lengths(spark, sf):
+    return search.file_lengths(T.doc_lines(spark, sf))
+
+
+@query("path_filters", "SELECT source || '/' || lang || '/' || doc_id || '.txt' AS rel FROM documents WHERE NOT regexp_matches(lower(source || '/' || lang || '/' || doc_id || '.txt'), '(^|[/._-])fr?s?([/._-]|$)') AND starts_with(source || '/' || lang || '/', 'src0/')")
+def _filters(spark, sf):
+    return T.doc_files(spark, sf).filter(matches_filters(F.col("rel"), ["fr", "f"], "src0")).select("rel")
+
+
+@query("stats", f"""WITH {LINES} SELECT d.lang AS language, count(*) AS files, CAST(sum(len(string_split(d.text, chr(10))) - CASE WHEN d.text = '' OR d.text LIKE '%' || chr(10) THEN 1 ELSE 0 END) AS BIGINT) AS lines, CAST(0 AS BIGINT) AS symbols FROM documents d GROUP BY 1""")
+def _stats(spark, sf):
+    return Y.stats(T.doc_files(spark, sf), T.symbols(spark, sf))
+
+
+@query("canonical_files", "SELECT source || '/' || lang || '/' || doc_id || '.txt' AS rel, lang AS language FROM documents ORDER BY lower(rel), rel LIMIT 50")
+def _canonical(spark, sf):
+    return T.doc_files(spark, sf).select("rel", "language").orderBy(*canonical_order()).limit(50)
+
+
+# symbols
+
+
+@query("find", f"WITH {SYMBOLS} SELECT symbol_id, name, kind, rel FROM sym WHERE regexp_matches(lower(name), '^s.*ring$')")
+def _find(spark, sf):
+    return Y.find(T.symbols(spark, sf), "s*ring").select("symbol_id", "name", "kind", "rel")
+
+
+@query("find_fuzzy", f"""WITH {SYMBOLS} SELECT symbol_id, name, round(CASE WHEN name = 'red' THEN 1000 WHEN lower(name) = 'red' THEN 900 WHEN starts_with(lower(name), 'red') THEN 800 + 300.0 / length(name) WHEN contains(lower(name), 'red') THEN 400 + 300.0 / length(name) ELSE 0 END, 6) AS score FROM sym WHERE contains(lower(name), 'red')""")
+def _fuzzy(spark, sf):
+    return Y.find(T.symbols(spark, sf), "red").select("symbol_id", "name", F.round("score", 6).alias("score"))
+
+
+@query("resolve_symbol", f"""WITH {SYMBOLS}, s AS (SELECT *, CASE WHEN kind = 'class' THEN 1000 ELSE 0 END - CASE WHEN starts_with(rel, 'tests/') THEN 500 ELSE 0 END - CASE WHEN starts_with(rel, 'examples/') THEN 300 ELSE 0 END + CASE WHEN starts_with(rel, 'lib/') THEN 200 ELSE 0 END + CASE WHEN kind = 'function' THEN least(end_line - start_line, 100) ELSE 0 END + 40 AS score FROM sym),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, lower(rel), rel, start_line, kind, symbol_id) AS n, count(*) OVER (PARTITION BY name) AS definitions FROM s)
+SELECT name, symbol_id, rel, start_line, kind, CAST(score AS INTEGER) AS score, definitions FROM r WHERE n = 1""")
+def _resolve(spark, sf):
+    return Y.resolve_symbol(T.symbols(spark, sf))
+
+
+@query("typedef", f"WITH {SYMBOLS} SELECT symbol_id, rel FROM sym WHERE name = 'red widget' AND kind = 'class'")
+def _typedef(spark, sf):
+    return Y.typedef(T.symbols(spark, sf), "red widget").select("symbol_id", "rel")
+
+
+@query("structural_search", f"WITH {SYMBOLS} SELECT symbol_id, name FROM sym WHERE kind = 'function' AND p_size % 4 >= 2 AND contains(lower(p_type), 'econ') AND p_retailprice >= 1000")
+def _structural(spark, sf):
+    return Y.structural_search(T.symbols(spark, sf), kind="function", param="a2", returns="ECON", exported=True).select("symbol_id", "name")
+
+
+@query("unused", f"WITH {SYMBOLS} SELECT symbol_id FROM sym WHERE name NOT IN (SELECT p_name FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity > 49 AND l_returnflag = 'R')")
+def _unused(spark, sf):
+    used = T.evidence(spark, sf).filter("quantity > 49 AND flag = 'R'").join(T.symbols(spark, sf).select(F.col("symbol_id").alias("to_id"), "name"), "to_id")
+    return Y.structural_search(T.symbols(spark, sf), unused_against=used).select("symbol_id")
+
+
+@query("toc", f"""WITH {SYMBOLS}, f AS (SELECT rel, count(*) FILTER (kind = 'function') AS functions, count(*) FILTER (kind = 'class') AS types, CAST(max(end_line) AS BIGINT) AS lines FROM sym GROUP BY rel)
+SELECT rel, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(functions) AS BIGINT) AS functions, CAST(sum(types) AS BIGINT) AS types, CAST(0 AS BIGINT) AS state FROM f GROUP BY ROLLUP (rel)""")
+def _toc(spark, sf):
+    own = T.symbols(spark, sf)
+    files = own.groupBy("file", "rel").agg(F.max("end_line").cast("long").alias("lines"))
+    return Y.toc(files, own)
+
+
+@query("api", f"WITH {SYMBOLS} SELECT symbol_id, name FROM sym")
+def _api(spark, sf):
+    return Y.exported_symbols(T.symbols(spark, sf)).select("symbol_id", "name")
+
+
+@query("evidence_sample", f"WITH {SYMBOLS}, r AS (SELECT symbol_id, kind, rel, row_number() OVER (PARTITION BY kind, rel ORDER BY start_line) AS round FROM sym) SELECT symbol_id, kind, rel, CAST(round AS INTEGER) AS round FROM r ORDER BY round, kind, rel LIMIT 100")
+def _sample(spark, sf):
+    return Y.stratified_sample(T.symbols(spark, sf).select("symbol_id", "kind", "rel", "start_line"), ["kind", "rel"], 100, ["start_line"]).select("symbol_id", "kind", "rel", "round")
+
+
+@query("related", f"""WITH {SYMBOLS}, t AS (SELECT * FROM sym WHERE name = 'red widget' ORDER BY rel, start_line LIMIT 1)
+SELECT s.name, s.rel, s.start_line, CASE WHEN s.rel = t.rel THEN abs(s.start_line - t.start_line) END AS distance, CAST(CASE WHEN contains(s.name, 'widget') THEN 1 ELSE 0 END AS INTEGER) AS shared
+FROM sym s, t WHERE s.symbol_id <> t.symbol_id AND (s.rel = t.rel OR contains(s.name, 'widget')) ORDER BY distance ASC NULLS LAST, shared DESC, s.rel, s.start_line LIMIT 10""")
+def _related(spark, sf):
+    return Y.related(T.symbols(spark, sf), "red widget")
+
+
+# edges and accounts
+
+
+@query("call_tiers", f"WITH {EDGES} SELECT resolution, tier, score, count(*) AS sites FROM tiers GROUP BY ALL")
+def _tiers(spark, sf):
+    return edges.with_tier(T.evidence(spark, sf)).groupBy("resolution", "tier", "score").agg(F.count("*").alias("sites"))
+
+
+@query("histogram", f"WITH {EDGES} SELECT to_id, count(*) FILTER (score > 0.8) AS high, count(*) FILTER (score BETWEEN 0.5 AND 0.8) AS medium, count(*) FILTER (score < 0.5) AS low FROM tiers GROUP BY to_id")
+def _histogram(spark, sf):
+    return edges.histogram(edges.with_tier(T.evidence(spark, sf)), ["to_id"])
+
+
+@query("min_confidence", f"WITH {EDGES} SELECT tier, count(*) AS kept FROM tiers WHERE score >= 0.6 GROUP BY tier")
+def _least(spark, sf):
+    return edges.min_confidence(edges.with_tier(T.evidence(spark, sf)), 0.6).groupBy("tier").agg(F.count("*").alias("kept"))
+
+
+@query("impact", f"WITH {EDGES}, {SYMBOLS} SELECT to_id, file, tier, count(DISTINCT file || ':' || line || ':' || l_suppkey) AS sites FROM tiers WHERE to_id IN (SELECT symbol_id FROM sym WHERE name = 'red widget') GROUP BY ALL")
+def _impact(spark, sf):
+    own = edges.with_tier(T.evidence(spark, sf)).withColumn("call_id", F.concat_ws(":", "file", "line", "receiver"))
+    return edges.impact(own, T.symbols(spark, sf).filter("name = 'red widget'").select(F.col("symbol_id").alias("to_id")))
+
+
+@query("callees", f"WITH {EDGES} SELECT file AS enclosing_id, to_id, count(*) AS calls, CASE WHEN count(*) >= 10 THEN 'core' WHEN count(*) >= 3 THEN 'regular' WHEN count(*) = 1 THEN 'utility' ELSE 'normal' END AS weight FROM tiers WHERE tier = 'confirmed' GROUP BY ALL")
+def _callees(spark, sf):
+    own = edges.with_tier(T.evidence(spark, sf)).select(F.col("file").alias("enclosing_id"), "to_id", F.col("to_id").alias("to_name"), F.lit("").alias("to_file"), "tier")
+    return edges.callees(own).select("enclosing_id", "to_id", "calls", "weight")
+
+
+@query("verify_arity", f"""WITH {EDGES}, {SYMBOLS} SELECT v AS verdict, count(*) AS sites FROM (SELECT CASE WHEN quantity % 5 < least(p_size % 4, 2) OR quantity % 5 > p_size % 4 THEN 'mismatch' ELSE 'valid' END AS v FROM ev JOIN sym ON sym.symbol_id = ev.to_id) GROUP BY v""")
+def _verify(spark, sf):
+    sites = T.evidence(spark, sf).select("to_id", "arg_count", F.lit(False).alias("arg_spread"), F.array().cast("array<string>").alias("keywords")).join(T.symbols(spark, sf).select(F.col("symbol_id").alias("to_id"), "params_structured"), "to_id")
+    return edges.verify(sites).groupBy("verdict").agg(F.count("*").alias("sites"))
+
+
+@query("innermost", f"""WITH {SYMBOLS}, s AS (SELECT DISTINCT rel, CAST(start_line + 3 AS INTEGER) AS line FROM sym), j AS (SELECT s.rel, s.line, y.symbol_id, y.name, row_number() OVER (PARTITION BY s.rel, s.line ORDER BY y.end_line - y.start_line, y.start_line, y.name, y.symbol_id) AS n FROM s JOIN sym y ON y.rel = s.rel AND y.kind = 'function' AND s.line BETWEEN y.start_line AND y.end_line)
+SELECT rel AS file, line, symbol_id AS enclosing_id, name AS enclosing FROM j WHERE n = 1""")
+def _innermost(spark, sf):
+    own = T.symbols(spark, sf)
+    return edges.innermost(own.select("file", (F.col("start_line") + 3).alias("line")), own)
+
+
+@query("account", f"WITH {LINES}, g AS (SELECT file, line, text FROM lines WHERE regexp_matches(text, '\\bthe\\b')) SELECT count(*) AS total, count(*) FILTER (contains(text, 'the,')) AS confirmed, count(*) FILTER (NOT contains(text, 'the,') AND contains(text, 'the of')) AS unverified, CAST(0 AS BIGINT) AS excluded, count(*) FILTER (NOT contains(text, 'the,') AND NOT contains(text, 'the of')) AS non_call, CAST(0 AS BIGINT) AS unparsed, CAST(0 AS BIGINT) AS unsupported, CAST(0 AS BIGINT) AS unaccounted, (SELECT count(*) FROM lines WHERE (contains(text, 'the,') OR contains(text, 'the of')) AND NOT regexp_matches(text, '\\bthe\\b')) AS beyond_text, true AS text_complete FROM g")
+def _account(spark, sf):
+    lines = T.doc_lines(spark, sf)
+    ground = search.ground_set(lines, "the")
+    claim = F.when(F.col("text").contains("the,"), "confirmed").when(F.col("text").contains("the of"), "unverified")
+    claims = lines.select("file", "line", claim.alias("bucket"), F.lit("").alias("reason")).filter("bucket IS NOT NULL")
+    return A.account(ground, claims)
+
+
+@query("account_buckets", f"""WITH {EDGES}, g AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS file, i AS line FROM orders, (SELECT unnest(range(1, 8)) AS i)),
+c AS (SELECT file, line, min(CASE WHEN flag = 'N' THEN 2 WHEN tier = 'confirmed' THEN 0 ELSE 1 END) AS b FROM tiers GROUP BY ALL)
+SELECT CASE c.b WHEN 0 THEN 'confirmed' WHEN 1 THEN 'unverified' WHEN 2 THEN 'excluded' ELSE 'unclassified' END AS bucket, count(*) AS lines FROM g LEFT JOIN c USING (file, line) GROUP BY 1""")
+def _buckets(spark, sf):
+    ground = T.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("file"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("line"))
+    own = edges.with_tier(T.evidence(spark, sf))
+    claims = own.select("file", "line", F.when(F.col("flag") == "N", "excluded").otherwise(F.col("tier")).alias("bucket"), F.col("resolution").alias("reason"))
+    return A.assigned(ground, claims).groupBy("bucket").agg(F.count("*").alias("lines"))
+
+
+# graphs
+
+
+@query("trace", f"""WITH RECURSIVE {FOREST}, t AS (SELECT 'r0' AS node, 0 AS depth UNION ALL SELECT f.dst, t.depth + 1 FROM t JOIN forest f ON f.src = t.node WHERE t.depth < 3),
+k AS (SELECT f.src AS parent, f.dst AS node, t.depth + 1 AS depth, row_number() OVER (PARTITION BY f.src ORDER BY f.dst) AS ord, count(*) OVER (PARTITION BY f.src) AS children FROM t JOIN forest f ON f.src = t.node WHERE t.depth < 3)
+SELECT 'r0' AS root, parent, node, depth, CAST(ord AS INTEGER) AS ord, false AS shown_before, children FROM k WHERE ord <= 10""")
+def _trace(spark, sf):
+    root = spark.createDataFrame([("r0",)], "node string")
+    return graph.tree(T.forest(spark, sf), root, depth=3)
+
+
+@query("blast", f"""WITH RECURSIVE {FOREST}, s AS (SELECT DISTINCT 'o' || o_orderkey AS root FROM orders WHERE o_totalprice > 480000), t AS (SELECT root, root AS node, 0 AS depth FROM s UNION ALL SELECT t.root, f.src, t.depth + 1 FROM t JOIN forest f ON f.dst = t.node WHERE t.depth < 2)
+SELECT root, node, depth FROM t""")
+def _blast(spark, sf):
+    targets = T.table(spark, sf, "orders").filter("o_totalprice > 480000").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
+    every = T.forest(spark, sf)
+    return graph.blast(every, every.limit(0), targets, depth=2).select("root", "node", "depth")
+
+
+@query("reverse_trace", "SELECT DISTINCT 'r' || n_regionkey AS node, 'o' || o_orderkey AS root, 3 AS depth FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_totalprice > 480000")
+def _reverse(spark, sf):
+    targets = T.table(spark, sf, "orders").filter("o_totalprice > 480000").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
+    return graph.reverse_to_roots(T.forest(spark, sf), targets, depth=5).select("node", "root", "depth")
+
+
+@query("reachable", f"WITH RECURSIVE {RING}, t AS (SELECT '1' AS node UNION SELECT r.dst FROM t JOIN ring r ON r.src = t.node) SELECT node FROM t")
+def _reachable(spark, sf):
+    return graph.reachable(T.user_graph(spark, sf), spark.createDataFrame([("1",)], "node string"))
+
+
+@query("deps", f"WITH RECURSIVE {RING}, t AS (SELECT src AS root, src AS node, 0 AS depth FROM (SELECT DISTINCT src FROM ring WHERE length(src) = 2) UNION SELECT t.root, r.dst, t.depth + 1 FROM t JOIN ring r ON r.src = t.node WHERE t.depth < 5) SELECT root, node, min(depth) AS depth FROM t GROUP BY ALL")
+def _deps(spark, sf):
+    own = T.user_graph(spark, sf)
+    return graph.closure(own, own.filter("length(src) = 2").select(F.col("src").alias("node")), depth=5)
+
+
+@query("cycles", f"""WITH RECURSIVE {RING}, e AS (SELECT * FROM ring WHERE src <> dst), t AS (SELECT src AS a, dst AS b FROM e UNION SELECT t.a, e.dst FROM t JOIN e ON e.src = t.b)
+SELECT x.a AS node, min(x.b) AS component FROM t x JOIN t y ON y.a = x.b AND y.b = x.a WHERE x.a IN (SELECT a FROM t WHERE a = b) GROUP BY x.a""")
+def _cycles(spark, sf):
+    return graph.components(T.user_graph(spark, sf))
+
+
+@query("short_cycles", f"""WITH {RING}, e AS (SELECT * FROM ring WHERE src <> dst)
+SELECT a.src || ',' || a.dst AS cycle, 2 AS length FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
+UNION ALL SELECT a.src || ',' || a.dst || ',' || b.dst, 3 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND b.dst <> a.dst""")
+def _short(spark, sf):
+    return graph.short_cycles(T.user_graph(spark, sf), 3).select(F.array_join("cycle", ",").alias("cycle"), "length")
+
+
+@query("affected_tests", "SELECT 'n' || c_nationkey AS test, count(DISTINCT c_custkey) AS confirmed, CAST(0 AS BIGINT) AS possible FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 480000) GROUP BY 1")
+def _affected(spark, sf):
+    every = T.forest(spark, sf)
+    targets = T.table(spark, sf, "orders").filter("o_totalprice > 480000").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
+    tests = T.table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
+    return graph.affected_tests(every, every.limit(0), targets, tests, depth=2)
+
+
+# audits
+
+
+@query("deadcode", f"""WITH {SYMBOLS}, called AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS symbol_id FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 45)
+SELECT verdict, count(*) AS symbols FROM (SELECT CASE WHEN starts_with(rel, 'tests/') THEN 'test' WHEN p_size = 7 THEN 'decorated' WHEN p_retailprice >= 1000 THEN 'exported' WHEN symbol_id IN (SELECT symbol_id FROM called) THEN 'called' ELSE 'candidate' END AS verdict FROM sym) GROUP BY verdict""")
+def _deadcode(spark, sf):
+    own = T.symbols(spark, sf)
+    calls = edges.with_tier(T.evidence(spark, sf).join(T.table(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 45").select(F.col("l_orderkey").cast("string").alias("file"), F.col("l_linenumber").alias("line"), F.col("l_partkey").cast("string").alias("to_id")).distinct(), ["file", "line", "to_id"], "left_semi"))
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    found = audits.deadcode(own, calls.withColumn("enclosing_id", F.lit(None).cast("string")), none("file string, line int, token string"), none("symbol_id string"), none("kind string"))
+    return found.groupBy("verdict").agg(F.count("*").alias("symbols"))
+
+
+@query("entrypoints", "SELECT CAST(p_partkey AS VARCHAR) AS symbol_id, 'flask-route' AS rule, 'http' AS type, 'flask' AS framework, 0.95 AS confidence FROM part WHERE p_size = 7")
+def _entry(spark, sf):
+    own = T.symbols(spark, sf)
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    calls = none("file string, line int, name string, is_method boolean, receiver string, first_string_arg string, is_function_ref boolean")
+    found = audits.entry_points(own, calls, none("file string, rel string, language string"), none("file string, module string"), audits.rules_table(spark))
+    return found.select("symbol_id", "rule", "type", "framework", "confidence")
+
+
+@query("diff_lines", """WITH h AS (SELECT CAST(l_orderkey AS VARCHAR) AS file, l_partkey AS a, l_linenumber % 3 AS an, l_suppkey AS b, CASE WHEN l_linenumber = 1 THEN 1 ELSE l_linenumber % 4 END AS bn FROM lineitem)
+SELECT file, side, count(*) AS n, CAST(sum(line) AS BIGINT) AS total FROM (SELECT file, 'deleted' AS side, unnest(range(a, a + an)) AS line FROM h UNION ALL SELECT file, 'added', unnest(range(b, b + bn)) FROM h) GROUP BY ALL""")
+def _diff(spark, sf):
+    return audits.diff_lines(T.diffs(spark, sf)).groupBy("file", "side").agg(F.count("*").alias("n"), F.sum("line").alias("total"))
+
+
+@query("stacktrace", """SELECT o_orderkey AS trace_id, CASE o_orderkey % 3 WHEN 0 THEN 'f' || o_orderkey WHEN 1 THEN 'run' || o_orderkey ELSE 'com.x.C' || o_orderkey || '.go' END AS function,
+CASE o_orderkey % 3 WHEN 0 THEN 'app/m' || o_orderkey || '.py' WHEN 1 THEN 'src/a' || o_orderkey || '.js' ELSE 'C' || o_orderkey || '.java' END AS path, CAST(o_custkey AS INTEGER) AS line, CASE o_orderkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'node' ELSE 'java' END AS runtime FROM orders""")
+def _stack(spark, sf):
+    return S.parse(T.traces(spark, sf)).select("trace_id", "function", "path", "line", "runtime")
+
+
+@query("stale", "SELECT CAST(doc_id AS VARCHAR) AS rel, CASE doc_id % 4 WHEN 0 THEN 'deleted' WHEN 1 THEN 'changed' ELSE 'added' END AS change FROM documents WHERE doc_id % 4 < 3")
+def _stale(spark, sf):
+    every = T.doc_files(spark, sf).select(F.col("file").alias("rel"), "hash")
+    k = F.col("rel").cast("long") % 4
+    now = every.filter(k != 0)
+    before = every.filter(k != 2).withColumn("hash", F.when(k == 1, F.lit("")).otherwise(F.col("hash")))
+    return stale(now, before)
+
+
+# web
+
+PAGES = """p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages),
+rt AS (SELECT CAST(page_id AS VARCHAR) AS file, CASE WHEN page_id % 5 = 0 THEN 'ALL' ELSE 'GET' END AS method, regexp_replace(CASE WHEN page_id % 2 = 0 THEN regexp_replace(path, '[0-9]+$', '*') ELSE path END, '(.)/$', '\\1') AS np FROM p),
+rq AS (SELECT 'q' || page_id AS file, CASE WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method, regexp_replace(path, '(.)/$', '\\1') AS np FROM p),
+br AS (SELECT rq.file AS request_file, rt.file AS route_file, rt.method AS route_method, CASE WHEN rt.np = rq.np THEN 'exact' ELSE 'partial' END AS match,
+  round(CASE WHEN rt.np = rq.np THEN 1.0 ELSE 0.85 END - CASE WHEN rt.method = 'ALL' THEN 0.1 ELSE 0 END, 2) AS confidence
+  FROM rq JOIN rt ON (rt.method = 'ALL' OR rt.method = rq.method) AND rq.np <> '' AND (rt.np = rq.np OR (contains(rt.np, '*') AND regexp_full_match(rq.np, replace(regexp_replace(rt.np, '([.+?^${}()|])', '\\\\\\1', 'g'), '*', '[^/]+')))))"""
+
+
+@query("endpoint_bridge", f"WITH {PAGES} SELECT request_file, route_file, match, confidence FROM br")
+def _bridge(spark, sf):
+    return web.bridge(T.page_routes(spark, sf), T.page_requests(spark, sf)).select("request_file", "route_file", "match", "confidence")
+
+
+@query("unmatched_routes", f"WITH {PAGES} SELECT file FROM rt WHERE file NOT IN (SELECT route_file FROM br)")
+def _unrouted(spark, sf):
+    routes = T.page_routes(spark, sf)
+    return web.unmatched_routes(routes, web.bridge(routes, T.page_requests(spark, sf))).select("file")
+
+
+@query("unmatched_requests", f"WITH {PAGES} SELECT file FROM rq WHERE file NOT IN (SELECT request_file FROM br)")
+def _unrequested(spark, sf):
+    requests = T.page_requests(spark, sf)
+    return web.unmatched_requests(requests, web.bridge(T.page_routes(spark, sf), requests)).select("file")
+
+
+@query("page_calls", "SELECT page_id || '.html' AS file, 1 + length(substr(html, 1, strpos(html, 'track(') - 1)) - length(replace(substr(html, 1, strpos(html, 'track(') - 1), chr(10), '')) AS line, 'track' AS name, CAST(1 AS INTEGER) AS arg_count FROM pages")
+def _page_calls(spark, sf):
+    pages = document_files(T.table(spark, sf, "pages"), "page_id", "html", "html", ".html")
+    return relations(facts(pages))["calls"].filter("NOT is_function_ref").select("file", F.col("line").cast("long").alias("line"), "name", "arg_count")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def run(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
+    return QUERIES[name](spark, sf_dir)
