@@ -114,11 +114,14 @@ def deadcode(symbols: DataFrame, edges: DataFrame, tokens: DataFrame, entries: D
     audited = symbols.filter("family in ('callable', 'type')")
     called = edges.filter("tier <> 'excluded'").filter(F.col("enclosing_id").isNull() | (F.col("enclosing_id") != F.col("to_id"))).select(F.col("to_id").alias("symbol_id")).distinct().withColumn("called", F.lit(True))
     unread = issues.filter("kind = 'unreadable'").agg((F.count("*") > 0).alias("withdrawn"))
-    spans = audited.select("symbol_id", F.col("name").alias("token"), F.col("file").alias("def_file"), "start_line", "end_line")
-    outside = tokens.join(spans, "token").filter((F.col("file") != F.col("def_file")) | ~F.col("line").between(F.col("start_line"), F.col("end_line")))
-    # the definition line of another symbol of that name is no use
+    spans = audited.select("symbol_id", F.col("name").alias("token"), "file", "start_line", "end_line")
     names = audited.select(F.col("name").alias("token"), "file", F.coalesce("name_line", "start_line").alias("line")).distinct()
-    used = outside.join(names, ["token", "file", "line"], "left_anti").select("symbol_id").distinct().withColumn("mentioned", F.lit(True))
+    # a mention is an occurrence off the name's definition lines; used, if there are more than inside the symbol itself.
+    # Counts meet by name, and only a file's own occurrences meet its spans, so a common name multiplies nothing.
+    mentions = tokens.join(names.select("token").distinct(), "token", "left_semi").join(names, ["token", "file", "line"], "left_anti")
+    total = mentions.groupBy("token").agg(F.count("*").alias("everywhere"))
+    inside = mentions.join(spans, ["token", "file"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line"))).groupBy("symbol_id").agg(F.count("*").alias("inside"))
+    used = spans.select("symbol_id", "token").join(total, "token").join(inside, "symbol_id", "left").filter(F.col("everywhere") > F.coalesce("inside", F.lit(0))).select("symbol_id").withColumn("mentioned", F.lit(True))
     live_owner = symbols.filter("owner IS NOT NULL").join(called, "symbol_id").select(F.col("owner").alias("name"), "file").distinct().withColumn("live_member", F.lit(True))
     starts = entries.filter("symbol_id IS NOT NULL").select("symbol_id").distinct().withColumn("entry", F.lit(True))
     rows = audited.join(called, "symbol_id", "left").join(used, "symbol_id", "left").join(starts, "symbol_id", "left").join(live_owner, ["name", "file"], "left").crossJoin(F.broadcast(unread))
@@ -240,5 +243,5 @@ def side_effects(symbols: DataFrame, imports: DataFrame, code: DataFrame) -> Dat
     text = symbols.select("symbol_id", "file").join(code.select("symbol_id", "code"), "symbol_id").join(imports.groupBy("file").agg(F.collect_set("module").alias("modules")), "file", "left")
     own = F.coalesce("modules", F.array().cast("array<string>"))
     found = [F.when(F.col("code").rlike(p), F.lit(k)) for k, p in bodies.items()]
-    suggested = [F.when(F.exists(own, lambda m, p=p: m.rlike(p)) & ~F.col("code").rlike(bodies[k]), F.lit(f"{k}?")) for k, p in modules.items()]
+    suggested = [F.when(F.exists(own, (lambda p: lambda m: m.rlike(p))(p)) & ~F.col("code").rlike(bodies[k]), F.lit(f"{k}?")) for k, p in modules.items()]
     return text.select("symbol_id", F.array_compact(F.array(*found, *suggested)).alias("effects"))

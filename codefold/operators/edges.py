@@ -39,21 +39,32 @@ def min_confidence(edges: DataFrame, least: float) -> DataFrame:
     return edges.filter(F.col("score") >= least)
 
 
+#: Lines in a bucket of a range join.
+BUCKET = 128
+
+
+def within_ranges(sites: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``sites`` (``file, line``) joined with the ``ranges`` (``file, s, e``) around them, by an equi-join on file and line bucket."""
+    bucketed = ranges.withColumn("__bucket", F.explode(F.sequence((F.col("s") / BUCKET).cast("int"), (F.greatest("s", "e") / BUCKET).cast("int"))))
+    return sites.withColumn("__bucket", (F.col("line") / BUCKET).cast("int")).join(bucketed, ["file", "__bucket"]).filter(F.col("line").between(F.col("s"), F.col("e"))).drop("__bucket")
+
+
 def innermost(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     """For each (file, line) the smallest callable around it, the first in canonical order on ties."""
     spans = symbols.filter("family = 'callable'").select("file", F.col("symbol_id").alias("enclosing_id"), F.col("name").alias("enclosing"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    inside = sites.select("file", "line").distinct().join(spans, "file").filter(F.col("line").between(F.col("s"), F.col("e")))
+    inside = within_ranges(sites.select("file", "line").distinct(), spans)
     best = F.min(F.struct((F.col("e") - F.col("s")).alias("span"), "s", "enclosing", "enclosing_id"))
     return inside.groupBy("file", "line").agg(best.alias("b")).select("file", "line", F.col("b.enclosing_id").alias("enclosing_id"), F.col("b.enclosing").alias("enclosing"))
 
 
-def resolve_calls(calls: DataFrame, symbols: DataFrame, import_edges: DataFrame, inherit_edges: DataFrame | None = None, builtins: tuple[str, ...] = ("console", "Math", "JSON", "Object", "Array", "Promise", "os", "sys", "json", "math")) -> DataFrame:
+def resolve_calls(calls: DataFrame, symbols: DataFrame, import_edges: DataFrame, inherit_edges: DataFrame | None = None, files: DataFrame | None = None, builtins: tuple[str, ...] = ("console", "Math", "JSON", "Object", "Array", "Promise", "os", "sys", "json", "math")) -> DataFrame:
     """Candidate edges from each call to the definitions of its name (or an alias's target), with evidence, tier and reason.
 
     An equi-join on name; evidence comes from joins by file, owner and importer.
     Unknown never confirms. Excluded edges carry the reason: a local shadows the
     name, another definition binds it (its own file's, an imported file's), the
-    argument count can't fit, or the kinds differ.
+    argument count can't fit, or the kinds differ. With ``files``, only
+    definitions in languages that can call each other are candidates.
     """
     sites = calls.withColumn("call_id", F.concat_ws(":", "file", "line", F.col("seq").cast("string"), "name"))
     names = F.when(F.size("resolved_names") > 0, F.col("resolved_names")).otherwise(F.array("name"))
@@ -63,6 +74,9 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, import_edges: DataFrame,
     )
     owners = symbols.filter("family = 'callable'").groupBy(F.col("name").alias("target")).agg(F.countDistinct(F.coalesce("owner", F.lit(""))).alias("owners"), F.count("*").alias("definitions"))
     edges = sites.join(defs, "target").join(owners, "target", "left")
+    if files is not None:
+        family = lambda c: F.when(F.col(c).isin("typescript", "tsx", "html"), "javascript").when(F.col(c) == "cpp", "c").otherwise(F.col(c))
+        edges = edges.join(files.select("file", family("language").alias("own_family")), "file").filter(F.col("own_family") == family("to_language"))
     around = innermost(calls, symbols).join(symbols.select(F.col("symbol_id").alias("enclosing_id"), F.col("owner").alias("own_class")), "enclosing_id")
     edges = edges.join(around, ["file", "line"], "left")
     imports = import_edges.select(F.col("src").alias("file"), F.col("dst").alias("to_file")).distinct().withColumn("imported", F.lit(True))

@@ -58,10 +58,11 @@ def tree(edges: DataFrame, roots: DataFrame, depth: int = 3, up: bool = False, c
     met = closure(edges, roots, depth, up)
     steps = edges.select(F.col("dst" if up else "src").alias("parent"), F.col("src" if up else "dst").alias("node")).distinct()
     found = met.filter(F.col("depth") < depth).select("root", F.col("node").alias("parent"), (F.col("depth") + 1).alias("depth")).join(steps, "parent")
-    order = Window.partitionBy("root", "parent").orderBy("node")
-    found = found.withColumn("ord", F.row_number().over(order)).withColumn("children", F.count("*").over(Window.partitionBy("root", "parent")))
-    if cap is not None:
+    sizes = found.groupBy("root", "parent").agg(F.count("*").alias("children"))
+    found = found.withColumn("ord", F.row_number().over(Window.partitionBy("root", "parent").orderBy("node")))
+    if cap is not None:  # directly above the window, so that Spark keeps no more in each task
         found = found.filter(F.col("ord") <= cap)
+    found = found.join(sizes, ["root", "parent"])
     least = met.select("root", "node", F.col("depth").alias("least"))
     first = Window.partitionBy("root", "node").orderBy("depth", "parent")
     found = found.join(least, ["root", "node"], "left").withColumn("nth", F.row_number().over(first))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefold.functions.text import checked_regex, has_identifier, has_word, matches_filters
+from codefold.operators.edges import within_ranges
 
 
 def lines_of(files: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
@@ -69,9 +70,10 @@ def source_range(lines: DataFrame, file: str, first: int, last: int) -> DataFram
 
 
 def source_of(symbols: DataFrame, lines: DataFrame, max_lines: int | None = None) -> DataFrame:
-    """The code of each symbol as one string, joined by file and then by range."""
-    own = symbols.select("symbol_id", "file", "start_line", "end_line")
-    inside = own.join(lines, "file").filter(F.col("line").between(F.col("start_line"), F.col("end_line") if max_lines is None else F.least("end_line", F.col("start_line") + max_lines - 1)))
+    """The code of each symbol as one string."""
+    end = F.col("end_line") if max_lines is None else F.least("end_line", F.col("start_line") + max_lines - 1)
+    own = symbols.select("symbol_id", "file", F.col("start_line").alias("s"), end.alias("e"))
+    inside = within_ranges(lines.select("file", "line", "text"), own)
     return inside.groupBy("symbol_id", "file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("code"))
 
 

@@ -94,26 +94,26 @@ def requests(calls: DataFrame, files: DataFrame, patterns: DataFrame) -> DataFra
 def bridge(routes: DataFrame, requests_: DataFrame) -> DataFrame:
     """Requests with the routes they may reach: ``match`` exact, partial or uncertain, and ``confidence``.
 
-    Equal paths meet by an equi-join. Wildcard paths meet by the number of
-    segments and the literal first segment where both have one: a wildcard is
-    one segment. The remaining test is a regular expression on few pairs.
+    Equal paths meet by an equi-join. A wildcard path and another meet if the
+    other begins with the whole segments before the first wildcard: one side's
+    stem is joined with the other's prefixes. A wildcard is one segment, so
+    where the pattern must fit the sizes are equal too. The regular expression
+    then looks at few pairs.
     """
-    q = requests_.filter("norm_path <> ''").withColumn("q_id", F.struct("file", "line", "method", "path"))
-    r = routes.filter("norm_path <> ''")
-    left = q.select(F.col("file").alias("request_file"), F.col("line").alias("request_line"), F.col("method").alias("request_method"), F.col("norm_path").alias("request_path"), "interp", "method_inferred")
-    right = r.select(F.col("file").alias("route_file"), F.col("line").alias("route_line"), F.col("method").alias("route_method"), F.col("norm_path").alias("route_path"), "handler")
-    segments = lambda c: F.size(F.split(c, "/"))
+    left = requests_.filter("norm_path <> ''").select(F.col("file").alias("request_file"), F.col("line").alias("request_line"), F.col("method").alias("request_method"), F.col("norm_path").alias("request_path"), "interp", "method_inferred")
+    right = routes.filter("norm_path <> ''").select(F.col("file").alias("route_file"), F.col("line").alias("route_line"), F.col("method").alias("route_method"), F.col("norm_path").alias("route_path"), "handler")
     wild = lambda c: F.col(c).contains("*")
+    size = lambda c: F.size(F.split(c, "/"))
+    stem = lambda c: F.regexp_extract(c, r"^([^*]*/|)", 1)
+    prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.greatest(size(c) - 1, F.lit(0))), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(F.split(c, "/"), 1, i), "/"), F.lit("/")))))
     as_regex = lambda c: F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.col(c), r"([.+?^${}()|\[\]\\])", r"\\$1"), r"\*", "[^/]+"), F.lit("$"))
     equal = left.join(right, F.col("request_path") == F.col("route_path")).withColumn("match", F.when(wild("route_path"), "partial").otherwise("exact"))
-    by_size = F.col("size") == F.col("route_size")
-    l2, r2 = left.withColumn("size", segments("request_path")), right.withColumn("route_size", segments("route_path"))
-    server = l2.join(r2.filter(wild("route_path")).withColumn("rx", as_regex("route_path")), by_size).filter((F.col("request_path") != F.col("route_path")) & F.expr("request_path rlike rx")).withColumn("match", F.lit("partial"))
-    server = server.drop("size", "route_size", "rx")
-    loose = l2.filter(wild("request_path") & F.col("interp")).withColumn("rx", as_regex("request_path")).withColumn("stem", F.regexp_replace("request_path", r"\*+$", ""))
-    client = loose.join(r2, F.expr("substring_index(request_path, '/', 2) = substring_index(route_path, '/', 2) OR substring_index(request_path, '/', 2) LIKE '%*%' OR substring_index(route_path, '/', 2) LIKE '%*%'") & (F.col("request_path") != F.col("route_path")))
-    client = client.filter(~(wild("route_path") & F.expr("request_path rlike concat('^', replace(route_path, '*', '[^/]+'), '$')")))
-    client = client.filter(F.expr("route_path rlike rx") | (F.expr("startswith(route_path, stem)") & wild("route_path"))).withColumn("match", F.lit("uncertain")).drop("size", "route_size", "rx", "stem")
+    differ = F.col("request_path") != F.col("route_path")
+    patterns = right.filter(wild("route_path")).withColumn("stem", stem("route_path")).withColumn("size", size("route_path")).withColumn("rx", as_regex("route_path"))
+    server = left.withColumn("size", size("request_path")).withColumn("stem", prefixes("request_path")).join(patterns, ["stem", "size"]).filter(differ & F.expr("request_path rlike rx")).withColumn("match", F.lit("partial")).drop("stem", "size", "rx")
+    loose = left.filter(wild("request_path") & F.col("interp")).withColumn("stem", stem("request_path")).withColumn("rx", as_regex("request_path")).withColumn("open", F.regexp_replace("request_path", r"\*+$", ""))
+    fits = F.expr("route_path rlike rx") | (F.expr("startswith(route_path, open)") & wild("route_path"))
+    client = loose.join(right.withColumn("stem", prefixes("route_path")), "stem").withColumn("own", as_regex("route_path")).filter(differ & fits & ~(wild("route_path") & F.expr("request_path rlike own"))).withColumn("match", F.lit("uncertain")).drop("stem", "rx", "open", "own")
     both = equal.unionByName(server).unionByName(client)
     inferred = F.col("route_method").isin("ALL", "USE") | (F.col("request_method") == "ALL")
     fits = inferred & ((F.col("route_method") != "USE") | F.col("method_inferred")) | (F.col("route_method") == F.col("request_method"))

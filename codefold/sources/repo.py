@@ -114,7 +114,9 @@ def source_files(spark: SparkSession, root: str, **limits) -> tuple[DataFrame, D
     extensions = ",".join(sorted(x.lstrip(".") for x in EXTENSIONS))
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{extensions}}}").load(root)
     read = read.select(F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "%20", " ").alias("path"), "content")
-    return listed.join(read, "path"), spark.createDataFrame(issues, ISSUES)
+    # Spark leaves empty files out
+    whole = listed.join(read, "path", "left").withColumn("content", F.coalesce("content", F.lit(bytearray())))
+    return whole, spark.createDataFrame(issues, ISSUES)
 
 
 def document_files(table: DataFrame, id_col: str, text_col: str, language: str, suffix: str) -> DataFrame:
