@@ -28,7 +28,7 @@ EDGES = """ev AS (SELECT CAST(l_orderkey AS VARCHAR) AS file, l_linenumber AS li
     CASE WHEN l_quantity < 3 THEN 1 WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 2 WHEN l_discount = 0 THEN 3 WHEN l_returnflag = 'A' THEN 4 WHEN l_quantity > 45 THEN 5 WHEN l_tax >= 0.07 THEN 6 WHEN l_discount >= 0.05 THEN 8 WHEN l_tax = 0 THEN 9 ELSE 10 END AS rung FROM lineitem),
   tiers AS (SELECT *, CASE WHEN rung IN (4, 5, 6, 8) THEN 'confirmed' ELSE 'unverified' END AS tier,
     CASE rung WHEN 1 THEN 'uncertain' WHEN 2 THEN 'possible-dispatch' WHEN 3 THEN 'method-ambiguous' WHEN 4 THEN 'exact-binding' WHEN 5 THEN 'same-class' WHEN 6 THEN 'receiver-hint' WHEN 8 THEN 'scope-match' WHEN 9 THEN 'uncertain' ELSE 'name-only' END AS resolution,
-    CASE rung WHEN 1 THEN 0.25 WHEN 2 THEN 0.5 WHEN 3 THEN 0.35 WHEN 4 THEN 0.98 WHEN 5 THEN 0.92 WHEN 6 THEN 0.8 WHEN 8 THEN 0.65 WHEN 9 THEN 0.25 ELSE 0.4 END AS score FROM ev)"""
+    CAST(CASE rung WHEN 1 THEN 0.25 WHEN 2 THEN 0.5 WHEN 3 THEN 0.35 WHEN 4 THEN 0.98 WHEN 5 THEN 0.92 WHEN 6 THEN 0.8 WHEN 8 THEN 0.65 WHEN 9 THEN 0.25 ELSE 0.4 END AS DOUBLE) AS score FROM ev)"""
 FOREST = """forest AS (SELECT 'r' || r_regionkey AS src, 'n' || n_nationkey AS dst FROM region JOIN nation ON n_regionkey = r_regionkey
   UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)"""
 RING = """ring AS (SELECT DISTINCT CAST(a AS VARCHAR) AS src, CAST(b AS VARCHAR) AS dst FROM (
@@ -116,7 +116,7 @@ def _find(spark, sf):
     return Y.find(T.symbols(spark, sf), "s*ring").select("symbol_id", "name", "kind", "rel")
 
 
-@query("find_fuzzy", f"""WITH {SYMBOLS} SELECT symbol_id, name, round(CASE WHEN name = 'red' THEN 1000 WHEN lower(name) = 'red' THEN 900 WHEN starts_with(lower(name), 'red') THEN 800 + 300.0 / length(name) WHEN contains(lower(name), 'red') THEN 400 + 300.0 / length(name) ELSE 0 END, 6) AS score FROM sym WHERE contains(lower(name), 'red')""")
+@query("find_fuzzy", f"""WITH {SYMBOLS} SELECT symbol_id, name, round(CASE WHEN name = 'red' THEN 1000 WHEN lower(name) = 'red' THEN 900 WHEN starts_with(lower(name), 'red') THEN 800 + 300.0 / length(name) WHEN contains(lower(name), 'red') THEN 400 + 300.0 / length(name) ELSE 0 END, 6)::DOUBLE AS score FROM sym WHERE contains(lower(name), 'red')""")
 def _fuzzy(spark, sf):
     return Y.find(T.symbols(spark, sf), "red").select("symbol_id", "name", F.round("score", 6).alias("score"))
 
@@ -301,7 +301,7 @@ def _deadcode(spark, sf):
     return found.groupBy("verdict").agg(F.count("*").alias("symbols"))
 
 
-@query("entrypoints", "SELECT CAST(p_partkey AS VARCHAR) AS symbol_id, 'flask-route' AS rule, 'http' AS type, 'flask' AS framework, 0.95 AS confidence FROM part WHERE p_size = 7")
+@query("entrypoints", "SELECT CAST(p_partkey AS VARCHAR) AS symbol_id, 'flask-route' AS rule, 'http' AS type, 'flask' AS framework, CAST(0.95 AS DOUBLE) AS confidence FROM part WHERE p_size = 7")
 def _entry(spark, sf):
     own = T.symbols(spark, sf)
     none = lambda ddl: spark.createDataFrame([], ddl)
@@ -337,7 +337,7 @@ PAGES = """p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)',
 rt AS (SELECT CAST(page_id AS VARCHAR) AS file, CASE WHEN page_id % 5 = 0 THEN 'ALL' ELSE 'GET' END AS method, regexp_replace(CASE WHEN page_id % 2 = 0 THEN regexp_replace(path, '[0-9]+$', '*') ELSE path END, '(.)/$', '\\1') AS np FROM p),
 rq AS (SELECT 'q' || page_id AS file, CASE WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method, regexp_replace(path, '(.)/$', '\\1') AS np FROM p),
 br AS (SELECT rq.file AS request_file, rt.file AS route_file, rt.method AS route_method, CASE WHEN rt.np = rq.np THEN 'exact' ELSE 'partial' END AS match,
-  round(CASE WHEN rt.np = rq.np THEN 1.0 ELSE 0.85 END - CASE WHEN rt.method = 'ALL' THEN 0.1 ELSE 0 END, 2) AS confidence
+  CAST(round(CASE WHEN rt.np = rq.np THEN 1.0 ELSE 0.85 END - CASE WHEN rt.method = 'ALL' THEN 0.1 ELSE 0 END, 2) AS DOUBLE) AS confidence
   FROM rq JOIN rt ON (rt.method = 'ALL' OR rt.method = rq.method) AND rq.np <> '' AND (rt.np = rq.np OR (contains(rt.np, '*') AND regexp_full_match(rq.np, replace(regexp_replace(rt.np, '([.+?^${}()|])', '\\\\\\1', 'g'), '*', '[^/]+')))))"""
 
 
