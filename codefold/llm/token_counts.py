@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from codefold.llm.common import id_text, ready
 from codefold.llm.tokens import encoder
 
-#: Words in the broadcast table, and the rows whose words fill it.
-TABLE_WORDS, TABLE_ROWS = 32_768, 2_000
+#: Words in the broadcast table, and the Arrow batches whose words fill it.
+TABLE_WORDS, TABLE_SAMPLES = 32_768, 4
 
 
 class _Lengths(dict):
@@ -29,23 +29,26 @@ class _Lengths(dict):
         return n
 
 
-def frequent_lengths(docs: DataFrame, tokenizer: str, words: int = TABLE_WORDS, rows: int = TABLE_ROWS) -> dict[str, int]:
-    """The most frequent words of a few rows, with their token counts: at most ``words`` entries.
+def frequent_lengths(docs: DataFrame, tokenizer: str, words: int = TABLE_WORDS, samples: int = TABLE_SAMPLES) -> dict[str, int]:
+    """Frequent words of the first few Arrow batches, with their token counts: at most ``words`` entries.
 
-    This only fills a cache. Which rows it looks at changes no count.
+    This only fills a cache: which rows it looks at changes no count. ``take``
+    reads partitions one after another until it has its samples, so the cost
+    stays the same at any size, and no row is shuffled.
     """
 
     def top(batches):
-        own, seen = encoder(tokenizer), Counter()
+        own = encoder(tokenizer)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(own.split(text) or ())
-        found = [(w, n) for w, n in seen.most_common(words) if len(w) <= 64]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["word", "n"])
+            seen = Counter(w for text in batch.column(0).to_pylist() for w in own.split(text) or () if len(w) <= 64)
+            found = seen.most_common(words)
+            yield pa.RecordBatch.from_arrays([pa.array([[w for w, _ in found]]), pa.array([[n for _, n in found]])], ["words", "counts"])
 
-    found = docs.select("text").limit(rows).mapInArrow(top, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).collect()
+    seen = Counter()
+    for r in docs.select("text").mapInArrow(top, "words array<string>, counts array<long>").take(samples):
+        seen.update(dict(zip(r.words, r.counts)))
     own = encoder(tokenizer)
-    return {r.word: len(own.cache[r.word]) // 4 for r in found}
+    return {w: len(own.cache[w]) // 4 for w, _ in seen.most_common(words)}
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, cache_words: int = 1_000_000) -> DataFrame:
