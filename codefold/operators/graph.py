@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _scratch(spark: SparkSession) -> str:
+def scratch(spark: SparkSession) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="codefold-")
@@ -30,7 +30,7 @@ def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None, up: bo
     the last frontier and removes what is known; the rounds end with the depth or
     an empty frontier, so cycles end too.
     """
-    spark, base = edges.sparkSession, _scratch(edges.sparkSession)
+    spark, base = edges.sparkSession, scratch(edges.sparkSession)
     steps = edges.select(F.col("dst" if up else "src").alias("at"), F.col("src" if up else "dst").alias("next")).filter("at IS NOT NULL AND next IS NOT NULL").distinct()
     steps = cut(steps, f"{base}/edges")
     frontier = roots.select(F.col("node").alias("root"), F.col("node")).distinct().withColumn("depth", F.lit(0))
@@ -102,7 +102,7 @@ def components(edges: DataFrame) -> DataFrame:
     reaches it, and takes off, for each colour, the nodes that reach its least
     node inside the colour. All steps are joins over the remaining edges.
     """
-    spark, base, k = edges.sparkSession, _scratch(edges.sparkSession), 0
+    spark, base, k = edges.sparkSession, scratch(edges.sparkSession), 0
     left = cut(edges.select("src", "dst").filter("src <> dst").distinct(), f"{base}/0")
     done: list[str] = []
     schema = None

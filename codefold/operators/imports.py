@@ -115,3 +115,21 @@ def parents(inherit: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFra
 
 def importers(edges: DataFrame, target: str) -> DataFrame:
     return edges.filter(F.col("dst") == target).select("src", "module").distinct()
+
+
+def include_roots(commands: DataFrame) -> dict[str, str]:
+    """Include folders of a compile database (``spark.read.json(path, multiLine=True)``: ``command`` or ``arguments``), relative to the root, as ``roots``."""
+    text = F.coalesce(F.col("command") if "command" in commands.columns else F.lit(None).cast("string"), F.array_join("arguments", " ") if "arguments" in commands.columns else F.lit(""))
+    found = commands.select(F.explode(F.regexp_extract_all(text, F.lit(r"-(?:I|isystem)\s*(\S+)"), F.lit(1))).alias("folder")).distinct()
+    return {f"include:{i}": r.folder.removeprefix("./").rstrip("/") for i, r in enumerate(found.orderBy("folder").limit(1000).collect())}
+
+
+def test_importers(edges: DataFrame, exports: DataFrame, files: DataFrame, target: str, name: str, depth: int = 8) -> DataFrame:
+    """Test files that import a file, directly or through files that export the name again."""
+    own = edges.filter("dst IS NOT NULL").select("src", "dst").distinct()
+    carriers = exports.filter((F.col("name").isin(name, "*")) & F.col("source").isNotNull()).select(F.col("file").alias("src")).distinct()
+    level = found = edges.sparkSession.createDataFrame([(target,)], "dst string")
+    for _ in range(depth):
+        level = own.join(level, "dst").select("src").distinct().join(carriers, "src", "left_semi").select(F.col("src").alias("dst"))
+        found = found.unionByName(level)
+    return own.join(found.distinct(), "dst").select(F.col("src").alias("file")).distinct().join(files.filter("is_test").select("file"), "file", "left_semi")

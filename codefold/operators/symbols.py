@@ -124,3 +124,33 @@ def stratified_sample(rows: DataFrame, strata: list[str], n: int, order: list[st
     """``n`` rows dealt round-robin over the strata: the first of each, then the second, in stratum order."""
     by_round = rows.withColumn("round", F.row_number().over(Window.partitionBy(*strata).orderBy(*order)))
     return by_round.orderBy("round", *strata).limit(n)
+
+
+def members(symbols: DataFrame, owner: str) -> DataFrame:
+    """Callables of a type, by owner or receiver."""
+    return symbols.filter((F.col("family") == "callable") & ((F.col("owner") == owner) | (F.col("receiver") == owner)))
+
+
+def dispatch_names(inherit: DataFrame, symbols: DataFrame, owner: str, method: str, cap: int = 256, depth: int = 8) -> DataFrame:
+    """``name``: the class and the descendants that take the method from it, down to those that override it."""
+    overriding = symbols.filter((F.col("name") == method) & F.col("owner").isNotNull()).select(F.col("owner").alias("child")).distinct()
+    links = inherit.select("child", "parent").distinct().join(overriding, "child", "left_anti")
+    found = level = symbols.sparkSession.createDataFrame([(owner,)], "name string")
+    for _ in range(depth):
+        level = level.join(links, F.col("name") == F.col("parent")).select(F.col("child").alias("name")).distinct()
+        found = found.unionByName(level)
+    return found.distinct().orderBy("name").limit(cap)
+
+
+def usage_counts(symbols: DataFrame, calls: DataFrame, imports: DataFrame) -> DataFrame:
+    """For each name its definitions, calls and imports: counts by name before they are joined."""
+    d = symbols.groupBy("name").agg(F.count("*").alias("definitions"))
+    c = calls.groupBy("name").agg(F.count("*").alias("calls"))
+    i = imports.select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("imports"))
+    zero = lambda k: F.coalesce(k, F.lit(0)).alias(k)
+    return d.join(c, "name", "left").join(i, "name", "left").select("name", "definitions", zero("calls"), zero("imports"), (F.col("definitions") + F.coalesce("calls", F.lit(0)) + F.coalesce("imports", F.lit(0))).alias("total"))
+
+
+def extensions(files: DataFrame) -> DataFrame:
+    """Files and bytes by extension."""
+    return files.groupBy(F.lower(F.regexp_extract("rel", r"(\.[^./]+)$", 1)).alias("extension")).agg(F.count("*").alias("files"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"))

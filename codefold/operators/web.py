@@ -127,3 +127,12 @@ def unmatched_routes(routes: DataFrame, bridges: DataFrame) -> DataFrame:
 
 def unmatched_requests(requests_: DataFrame, bridges: DataFrame) -> DataFrame:
     return requests_.join(bridges.select(F.col("request_file").alias("file"), F.col("request_line").alias("line")).distinct(), ["file", "line"], "left_anti")
+
+
+def file_mounts(calls: DataFrame, imports: DataFrame, import_edges: DataFrame) -> DataFrame:
+    """``parent, router, prefix``: files mounted by ``x.use('/p', router)`` and the like, the router found through its import."""
+    sites = calls.filter("is_method AND name IN ('use', 'register_blueprint', 'include_router', 'mount') AND first_string_arg LIKE '/%'").select("file", "line", F.col("first_string_arg").alias("prefix"))
+    refs = calls.filter("is_function_ref").select("file", "line", F.col("name").alias("local"))
+    called = imports.select("file", "module", F.posexplode("names").alias("k", "name"), "aliases").select("file", "module", F.coalesce(F.nullif(F.get("aliases", F.col("k")), F.lit("")), F.col("name")).alias("local"))
+    dst = import_edges.filter("dst IS NOT NULL").select(F.col("src").alias("file"), "module", "dst")
+    return sites.join(refs, ["file", "line"]).join(called, ["file", "local"]).join(dst, ["file", "module"]).select(F.col("file").alias("parent"), F.col("dst").alias("router"), "prefix").distinct()

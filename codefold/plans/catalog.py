@@ -169,6 +169,43 @@ def _related(spark, sf):
     return Y.related(T.symbols(spark, sf), "red widget")
 
 
+@query("members", f"WITH {SYMBOLS} SELECT symbol_id, name FROM sym WHERE owner = 'Brand#7' AND kind = 'function'")
+def _members(spark, sf):
+    return Y.members(T.symbols(spark, sf), "Brand#7").select("symbol_id", "name")
+
+
+@query("extensions", "SELECT '.txt' AS extension, count(*) AS files, CAST(sum(len(string_split(text, chr(10))) - CASE WHEN text = '' OR text LIKE '%' || chr(10) THEN 1 ELSE 0 END) AS BIGINT) AS lines FROM documents")
+def _extensions(spark, sf):
+    return Y.extensions(T.doc_files(spark, sf))
+
+
+@query("usage_counts", """WITH d AS (SELECT p_name AS name, count(*) AS definitions FROM part GROUP BY 1), c AS (SELECT p_name AS name, count(*) AS calls FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
+SELECT name, definitions, coalesce(calls, 0) AS calls, CAST(0 AS BIGINT) AS imports, definitions + coalesce(calls, 0) AS total FROM d LEFT JOIN c USING (name)""")
+def _usage_counts(spark, sf):
+    own = T.symbols(spark, sf)
+    calls = T.evidence(spark, sf).select("to_id").join(own.select(F.col("symbol_id").alias("to_id"), "name"), "to_id")
+    return Y.usage_counts(own, calls, spark.createDataFrame([], "names array<string>"))
+
+
+@query("call_patterns", """WITH c AS (SELECT CAST(l_partkey AS VARCHAR) AS to_id, l_returnflag, l_linestatus, CAST(l_quantity AS INTEGER) % 5 AS args, l_tax FROM lineitem)
+SELECT to_id, count(*) AS sites, count(*) FILTER (l_returnflag = 'A') AS awaited, count(*) FILTER (l_linestatus = 'O') AS in_loop, CAST(0 AS BIGINT) AS in_try, count(*) AS method, CAST(0 AS BIGINT) AS spread, count(*) FILTER (l_tax > 0) AS assigned, count(*) FILTER (args = 0) AS no_arguments, CAST(0 AS BIGINT) AS passed_on FROM c GROUP BY to_id""")
+def _patterns(spark, sf):
+    own = T.table(spark, sf, "lineitem").select(
+        F.col("l_partkey").cast("string").alias("to_id"), (F.col("l_returnflag") == "A").alias("awaited"), (F.col("l_linestatus") == "O").alias("in_loop"), F.lit(False).alias("in_try"), F.lit(True).alias("is_method"), F.lit(False).alias("arg_spread"),
+        F.when(F.col("l_tax") > 0, F.lit("x")).alias("assigned_to"), (F.col("l_quantity").cast("int") % 5).alias("arg_count"), F.lit(False).alias("is_function_ref"),
+    )
+    return edges.call_patterns(own, ["to_id"])
+
+
+@query("diverse_examples", """WITH c AS (SELECT p_name AS name, 's' || CAST(l_quantity AS INTEGER) % 7 AS shape, CAST(l_orderkey AS VARCHAR) AS file, l_linenumber AS line FROM lineitem JOIN part ON p_partkey = l_partkey),
+g AS (SELECT name, shape, count(*) AS sites, min(ROW(file, line)) AS b FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY sites DESC, shape) AS rank FROM g)
+SELECT name, shape, sites, CAST(rank AS INTEGER) AS rank, struct_extract(b, 1) AS file, struct_extract(b, 2) AS line, CAST(0 AS INTEGER) AS score FROM r WHERE rank <= 3""")
+def _examples(spark, sf):
+    parts = T.symbols(spark, sf).select(F.col("symbol_id").alias("to_id"), "name")
+    own = T.evidence(spark, sf).join(parts, "to_id").select("name", F.concat(F.lit("s"), (F.col("quantity") % 7).cast("string")).alias("shape"), "file", "line", F.lit(0).alias("seq"), F.lit(None).cast("string").alias("assigned_to"), F.lit(False).alias("awaited"), F.lit(False).alias("in_try"))
+    return edges.diverse_examples(own)
+
+
 # edges and accounts
 
 

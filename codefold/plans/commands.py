@@ -45,7 +45,7 @@ class Catalog:
     def edges(self) -> DataFrame:
         """Resolved calls, written once to the shared folder: every command reads them."""
         found = edges.resolve_calls(self.calls, self.symbols, self.import_edges.filter("dst IS NOT NULL"), self.inherit, self.files)
-        return graph.cut(found, graph._scratch(self.spark))
+        return graph.cut(found, graph.scratch(self.spark))
 
     def call_graph(self, tier: str) -> DataFrame:
         return self.edges.filter((F.col("tier") == tier) & F.col("enclosing_id").isNotNull()).select(F.col("enclosing_id").alias("src"), F.col("to_id").alias("dst")).distinct()
@@ -54,6 +54,13 @@ class Catalog:
     def entries(self) -> DataFrame:
         return audits.entry_points(self.symbols, self.calls, self.files, self.imports, audits.rules_table(self.spark))
 
+    @cached_property
+    def reachable(self) -> DataFrame:
+        """``symbol_id`` of what entry points, framework hooks and top-level calls reach over edges of either tier."""
+        seeds = self.entries.filter("symbol_id IS NOT NULL").select(F.col("symbol_id").alias("node")).unionByName(self.symbols.filter("entry_kind IS NOT NULL").select(F.col("symbol_id").alias("node"))).unionByName(self.edges.filter("enclosing_id IS NULL AND tier <> 'excluded'").select(F.col("to_id").alias("node")))
+        found = graph.reachable(self.call_graph("confirmed").unionByName(self.call_graph("unverified")), seeds.distinct())
+        return found.select(F.col("node").alias("symbol_id"))
+
     def symbol(self, name: str, file: str | None = None, class_name: str | None = None, line: int | None = None) -> DataFrame:
         """The definition meant: pinned by handle, file, class or line, else the best one."""
         parts = name.split(":")
@@ -134,11 +141,14 @@ def trace(c: Catalog, name: str, direction="callees", to=None, depth: int | None
     return graph.tree(sure, root, depth or 3, cap=None if all else 10)
 
 
-def impact(c: Catalog, name: str | None = None, file=None, class_name=None, line=None, diff: DataFrame | None = None, before: DataFrame | None = None) -> DataFrame:
+def impact(c: Catalog, name: str | None = None, file=None, class_name=None, line=None, diff: DataFrame | None = None, before: DataFrame | None = None, unreachable_only=False) -> DataFrame:
     if name is None:
         changed = audits.changed_symbols(audits.diff_lines(diff), before if before is not None else c.symbols, c.symbols)
         return audits.diff_impact(changed, c.symbols, c.edges)
-    return edges.impact(c.edges, c.symbol(name, file, class_name, line).select(F.col("symbol_id").alias("to_id")))
+    own = c.edges
+    if unreachable_only:
+        own = own.join(c.reachable.select(F.col("symbol_id").alias("enclosing_id")), "enclosing_id", "left_anti")
+    return edges.impact(own, c.symbol(name, file, class_name, line).select(F.col("symbol_id").alias("to_id")))
 
 
 def account(c: Catalog, name: str) -> DataFrame:
@@ -179,7 +189,7 @@ def plan(c: Catalog, name: str, rename_to=None, add_param=None, remove_param=Non
 
 def repo_report(c: Catalog, sections=("summary",), top: int = 10) -> dict[str, DataFrame]:
     made = {
-        "summary": lambda: reporting.orient(c.files, c.symbols, c.entries), "files": lambda: symbols.toc(c.files, c.symbols), "stats": lambda: symbols.stats(c.files, c.symbols), "kinds": lambda: symbols.kinds(c.symbols), "health": lambda: reporting.blind_spots(c.calls, c.imports, c.file_issues),
+        "summary": lambda: reporting.orient(c.files, c.symbols, c.entries), "files": lambda: symbols.toc(c.files, c.symbols), "stats": lambda: symbols.stats(c.files, c.symbols), "kinds": lambda: symbols.kinds(c.symbols), "extensions": lambda: symbols.extensions(c.files), "usage": lambda: symbols.usage_counts(c.symbols, c.calls.filter("NOT is_function_ref"), c.imports), "health": lambda: reporting.blind_spots(c.calls, c.imports, c.file_issues),
         "trust": lambda: reporting.trust(c.edges, c.file_issues), "hot": lambda: reporting.hot(c.edges, c.symbols, top), "folders": lambda: reporting.dense_folders(c.files, c.symbols),
         "sample": lambda: symbols.stratified_sample(c.symbols.select("symbol_id", "language", "kind", "rel", "start_line"), ["language", "kind"], 200, ["rel", "start_line"]),
     }
@@ -216,7 +226,8 @@ def entrypoints(c: Catalog, type=None, framework=None, exclude=None, limit=None)
 def endpoints(c: Catalog, view="bridge", method=None, prefix=None, framework=None, hide_uncertain=False) -> DataFrame:
     """``view``: routes, requests, bridge, unmatched-routes or unmatched-requests."""
     patterns = web.patterns_table(c.spark)
-    routes = web.call_routes(c.calls, c.files, patterns).unionByName(web.decorator_routes(c.symbols)).unionByName(web.file_routes(c.files, c.exports))
+    called = web.mounted(web.call_routes(c.calls, c.files, patterns).withColumn("router", F.col("file")), web.file_mounts(c.calls, c.imports, c.import_edges)).drop("router")
+    routes = called.unionByName(web.decorator_routes(c.symbols)).unionByName(web.file_routes(c.files, c.exports))
     asked = web.requests(c.calls, c.files, patterns)
     if method:
         routes, asked = (x.filter(F.col("method").isin(method.upper(), "ALL")) for x in (routes, asked))
