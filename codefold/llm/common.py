@@ -56,12 +56,10 @@ def collapsed(text: Column) -> Column:
     return F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", " ")
 
 
-def put_file(uri: str, data: bytes) -> None:
-    """Write a file of any store that pyarrow knows: under a temporary name first, then moved into place."""
+def move_into_place(store, temporary: str, path: str) -> None:
+    """Give a whole file its name. A file of that name is what an earlier try of the same task left: it goes, as some stores don't replace files."""
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(uri)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(temporary := f"{path}.{uuid.uuid4().hex}.tmp") as out:
-        out.write(data)
+    if store.get_file_info(path).type != fs.FileType.NotFound:
+        store.delete_file(path)
     store.move(temporary, path)

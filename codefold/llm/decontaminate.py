@@ -67,6 +67,11 @@ def similarity(a: Counter, b: Counter) -> float:
     return shared / (sum(a.values()) + sum(b.values()) - shared) if shared else 0.0
 
 
+def _stretches(starts: np.ndarray, most: int = 4096) -> list[np.ndarray]:
+    """Ascending starts in parts that lie in one stretch of ``most`` words each, so that a long text's bits are never all in memory."""
+    return np.split(starts, np.flatnonzero(np.diff(starts // most)) + 1) if len(starts) else []
+
+
 class Matcher:
     """All items of a pass. Items are grouped by their number of words; each group has its own windows and index."""
 
@@ -118,8 +123,7 @@ class Matcher:
             marks[hits + 1] = 1
             marks = np.cumsum(marks)
             starts = np.flatnonzero(marks[span:] - marks[: len(marks) - span] >= max(1, need))
-            for low in range(0, len(starts), 4096):
-                part = starts[low : low + 4096]
+            for part in _stretches(starts):
                 first = int(part[0])
                 found = window_fingerprints(hashes[first : int(part[-1]) + span], part - first, span)
                 width = 64 // self.blocks

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefold.llm.common import id_text, ready, stored
+from codefold.llm.common import id_text, move_into_place, ready, stored
 from codefold.llm.tokens import encoder
 
 LENGTH, ROWS, END = 2048, 256, 0
@@ -64,7 +64,7 @@ class _Shard:
         for (path, stream, writer), suffix in ((self.tokens, ".arrow"), (self.index, ".docs.arrow")):
             writer.close()
             stream.close()
-            self.store.move(path, f"{self.folder}/{self.name}{suffix}")
+            move_into_place(self.store, path, f"{self.folder}/{self.name}{suffix}")
         return f"{self.uri}/{self.name}.arrow", f"{self.uri}/{self.name}.docs.arrow"
 
 

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefold.llm.common import ready, stored, work_dir
+from codefold.llm.common import move_into_place, ready, stored, work_dir
 
 #: Compressed bytes from which a new file begins, and payload bytes from which equal payloads become revisits.
 ROLL, REVISIT = 64 << 20, 1000
@@ -82,7 +82,7 @@ class _Roller:
         if self.out is not None:
             self.out.close()
             name = f"part-{self.shard:06d}-{self.file:04d}.warc.gz"
-            self.store.move(self.temporary, f"{self.folder}/{name}")
+            move_into_place(self.store, self.temporary, f"{self.folder}/{name}")
             self.done.append((self.shard, self.file, f"{self.uri}/{name}", self.records, self.size, self.first, self.last))
             self.out, self.file = None, self.file + 1
 
