@@ -87,8 +87,8 @@ def drop_exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, bat
     odd = stored(odd.select(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "stays"), work_dir(spark, "dropped"))
     whole = docs.select(F.struct("*").alias(row), F.col("doc_id").cast("long").alias(key), digest_of(F.coalesce(F.col("text"), F.lit(""))).alias(digest))
     same = F.col(digest).eqNullSafe(F.col("of")) & F.col(key).eqNullSafe(F.col("id"))
-    once = whole.join(odd, same, "left_anti").select(f"{row}.*")
+    once = whole.join(odd.hint("merge"), same, "left_anti").select(f"{row}.*")
     repeated = odd.filter("stays")
     if repeated.isEmpty():
         return once
-    return once.unionByName(whole.join(repeated, same, "left_semi").dropDuplicates([digest]).select(f"{row}.*"))
+    return once.unionByName(whole.join(repeated.hint("merge"), same, "left_semi").dropDuplicates([digest]).select(f"{row}.*"))

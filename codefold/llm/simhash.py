@@ -174,10 +174,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs``, all columns, whose ``doc_id`` is the smallest of its group; one document of each group stays.
 
-    Rows that share a ``doc_id`` count as one document. Only the ids that go are
-    joined with the documents.
+    Rows that share a ``doc_id`` count as one document. The ids that go meet the
+    documents in a sort-merge anti-join, at any size.
     """
     gone = near_duplicates(docs, radius, shingle).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = stored(gone.select(F.col("doc_id").alias("__cf_gone")), work_dir(docs.sparkSession, "near"))
     whole = docs.select(F.struct("*").alias("__cf_row"), F.col("doc_id").cast("long").alias("__cf_id"))
-    return whole.join(gone, F.col("__cf_id").eqNullSafe(F.col("__cf_gone")), "left_anti").select("__cf_row.*")
+    return whole.join(gone.hint("merge"), F.col("__cf_id").eqNullSafe(F.col("__cf_gone")), "left_anti").select("__cf_row.*")
