@@ -56,6 +56,33 @@ def collapsed(text: Column) -> Column:
     return F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", " ")
 
 
+#: Keys that a broadcast of hot keys holds at most, and rows below which a key is never hot.
+HOT_KEYS, HOT_ROWS = 10_000, 1_000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join with ``facts``, which has one row for each ``key`` and says in ``size`` how many of the ``total`` rows have it.
+
+    Keys with over a ten-thousandth of the rows, of which there are fewer than
+    ``HOT_KEYS``, are broadcast, so their rows stay where they are; the others
+    meet by a sort-merge join, in which no key has more than that share.
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(facts.filter(F.col(size) > most))
+    cold = facts.filter(F.col(size) <= most).hint("merge")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def join_salted(rows: DataFrame, facts: DataFrame, key: str, by: str, parts: int = 4) -> DataFrame:
+    """Inner join with ``facts``, which has one row for each ``key``, on the key and a salt from ``by``.
+
+    A key's rows are dealt over ``parts``, and as both sides are shuffled for the
+    join itself, Spark can split a large partition further.
+    """
+    salt = F.explode(F.array(*(F.lit(k).cast("long") for k in range(parts))))
+    return rows.withColumn("__cf_salt", F.pmod(F.xxhash64(by), F.lit(parts))).join(facts.withColumn("__cf_salt", salt), [key, "__cf_salt"]).drop("__cf_salt")
+
+
 def move_into_place(store, temporary: str, path: str) -> None:
     """Give a whole file its name. A file of that name is what an earlier try of the same task left: it goes, as some stores don't replace files."""
     from pyarrow import fs

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefold.llm.common import collapsed, id_text, shared_dir, stored, work_dir
+from codefold.llm.common import collapsed, id_text, join_hot, shared_dir, stored, work_dir
 
+#: Least number of buckets; a new index has as many as a shuffle has partitions, so that joins move only the other side.
 BUCKETS = 64
 
 
@@ -21,16 +22,16 @@ class DigestIndex:
     """Digests seen so far with the document that stays, bucketed and sorted by digest.
 
     The table lies below the shared folder (or at ``path``), so that another
-    session can open it again by name and path. ``buckets`` should grow with the
-    digests expected: some millions in a bucket are fine.
+    session can open it again by name, path and buckets. ``buckets`` should grow
+    with the digests expected: some millions in a bucket are fine.
     """
 
-    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
+        self.spark, self.buckets = spark, buckets or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.name = name or f"digests_{uuid.uuid4().hex}"
         self.path = path or f"{shared_dir(spark)}/codefold/{self.name}"
         if not spark.catalog.tableExists(self.name):
-            spark.sql(f"CREATE TABLE {self.name} (digest STRING, keep_id BIGINT, batch BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'")
+            spark.sql(f"CREATE TABLE {self.name} (digest STRING, keep_id BIGINT, batch BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -46,12 +47,12 @@ def _decided(docs: DataFrame, index: DigestIndex | None, batch: int) -> DataFram
     spark = docs.sparkSession
     index = index or DigestIndex(spark)
     rows = stored(id_text(docs).select("doc_id", digest_of(F.col("text")).alias("digest")), work_dir(spark, "digests"))
-    groups = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("group_size"))
+    groups = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("group_size")), work_dir(spark, "groups"))
     index.append(groups.select("digest", F.col("first_id").alias("keep_id")), batch)
     facts = groups.drop("first_id").join(index.table().hint("merge"), "digest")
     counted = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("copies"))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("batch") == batch)
-    return counted.join(facts.hint("merge"), "digest").withColumn("stays", stays).drop("batch")
+    return join_hot(counted, facts, "digest", "group_size", rows.count()).withColumn("stays", stays).drop("batch")
 
 
 def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, batch: int = 0) -> DataFrame:
@@ -66,9 +67,9 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, batch: i
     other than ``doc_id`` and ``text`` are not read. Each batch of an index
     needs a number of its own.
 
-    Rows are counted by (digest, id) before anything is moved by digest, and the
-    digest's row joins back by a sort-merge join, whose large partitions Spark
-    splits, so one text may hold any share of the rows.
+    Rows are counted by (digest, id) before anything is moved by digest. The
+    facts of digests with a large share of the rows are broadcast (a bounded
+    number of them), so one text may hold any share.
     """
     numbered = _decided(docs, index, batch).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return numbered.select("doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("copy") == 1)).alias("kept"), F.col("digest").alias("text_sha256"))
@@ -77,9 +78,10 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, batch: i
 def drop_exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, batch: int = 0) -> DataFrame:
     """The rows of ``docs``, all columns, that ``exact_duplicates`` keeps: one for each text.
 
-    Only the ids and digests of rows that go are joined with the documents, so
-    Spark broadcasts them where they are few. Of repeated rows that agree in id
-    and text any one stays, with its other columns.
+    The ids and digests of rows that go meet the documents in a sort-merge
+    anti-join by (digest, id), at any size: the texts move once, and copies of
+    one text are spread by their ids. Of repeated rows that agree in id and text
+    any one stays, with its other columns.
     """
     spark = docs.sparkSession
     key, digest, row = "__cf_id", "__cf_digest", "__cf_row"
