@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefold.llm.common import stored, work_dir
+from codefold.llm.common import join_salted, stored, work_dir
 
 
 class Forest:
@@ -36,15 +36,15 @@ def connected_components(links: DataFrame, name: str = "components", most_rounds
 
     Alternates large-star and small-star steps until nothing changes; the rounds
     grow with the logarithm of the nodes. Each round is written to the shared
-    folder. No component is gathered: a hub's links are joined with the one row
-    that holds its minimum. An empty table gives an empty result.
+    folder. No component is gathered: a hub's links are dealt over several tasks,
+    each with the one row that holds its minimum. An empty table gives an empty result.
     """
     spark, base = links.sparkSession, work_dir(links.sparkSession, name)
     edges = stored(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{base}/0")
     state = None
     for k in range(1, most_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_salted(both, _least(both), "u", "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = _least(large)
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{base}/{k}")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codefold.llm.common import id_text, ready, stored, work_dir
+from codefold.llm.common import id_text, join_salted, ready, stored, work_dir
 from codefold.llm.components import Forest, connected_components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     roots = connected_components(fingerprint_links(nodes.select("fp"), radius))
     placed = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = placed.join(named, "root").select("fp", "component_id")
+    found = join_salted(placed, named, "root", "fp").select("fp", "component_id")
     return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
