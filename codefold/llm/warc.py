@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefold.llm.common import move_into_place, ready, stored, work_dir
+from codefold.llm.common import join_hot, move_into_place, ready, stored, work_dir
 
 #: Compressed bytes from which a new file begins, and payload bytes from which equal payloads become revisits.
 ROLL, REVISIT = 64 << 20, 1000
@@ -110,8 +110,8 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, revisit: int = R
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"), F.sha2(payload, 256).alias("digest"))
     large = stored(rows.filter(F.octet_length("html") >= revisit).select("page_id", "digest"), work_dir(spark, "payloads"))
-    groups = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    marks = large.join(groups, "digest").dropDuplicates(["page_id", "digest"])
+    groups = stored(large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1"), work_dir(spark, "groups"))
+    marks = join_hot(large, groups, "digest", "n", large.count()).dropDuplicates(["page_id", "digest"])
     both = rows.select("page_id", "digest", "url", "html", F.lit(False).alias("mark"), F.lit(None).cast("long").alias("refers_to")).unionByName(
         marks.select("page_id", "digest", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.lit(True).alias("mark"), "refers_to")
     )
