@@ -14,7 +14,7 @@ from codefold.llm.decontaminate import drop_leaks
 from codefold.llm.exact_dedup import drop_exact_duplicates
 from codefold.llm.packing import pack
 from codefold.llm.quality import drop_low_quality
-from codefold.llm.simhash import drop_near_duplicates
+from codefold.llm.similar import drop_similar
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
-    return drop_near_duplicates(docs)
+    """One document of each group linked by a five-word shingle similarity of 0.8 or more stays."""
+    return drop_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The classifier, the fingerprints and the packing search are beyond SQL; tests compare with brute force.
+#: The classifier, the similarities and the packing search are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
