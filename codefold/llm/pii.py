@@ -36,8 +36,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SIGN = re.compile(r"[=:]")
 _NAMED = re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ \t]{0,3}$")
-_VALUE = re.compile(r"[ \t]{0,3}[\"']?([^\s\"']{8,256})")
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,64}[0-9])[A-Za-z0-9_-]{20,256}(?![A-Za-z0-9_-])")
+_LEAD = re.compile(r"[ \t]{0,3}[\"']?")
+_RUN = re.compile(r"[^\s\"']*+")
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+")
+_DIGIT = re.compile(r"[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
 _TRIGGER = {
     "email": re.compile(r"(?i)(?:e-?mail|contact|write to|mailto|@)\W{0,3}$"),
@@ -86,12 +88,16 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
         out.append(("phone", *m.span(), 9 <= len(_DIGITS.sub("", m[0])) <= 15))
     taken = sorted((s, e) for _, s, e, _ in out)
     starts, ends = [s for s, _ in taken], np.maximum.accumulate([e for _, e in taken]).tolist() if taken else []
-    named = set()
+    named, stop = set(), 0
     for sign in _SIGN.finditer(text):
-        if _NAMED.search(text[max(0, sign.start() - 24) : sign.start()]) and (value := _VALUE.match(text, sign.end())):
-            named.add(value.span(1))
+        if _NAMED.search(text[max(0, sign.start() - 24) : sign.start()]):
+            start = _LEAD.match(text, sign.end()).end()
+            if start >= stop:  # signs inside one run share its end, so a run is read once
+                stop = _RUN.match(text, start).end()
+            if stop - start >= 8:
+                named.add((start, stop))
     last = 0
-    for s, e in sorted(named | {m.span() for m in _OPAQUE.finditer(text)}):
+    for s, e in sorted(named | {m.span() for m in _OPAQUE.finditer(text) if _DIGIT.search(m[0])}):
         k = int(np.searchsorted(starts, e))
         if s >= last and not (k and ends[k - 1] > s):
             out.append(("secret", s, e, (s, e) in named or text.startswith(TOKEN, s)))
