@@ -108,6 +108,11 @@ def _canonical(spark, sf):
     return T.doc_files(spark, sf).select("rel", "language").orderBy(*canonical_order()).limit(50)
 
 
+@query("canonical_files_all", "SELECT source || '/' || lang || '/' || doc_id || '.txt' AS rel, lang AS language FROM documents ORDER BY lower(rel), rel")
+def _canonical_all(spark, sf):
+    return T.doc_files(spark, sf).select("rel", "language").orderBy(*canonical_order())
+
+
 # symbols
 
 
