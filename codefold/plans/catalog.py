@@ -309,6 +309,12 @@ def _deps(spark, sf):
     return graph.closure(own, own.filter("length(src) = 2").select(F.col("src").alias("node")), depth=5)
 
 
+@query("deps_all")  # every source is a root; a test compares with brute force
+def _deps_all(spark, sf):
+    own = T.user_graph(spark, sf)
+    return graph.closure(own, own.select(F.col("src").alias("node")).distinct(), depth=5)
+
+
 @query("cycles", f"""WITH RECURSIVE {RING}, e AS (SELECT * FROM ring WHERE src <> dst), t AS (SELECT src AS a, dst AS b FROM e UNION SELECT t.a, e.dst FROM t JOIN e ON e.src = t.b)
 SELECT x.a AS node, min(x.b) AS component FROM t x JOIN t y ON y.a = x.b AND y.b = x.a WHERE x.a IN (SELECT a FROM t WHERE a = b) GROUP BY x.a""")
 def _cycles(spark, sf):
