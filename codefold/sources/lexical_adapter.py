@@ -1,49 +1,19 @@
-"""Facts of brace languages by a lexical reading: no grammar, so nothing here claims an exact binding.
+"""Facts of brace languages: no grammar, but tokens, matching brackets and scopes.
 
-Definitions come from declaration patterns over masked text, their ends from
-brace depth; calls are names before an opening parenthesis.
+Declarations, calls and variables come from a reader for each family of
+languages; modules from patterns over text whose comments, or comments and
+strings, are blank.
 """
 
 from __future__ import annotations
 
 import re
 
-from codefold.sources.masking import masked
+from codefold.sources.braces import KEYWORDS
+from codefold.sources.declarations import READERS
+from codefold.sources.lexer import GROUP
 
 _ID = r"[A-Za-z_$][\w$]*"
-_KEYWORDS = frozenset("if for while switch catch return function new typeof await yield sizeof else do try throw super constructor in of delete void case match loop unsafe defer go select func fn impl where using lock foreach nameof when assert import require async static public private".split())
-#: Declarations: kind, pattern with groups ``name`` and perhaps ``params``, ``owner``, ``bases``, ``ret``.
-_DECLARATIONS = {
-    "javascript": [
-        ("class", rf"(?P<mods>(?:export\s+|default\s+|abstract\s+)*)class\s+(?P<name>{_ID})(?:\s*<[^{{]*?>)?(?:\s+extends\s+(?P<bases>[\w$.]+))?"),
-        ("interface", rf"(?P<mods>(?:export\s+|declare\s+)*)interface\s+(?P<name>{_ID})(?:\s*<[^{{]*?>)?(?:\s+extends\s+(?P<bases>[\w$.,\s]+))?"),
-        ("enum", rf"(?P<mods>(?:export\s+|const\s+)*)enum\s+(?P<name>{_ID})"),
-        ("type", rf"(?P<mods>(?:export\s+)*)type\s+(?P<name>{_ID})\s*(?:<[^=]*>)?\s*="),
-        ("function", rf"(?P<mods>(?:export\s+|default\s+|async\s+)*)function\s*\*?\s*(?P<name>{_ID})\s*(?:<[^(]*>)?\((?P<params>[^{{]*?)\)\s*(?::\s*(?P<ret>[^{{;]+?))?\s*\{{"),
-        ("function", rf"(?P<mods>(?:export\s+)*)(?:const|let|var)\s+(?P<name>{_ID})\s*(?::[^=]+)?=\s*(?P<mods2>async\s+)?(?:\((?P<params>[^{{]*?)\)\s*(?::\s*(?P<ret>[^=]+?))?|(?P<one>{_ID}))\s*=>"),
-        ("method", rf"^[ \t]+(?P<mods>(?:public\s+|private\s+|protected\s+|static\s+|async\s+|readonly\s+|override\s+|get\s+|set\s+|\*\s*)*)(?P<name>#?{_ID})\s*(?:<[^(]*>)?\((?P<params>[^{{;]*?)\)\s*(?::\s*(?P<ret>[^{{;]+?))?\s*\{{"),
-    ],
-    "go": [
-        ("struct", rf"type\s+(?P<name>{_ID})\s+struct\b"), ("interface", rf"type\s+(?P<name>{_ID})\s+interface\b"), ("type", rf"type\s+(?P<name>{_ID})\s+(?!struct|interface)\w"),
-        ("method", rf"func\s*\(\s*(?:{_ID}\s+)?\*?(?P<owner>{_ID})[^)]*\)\s*(?P<name>{_ID})\s*\((?P<params>[^{{]*?)\)\s*(?P<ret>[^{{\n]*)\{{"),
-        ("function", rf"func\s+(?P<name>{_ID})\s*(?:\[[^\]]*\])?\((?P<params>[^{{]*?)\)\s*(?P<ret>[^{{\n]*)\{{"),
-    ],
-    "rust": [
-        ("struct", rf"(?P<mods>(?:pub(?:\([^)]*\))?\s+)?)struct\s+(?P<name>{_ID})"), ("enum", rf"(?P<mods>(?:pub(?:\([^)]*\))?\s+)?)enum\s+(?P<name>{_ID})"), ("trait", rf"(?P<mods>(?:pub(?:\([^)]*\))?\s+)?)trait\s+(?P<name>{_ID})(?:\s*:\s*(?P<bases>[\w:+\s]+))?"),
-        ("impl", rf"impl(?:\s*<[^{{]*?>)?\s+(?:(?P<bases>[\w:]+)(?:<[^{{]*?>)?\s+for\s+)?(?P<name>{_ID})"),
-        ("function", rf"(?P<mods>(?:pub(?:\([^)]*\))?\s+|async\s+|const\s+|unsafe\s+)*)fn\s+(?P<name>{_ID})\s*(?:<[^(]*>)?\((?P<params>[^{{;]*?)\)\s*(?:->\s*(?P<ret>[^{{;]+?))?\s*(?:where[^{{]*)?[{{;]"),
-    ],
-    "c": [
-        ("class", rf"(?P<mods>(?:public\s+|private\s+|protected\s+|internal\s+|abstract\s+|final\s+|sealed\s+|static\s+|partial\s+)*)class\s+(?P<name>{_ID})(?:\s*<[^{{]*?>)?(?:\s*(?:extends|:)\s*(?P<bases>[\w.,<>\s]+?))?\s*(?:implements[^{{]*)?\{{"),
-        ("interface", rf"(?P<mods>(?:public\s+|internal\s+)*)interface\s+(?P<name>{_ID})"), ("struct", rf"struct\s+(?P<name>{_ID})\s*\{{"), ("enum", rf"(?P<mods>(?:public\s+)*)enum\s+(?:class\s+)?(?P<name>{_ID})"), ("record", rf"(?P<mods>(?:public\s+)*)record\s+(?P<name>{_ID})"), ("namespace", rf"namespace\s+(?P<name>[\w.:]+)"),
-        ("function", rf"^[ \t]*(?:\[[^\]\n]*\]\s*)*(?P<mods>(?:(?:public|private|protected|internal|static|final|virtual|override|async|abstract|inline|extern|const|synchronized)\s+)*)(?P<ret>[A-Za-z_][\w:<>,\[\]*&? ]*?[\s*&]+)(?:(?P<owner>{_ID})::)?(?P<name>~?{_ID})\s*\((?P<params>[^;{{}}]*?)\)\s*(?:const\s*|noexcept\s*|override\s*|throws[^{{]*)*\{{"),
-    ],
-}
-_GROUP = {"typescript": "javascript", "tsx": "javascript", "html": "javascript", "cpp": "c", "csharp": "c", "java": "c"}
-_COMPILED = {g: [(k, re.compile(p, re.M)) for k, p in ps] for g, ps in _DECLARATIONS.items()}
-_CALL = re.compile(rf"(?:(?P<recv>(?:{_ID}|\))(?:(?:\.|->|::){_ID})*)(?:\?\.|\.|->|::))?(?P<name>{_ID})\s*(?:::<[^(]*>)?\(")
-_DECORATOR = re.compile(r"^[ \t]*(?:@(?P<a>[\w.]+)(?P<args>\([^\n]*\))?|#\[(?P<r>[^\]\n]+)\]|\[(?P<c>[A-Z]\w*)(?P<cargs>\([^\n]*\))?\])", re.M)
-_TYPES = ("class", "struct", "interface", "type", "impl", "enum", "record", "trait", "namespace")
 
 
 def _line(starts: list[int], at: int) -> int:
@@ -52,19 +22,6 @@ def _line(starts: list[int], at: int) -> int:
     return bisect_right(starts, at)
 
 
-def _close(code: str, at: int, opening: str = "{", closing: str = "}") -> int:
-    """Where the bracket that opens at or after ``at`` closes."""
-    begin = code.find(opening, at)
-    if begin < 0:
-        return at
-    depth = 0
-    for m in re.finditer(rf"[{re.escape(opening + closing)}]", code[begin:]):
-        depth += 1 if m[0] == opening else -1
-        if not depth:
-            return begin + m.start()
-    return len(code) - 1
-
-
 def split_top(text: str) -> list[str]:
     """Parts between commas outside brackets."""
     out, depth, part = [], 0, ""
@@ -78,119 +35,28 @@ def split_top(text: str) -> list[str]:
     return [p.strip() for p in [*out, part] if p.strip()]
 
 
-def split_top_all(text: str) -> list[str]:
-    """Like ``split_top``, blank parts (masked strings) included."""
-    out, depth, part = [], 0, ""
-    for c in text:
-        depth += (c in "([{") - (c in ")]}")
-        if c == "," and depth <= 0:
-            out.append(part)
-            part = ""
-        else:
-            part += c
-    return [*out, part]
-
-
-def _param(text: str, group: str) -> dict:
-    text, _, default = (x.strip() for x in text.partition("="))
-    rest = text.startswith(("...", "*")) and group == "javascript" or "..." in text
-    text = text.replace("...", "").strip()
-    if group in ("javascript", "rust"):
-        name, _, kind = (x.strip() for x in text.partition(":"))
-    elif group == "go":
-        name, _, kind = (x.strip() for x in text.partition(" "))
-    else:
-        kind, _, name = (x.strip() for x in text.rpartition(" "))
-    optional = name.endswith("?") or bool(default)
-    return {"name": name.rstrip("?").lstrip("&*").replace("mut ", "") or text, "type": kind or None, "optional": optional or rest, "default": default or None, "rest": rest, "keyword_only": False, "positional_only": False}
-
-
 def extract(text: str, language: str) -> dict:
     """Facts of one file."""
-    group = _GROUP.get(language, language)
-    code, plain = masked(text, language), masked(text, language, keep_strings=True)
-    starts = [0, *(m.end() for m in re.finditer("\n", code))]
-    symbols, spans = [], []
-    tags: dict[int, list[str]] = {}
-    for m in _DECORATOR.finditer(plain):
-        if m["a"] or m["r"] or (m["c"] and language == "csharp"):
-            tags.setdefault(_line(starts, m.start()), []).append((m["a"] or m["r"] or m["c"]) + (m["args"] or m["cargs"] or ""))
-    seen = set()
-    for kind, pattern in _COMPILED.get(group, ()):
-        for m in pattern.finditer(code):
-            g = m.groupdict()
-            if g["name"] in _KEYWORDS or (m.start("name")) in seen or (kind == "function" and group == "c" and (g.get("ret") or "").split()[:1] in (["return"], ["else"], ["new"])):
-                continue
-            seen.add(m.start("name"))
-            line, name_line = _line(starts, m.start() + len(m[0]) - len(m[0].lstrip())), _line(starts, m.start("name"))
-            end = _close(code, m.end() - 1 if m[0].endswith("{") else m.end()) if kind != "type" else m.end()
-            arrow = kind == "function" and m[0].endswith("=>")
-            if arrow and not code[m.end() :].lstrip().startswith("{"):
-                end = code.find("\n", m.end())
-                end = len(code) if end < 0 else end
-            if m[0].endswith(";"):
-                end = m.end()
-            mods = f"{g.get('mods') or ''} {g.get('mods2') or ''}".split()
-            params = None if kind in _TYPES else (g.get("params") or g.get("one") or "")
-            structured = None if params is None else [_param(p, group) for p in split_top(params)]
-            first = line
-            decorators = []
-            while first - 1 in tags:
-                first -= 1
-                decorators = tags[first] + decorators
-            decorators = [*decorators, *(tags.get(line, []) if first == line else [])]
-            names = [d.split("(")[0] for d in decorators]
-            kinds = [n.lower() if language == "java" else n for n in names] if language in ("java", "rust") else []
-            name = g["name"]
-            symbols.append({
-                "name": name, "kind": kind, "family": "type" if kind in _TYPES else "callable", "start_line": first, "end_line": max(name_line, _line(starts, min(end, len(code) - 1) if code else 0)), "name_line": name_line, "owner": g.get("owner"), "receiver": g.get("owner") if group == "go" else None, "params": params, "params_structured": structured,
-                "return_type": (g.get("ret") or "").strip() or None, "modifiers": mods + kinds, "decorators": decorators if language not in ("java", "rust") else decorators, "bases": split_top(g.get("bases") or ""), "is_async": "async" in mods, "is_exported": bool({"export", "public", "pub"} & set(mods)) or (language == "go" and name[:1].isupper()) or any(x.startswith("pub") for x in mods), "entry_kind": None,
-            })
-            spans.append((m.start(), end))
-    for s, (a, b) in zip(symbols, spans):
-        around = [(y - x, t["name"]) for t, (x, y) in zip(symbols, spans) if t["kind"] in ("class", "struct", "interface", "impl", "record", "trait", "enum") and x < a and b <= y]
-        if around and s["owner"] is None and s["family"] == "callable":
-            s["owner"] = min(around)[1]
-            s["kind"] = "constructor" if s["name"] in ("constructor", s["owner"]) else "method"
-        if s["name"].startswith(("test_", "Test")) and s["family"] == "callable" or any(d.split("(")[0] in ("Test", "test", "Fact", "Theory", "tokio::test") for d in s["decorators"]):
-            s["entry_kind"] = "test"
-        elif s["name"] in ("main", "Main") and s["family"] == "callable":
-            s["entry_kind"] = "main"
-    defined = {(s["name_line"], s["name"]) for s in symbols}
-    callables = sorted(((b - a, a, b, s) for s, (a, b) in zip(symbols, spans) if s["family"] == "callable"), key=lambda x: x[0])
-    calls, usages = [], []
-    for n, m in enumerate(_CALL.finditer(code), 1):
-        name, line = m["name"], _line(starts, m.start("name"))
-        if name in _KEYWORDS or (line, name) in defined:
-            continue
-        inside = next((s for _, a, b, s in callables if a < m.start() <= b), None)
-        end = _close(code, m.end() - 1, "(", ")")
-        args = [a.strip() for a in split_top_all(code[m.end() : end])] if plain[m.end() : end].strip() else []
-        raw = plain[m.end() : end].lstrip()
-        literal = re.match(r"""(["'`])((?:[^\\]|\\.)*?)\1""", raw, re.S)
-        before, after = code[: m.start()].rstrip()[-12:], code[end + 1 :].lstrip()[:6]
-        assigned = re.search(rf"({_ID})\s*(?::[^=\n]*)?=\s*(?:await\s+)?$", code[: m.start()][-80:])
-        option = re.search(r"method\s*:\s*[\"'](\w+)", raw)
-        calls.append({
-            "line": line, "seq": n, "name": name, "resolved_names": [], "is_method": m["recv"] is not None, "receiver": m["recv"], "receiver_type": None, "arg_count": len(args), "arg_spread": any(a.startswith("...") for a in args), "keywords": [],
-            "first_string_arg": re.sub(r"\$\{[^}]*\}", "*", literal[2]) if literal else None, "first_string_interp": bool(literal and literal[1] == "`" and "${" in literal[2]), "options_method": option[1].upper() if option else None, "is_function_ref": False, "local_shadow": False,
-            "awaited": before.endswith("await") or after.startswith(".await"), "handled": bool(re.search(r"(return|yield|void|=>)$", before)) or after.startswith(".then"), "assigned_to": assigned[1] if assigned else None, "in_loop": False, "in_try": False, "enclosing_name": inside["name"] if inside else None, "enclosing_start": inside["start_line"] if inside else None, "shape": ",".join("id" if re.fullmatch(_ID, a) else "expr" for a in args),
-        })
-        usages.append({"line": line, "col": m.start("name") - starts[line - 1], "name": name, "usage_type": "call", "receiver": m["recv"]})
-        own = {p["name"] for p in (inside or {}).get("params_structured") or ()}
-        for a in args:
-            if re.fullmatch(rf"{_ID}(?:\.{_ID})?", a) and a not in _KEYWORDS and not a.isdigit():
-                calls.append({**calls[-1], "name": a.rpartition(".")[2], "is_method": "." in a, "receiver": a.rpartition(".")[0] or None, "is_function_ref": True, "local_shadow": a in own, "arg_count": None, "first_string_arg": None, "assigned_to": None, "shape": "ref", "seq": n * 1000 + len(calls)})
-    usages += [{"line": s["name_line"], "col": 0, "name": s["name"], "usage_type": "definition", "receiver": None} for s in symbols]
+    group = GROUP.get(language, language)
+    reader = READERS[group](text, language)
+    found = reader.facts()
+    code, plain, starts = reader.t.blanked(strings=True), reader.t.blanked(strings=False), reader.t.lines
     imports, exports = _modules(plain, code, starts, group, language)
-    usages += [{"line": i["line"], "col": 0, "name": n, "usage_type": "import", "receiver": None} for i in imports for n in i["names"]]
+    named = {e["name"] for e in exports if e["source"] is None} | {e["alias"] for e in exports if e["source"] is None and e["alias"]}
+    for s in found["symbols"]:
+        if group == "javascript" and s["owner"] is None and s["name"] in named:
+            s["is_exported"] = True
+    alias = {a: n for i in imports for n, a in zip(i["names"], i["aliases"]) if a}
+    for c in found["calls"]:
+        if not c["is_method"] and c["name"] in alias and not c["local_shadow"]:
+            c["resolved_names"] = [alias[c["name"]]]
+    usages = found["usages"] + [{"line": i["line"], "col": 0, "name": n, "usage_type": "import", "receiver": None} for i in imports for n in i["names"]]
     taken = {(u["line"], u["name"]) for u in usages}
-    for m in re.finditer(_ID, code):
-        key = _line(starts, m.start()), m[0]
-        if key not in taken and m[0] not in _KEYWORDS:
-            taken.add(key)
-            usages.append({"line": key[0], "col": m.start() - starts[key[0] - 1], "name": m[0], "usage_type": "reference", "receiver": None})
-    return {"symbols": symbols, "calls": calls, "usages": usages, "imports": imports, "exports": exports}
+    for kind, name, start, line in zip(reader.kind, reader.text, reader.t.start, reader.line):
+        if kind == "id" and (line, name) not in taken and name not in KEYWORDS[group]:
+            taken.add((line, name))
+            usages.append({"line": line, "col": start - starts[line - 1], "name": name, "usage_type": "reference", "receiver": None})
+    return {"symbols": found["symbols"], "calls": found["calls"], "usages": usages, "imports": imports, "exports": exports}
 
 
 def _modules(plain: str, code: str, starts: list[int], group: str, language: str) -> tuple[list, list]:

@@ -4,28 +4,30 @@ from __future__ import annotations
 
 import re
 
-_C = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
 _STRINGS = r"\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?"
-_PATTERNS = {
-    "python": re.compile(r"#[^\n]*|[rbuf]{0,2}(?:\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z))|" + _STRINGS, re.S | re.I),
-    "javascript": re.compile(_C + "|" + _STRINGS + r"|`(?:[^`\\]|\\.)*`?", re.S),
-    "go": re.compile(_C + r"|`[^`]*`?|" + _STRINGS, re.S),
-    "rust": re.compile(_C + r"|r#*\".*?\"#*|\"(?:[^\"\\]|\\.)*\"?|'(?:[^'\\\n]|\\.)'", re.S),
-    "c": re.compile(_C + "|" + _STRINGS, re.S),
-}
-_OF = {"typescript": "javascript", "tsx": "javascript", "html": "javascript", "java": "c", "cpp": "c", "csharp": "c"}
+_PYTHON = re.compile(r"#[^\n]*|(?P<f>[rbuf]{0,2})(?:\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|" + _STRINGS + ")", re.S | re.I)
+_HOLE = re.compile(r"(?<!\{)\{([^{}]+)\}")
 
 
 def masked(text: str, language: str, keep_strings: bool = False) -> str:
-    """The text with comments (and strings, unless kept) as blanks of the same length; newlines stay."""
-    pattern = _PATTERNS.get(_OF.get(language, language))
-    if pattern is None:
+    """The text with comments (and strings, unless kept) as blanks of the same length; newlines and code within strings stay."""
+    from codefold.sources.declarations import READERS
+    from codefold.sources.lexer import GROUP, Tokens
+
+    if GROUP.get(language, language) in READERS:
+        return Tokens(text, language).blanked(strings=not keep_strings)
+    if language != "python":
         return text
 
     def blank(m):
         own = m[0]
-        if keep_strings and not own.startswith(("#", "//", "/*")):
+        if keep_strings and not own.startswith("#"):
             return own
-        return re.sub(r"[^\n]", " ", own)
+        out = re.sub(r"[^\n]", " ", own)
+        if "f" in (m["f"] or "").lower():
+            for hole in _HOLE.finditer(own):
+                a, b = hole.span(1)
+                out = out[:a] + own[a:b] + out[b:]
+        return out
 
-    return pattern.sub(blank, text)
+    return _PYTHON.sub(blank, text)
