@@ -9,49 +9,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codefold.llm.common import id_text, ready
-from codefold.llm.tokens import encoder
+from codefold.llm.tokens import LONG_WORD, encoder
 
-#: Words in the broadcast table, and the Arrow batches whose words fill it.
-TABLE_WORDS, TABLE_SAMPLES = 32_768, 4
+#: Words in the broadcast table, words that a task's summary names, and distinct words it counts before it drops the rarer half.
+TABLE_WORDS, TASK_WORDS, COUNTED = 32_768, 8_192, 131_072
+#: Tasks that merge the summaries; each hands the driver one of ``TABLE_WORDS`` words at most.
+MERGERS = 16
 
 
-class _Lengths(dict):
-    """Second tier: a miss is encoded once in a worker."""
+def _summary(counts: Counter, most: int) -> pa.RecordBatch:
+    found = counts.most_common(most)
+    return pa.RecordBatch.from_arrays([pa.array([[w for w, _ in found]]), pa.array([[n for _, n in found]], pa.list_(pa.int64()))], ["words", "counts"])
 
-    def __init__(self, own, most: int):
-        super().__init__()
-        self.own, self.most = own, most
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = n = len(self.own.cache.encode(word)) // 4
-        return n
+def _pruned(counts: Counter, most: int) -> Counter:
+    return counts if len(counts) <= most else Counter(dict(counts.most_common(most // 2)))
 
 
-def frequent_lengths(docs: DataFrame, tokenizer: str, words: int = TABLE_WORDS, samples: int = TABLE_SAMPLES) -> dict[str, int]:
-    """Frequent words of the first few Arrow batches, with their token counts: at most ``words`` entries.
+def frequent_lengths(docs: DataFrame, tokenizer: str, words: int = TABLE_WORDS) -> dict[str, int]:
+    """Token counts of words that are frequent over all documents: at most ``words`` entries.
 
-    This only fills a cache: which rows it looks at changes no count. ``take``
-    reads partitions one after another until it has its samples, so the cost
-    stays the same at any size, and no row is shuffled.
+    Each task counts the words of all its texts in a bounded table and hands on
+    the most frequent; some tasks merge these tables, and the driver the last
+    few. What moves is a table for each task, no words of texts. The result only
+    fills a cache: which words it names changes no count.
     """
 
     def top(batches):
-        own = encoder(tokenizer)
+        own, seen = encoder(tokenizer), Counter()
         for batch in batches:
-            seen = Counter(w for text in batch.column(0).to_pylist() for w in own.split(text) or () if len(w) <= 64)
-            found = seen.most_common(words)
-            yield pa.RecordBatch.from_arrays([pa.array([[w for w, _ in found]]), pa.array([[n for _, n in found]])], ["words", "counts"])
+            for text in batch.column(0).to_pylist():
+                seen.update(w for w in own.split(text) or () if len(w) <= LONG_WORD)
+            seen = _pruned(seen, COUNTED)
+        yield _summary(seen, TASK_WORDS)
 
-    seen = Counter()
-    for r in docs.select("text").mapInArrow(top, "words array<string>, counts array<long>").take(samples):
+    def merge(batches):
+        seen = Counter()
+        for batch in batches:
+            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen.update(dict(zip(w, n)))
+                seen = _pruned(seen, COUNTED)
+        yield _summary(seen, words)
+
+    schema, seen = "words array<string>, counts array<long>", Counter()
+    for r in docs.select("text").mapInArrow(top, schema).repartition(MERGERS).mapInArrow(merge, schema).toLocalIterator():
         seen.update(dict(zip(r.words, r.counts)))
     own = encoder(tokenizer)
-    return {w: len(own.cache[w]) // 4 for w, _ in seen.most_common(words)}
+    return {w: own.lengths[w] for w, _ in seen.most_common(words)} if own.words else {}
 
 
-def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, cache_words: int = 1_000_000) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
     """Tokens of every whole text: ``doc_id, n_bytes, n_tokens, over_limit``.
 
     ``docs``: ``doc_id, text``; other columns are not read. A null text counts as
@@ -59,8 +66,9 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     gives an empty result. Long texts are split into words whole.
 
     The first tier is a broadcast table of frequent words' token counts (at most
-    ``TABLE_WORDS`` words), the second a cache in each Python worker. No word is
-    shuffled; the plan is one scan and one map.
+    ``TABLE_WORDS`` words), the second a cache in each Python worker, which is
+    bounded in bytes and lasts from task to task. No word is shuffled; one scan
+    finds the frequent words, and one counts.
     """
     spark = docs.sparkSession
     ready(spark)
@@ -68,11 +76,8 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     table = spark.sparkContext.broadcast(frequent_lengths(rows, tokenizer))
 
     def count(batches):
-        own, frequent = encoder(tokenizer), table.value
-        if own.words is not None:
-            lengths = _Lengths(own, cache_words)
-            rare = lengths.__getitem__
-            known = frequent.get
+        own, known = encoder(tokenizer), table.value.get
+        rare = own.lengths.__getitem__ if own.words else None
         for batch in batches:
             ids, n_bytes, n_tokens = batch.column(0), [], []
             for text in batch.column(1).to_pylist():

@@ -2,7 +2,7 @@
 
 Two layouts of ``tokenizers`` files are split into independent words: BPE with
 word ends over lower-cased text, and byte-level BPE with a leading space. The
-words' ids come from a cache in each Python worker, and misses from tiktoken's
+words' ids come from a cache in each Python worker, bounded in bytes, and misses from tiktoken's
 merge loop over the same vocabulary (each token there has one merge rule, so
 rank order decides both alike). A text with a special token's string, or with a
 character outside a plain set, whose class or case libraries may see
@@ -19,8 +19,8 @@ import unicodedata
 
 import numpy as np
 
-#: Words in a worker's cache before it starts anew.
-CACHE_WORDS = 1_000_000
+#: Bytes of words and ids that a worker's cache holds before it starts anew, bytes that Python needs for an entry besides, and characters from which a word is not kept.
+CACHE_BYTES, ENTRY_BYTES, LONG_WORD = 24 << 20, 200, 64
 #: Characters whose class, case and normal form are the same everywhere.
 PLAIN = "\t\n\r" + "".join(map(chr, (*range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x130), *range(0x131, 0x149), *range(0x14A, 0x17F), 0x2013, 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x2026, 0x20AC)))
 WORD_END = b"\xff"
@@ -47,36 +47,35 @@ def _class(kind: str) -> str:
 
 
 class _Cache(dict):
-    """Word -> ids as little-endian unsigned 32-bit bytes, filled on a miss."""
+    """Word -> what ``make`` says of it, made on a miss; bounded in bytes."""
 
-    def __init__(self, encode, most: int):
+    def __init__(self, make, most: int, size=len):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.make, self.most, self.size, self.held = make, most, size, 0
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
+    def __missing__(self, word: str):
+        found = self.make(word)
+        if len(word) > LONG_WORD:
+            return found
+        if self.held >= self.most:
             self.clear()
-        self[word] = ids = self.encode(word)
-        return ids
+            self.held = 0
+        self.held += ENTRY_BYTES + 2 * len(word) + self.size(found)
+        self[word] = found
+        return found
 
 
 class Encoder:
-    def __init__(self, name: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, name: str, cache_bytes: int = CACHE_BYTES):
         path = resolve(name)
-        self.library, self.words, self.lower = None, None, False
+        self.library, self.words, self.lower, self.lengths = None, None, False, None
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.whole = lambda text: model.encode(text, num_threads=1)
             return
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.whole = lambda text: self.library.encode(text, add_special_tokens=False).ids
+        self.path, self.whole = path, self._by_library
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
@@ -105,10 +104,23 @@ class Encoder:
         def encode(word: str) -> bytes:
             return np.array([i for part in split(word) for i in piece(part.encode() + end)], dtype="<u4").tobytes()
 
-        self.cache = _Cache(encode, cache_words)
+        self.cache = _Cache(encode, cache_bytes)
+        #: The same by number of ids, for callers that only count.
+        self.lengths = _Cache(lambda word: len(encode(word)) // 4, cache_bytes, lambda n: 0)
         self.words = str.split if chunk is None else chunk.findall
         self.odd = re.compile("[^" + re.escape(PLAIN) + "]" + "".join("|" + re.escape(x) for x in special)).search
 
+    def _by_library(self, text: str) -> list[int]:
+        """Ids as the library gives them; it is loaded when the first text needs it."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def split(self, text: str) -> list[str] | None:
         """The text's words, whose ids join to the text's; None where only the library may encode it."""
         if self.words is None or self.odd(text):
@@ -122,7 +134,9 @@ class Encoder:
         return b"".join(map(self.cache.__getitem__, words))
 
     def count(self, text: str) -> int:
-        return len(self.encode(text)) // 4
+        if (words := self.split(text)) is None:
+            return len(self.whole(text))
+        return sum(map(self.lengths.__getitem__, words))
 
 
 _ENCODERS: dict[str, Encoder] = {}
