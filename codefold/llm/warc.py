@@ -10,17 +10,18 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefold.llm.common import join_hot, move_into_place, ready, stored, work_dir
+from codefold.llm.common import commit_files, join_hot, ordered_cuts, ready, remove_dir, stored, work_dir
 
 #: Compressed bytes from which a new file begins, and payload bytes from which equal payloads become revisits.
 ROLL, REVISIT = 64 << 20, 1000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "shard int, file int, path string, records long, bytes long, first_id long, last_id long"
+_DRAFT = f"now string, {_MANIFEST}"
+_ROWS = "shard int, page_id long, tie long, digest string, mark boolean, refers_to long, url string, payload_bytes long, sha1 binary, member binary"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -28,11 +29,12 @@ def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}>"
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str = DATE) -> bytes:
-    """One record: headers made anew, digests of the full payload and of the block."""
-    sha1 = hashlib.sha1(payload)
-    digest = sha1.hexdigest()
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def warc_record(page_id: int | None, url: str | None, payload: bytes | None, refers_to: int | None, revisit: bool, date: str = DATE, size: int = 0, sha1: bytes = b"") -> bytes:
+    """One record: headers made anew, digests of the full payload and of the block. A revisit needs only the payload's ``size`` and ``sha1``."""
+    if payload is not None:
+        size, sha1 = len(payload), hashlib.sha1(payload).digest()
+    digest = sha1.hex()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     target = _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url or "about:blank")
     own = record_id(page_id, digest) if not revisit or refers_to != page_id else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}/again')}>"
@@ -42,7 +44,7 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
         f"WARC-Target-URI: {target}",
         f"WARC-Date: {date}",
         f"WARC-Record-ID: {own}",
-        f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1.digest()).decode()}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}",
         f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
@@ -56,35 +58,68 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def gzip_member(record: bytes, level: int) -> bytes:
+    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return packer.compress(record) + packer.flush()
+
+
 class _Roller:
-    """Files of one shard, each under a temporary name until it is whole."""
+    """Files of one shard, under temporary names of this attempt's own."""
 
-    def __init__(self, folder: str, shard: int, roll: int, level: int):
+    def __init__(self, folder: str, work: str, shard: int, roll: int):
         from pyarrow import fs
 
-        self.store, self.folder = fs.FileSystem.from_uri(folder)
-        self.uri, self.shard, self.roll, self.level = folder, shard, roll, level
-        self.store.create_dir(self.folder, recursive=True)
+        self.store, self.place = fs.FileSystem.from_uri(work)
+        self.folder, self.work, self.shard, self.roll = folder, work, shard, roll
+        self.store.create_dir(self.place, recursive=True)
         self.out, self.file, self.done = None, 0, []
 
-    def add(self, page_id: int | None, record: bytes) -> None:
+    def add(self, page_id: int | None, member: bytes) -> None:
         if self.out is None:
-            self.temporary = f"{self.folder}/.{uuid.uuid4().hex}.tmp"
-            self.out, self.size, self.records, self.first = self.store.open_output_stream(self.temporary, compression=None), 0, 0, page_id
-        packer = zlib.compressobj(self.level, zlib.DEFLATED, 31)
-        data = packer.compress(record) + packer.flush()
-        self.out.write(data)
-        self.size, self.records, self.last = self.size + len(data), self.records + 1, page_id
+            self.temporary = f"{uuid.uuid4().hex}.tmp"
+            self.out, self.size, self.records, self.first = self.store.open_output_stream(f"{self.place}/{self.temporary}", compression=None), 0, 0, page_id
+        self.out.write(member)
+        self.size, self.records, self.last = self.size + len(member), self.records + 1, page_id
         if self.size >= self.roll:
             self.close()
 
-    def close(self) -> None:
+    def close(self) -> list[tuple]:
+        """Rows of the draft manifest so far."""
         if self.out is not None:
             self.out.close()
             name = f"part-{self.shard:06d}-{self.file:04d}.warc.gz"
-            move_into_place(self.store, self.temporary, f"{self.folder}/{name}")
-            self.done.append((self.shard, self.file, f"{self.uri}/{name}", self.records, self.size, self.first, self.last))
+            self.done.append((f"{self.work}/{self.temporary}", self.shard, self.file, f"{self.folder}/{name}", self.records, self.size, self.first, self.last))
             self.out, self.file = None, self.file + 1
+        return self.done
+
+
+def _packed(pages: DataFrame, cuts, level: int) -> DataFrame:
+    """Each page's response record as a gzip member, made where the page is read, with what a revisit of it needs instead."""
+
+    def pack(batches):
+        for batch in batches:
+            ids, ties, digests, urls, html = (batch.column(k) for k in range(5))
+            payloads = [h.encode() for h in html.to_pylist()]
+            sums = [hashlib.sha1(p).digest() for p in payloads]
+            members = [gzip_member(warc_record(i, u, p, None, False), level) for i, u, p in zip(ids.to_pylist(), urls.to_pylist(), payloads)]
+            n = batch.num_rows
+            columns = [pa.array(cuts.value.of(ids, ties)), ids, ties, digests, pa.array([False] * n), pa.nulls(n, pa.int64()), urls, pa.array([len(p) for p in payloads], pa.int64()), pa.array(sums, pa.binary()), pa.array(members, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _ROWS.split(", ")])
+
+    return pages.select("page_id", "tie", "digest", "url", "html").mapInArrow(pack, _ROWS)
+
+
+def _marks(marks: DataFrame, cuts) -> DataFrame:
+    """The marks (``page_id, tie, digest, refers_to``) as rows that sort before the pages they are of."""
+
+    def place(batches):
+        for batch in batches:
+            ids, ties, digests, refers = (batch.column(k) for k in range(4))
+            n = batch.num_rows
+            columns = [pa.array(cuts.value.of(ids, ties)), ids, ties, digests, pa.array([True] * n), refers, *(pa.nulls(n, t) for t in (pa.string(), pa.int64(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _ROWS.split(", ")])
+
+    return marks.select("page_id", "tie", "digest", "refers_to").mapInArrow(place, _ROWS)
 
 
 def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, revisit: int = REVISIT, level: int = 6) -> DataFrame:
@@ -99,41 +134,47 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, revisit: int = R
     all its ids are null. Other columns are not read. An empty table gives an
     empty manifest.
 
-    Each file is written under a temporary name and moved when whole; the
-    manifest, written last, names the files that count, so a lost task's
-    leftovers do not. Pages are moved once, by range of ``page_id``; which of
-    them are revisits arrives in the same shuffle as small rows of its own, so a
-    payload that many pages share gathers nowhere.
+    Records are compressed where pages are read; what moves, once, is gzip
+    members, by ranges taken from the ids of all pages, and a writer appends.
+    Which pages are revisits arrives in the same shuffle as small rows, so a
+    payload that many pages share gathers nowhere, and an id with many rows may
+    take several shards. Files are written under temporary names; a draft
+    manifest names those that count, then they get their names, and the manifest
+    is written last.
     """
     spark = pages.sparkSession
     ready(spark)
+    cuts = spark.sparkContext.broadcast(ordered_cuts(pages, "page_id", max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"), F.sha2(payload, 256).alias("digest"))
-    large = stored(rows.filter(F.octet_length("html") >= revisit).select("page_id", "digest"), work_dir(spark, "payloads"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"), F.sha2(payload, 256).alias("digest")).withColumn("tie", F.xxhash64("digest"))
+    large = stored(rows.filter(F.octet_length("html") >= revisit).select("page_id", "digest", "tie"), work_dir(spark, "payloads"))
     groups = stored(large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1"), work_dir(spark, "groups"))
     marks = join_hot(large, groups, "digest", "n", large.count()).dropDuplicates(["page_id", "digest"])
-    both = rows.select("page_id", "digest", "url", "html", F.lit(False).alias("mark"), F.lit(None).cast("long").alias("refers_to")).unionByName(
-        marks.select("page_id", "digest", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.lit(True).alias("mark"), "refers_to")
-    )
-    ordered = both.repartitionByRange(F.col("page_id"), F.col("digest")).sortWithinPartitions("page_id", "digest", F.desc("mark"), "url")
+    both = _packed(rows, cuts, level).unionByName(_marks(marks, cuts)).repartitionById(cuts.value.parts, "shard")
+    ordered, work = both.sortWithinPartitions("shard", "page_id", "tie", "digest", F.desc("mark"), "url"), f"{folder}/_work"
 
     def write(batches):
-        files, marked, refers, first = _Roller(folder, TaskContext.get().partitionId(), roll, level), None, None, True
+        files, found, marked, refers, first = None, [], None, None, True
         for batch in batches:
-            for page_id, digest, url, html, mark, to in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            for shard, page_id, _, digest, mark, to, url, size, sha1, member in zip(*(batch.column(k).to_pylist() for k in range(10))):
                 if mark:
                     marked, refers, first = (page_id, digest), to, True
                     continue
                 grouped = marked == (page_id, digest)
                 again = grouped and not (page_id == refers and first)
                 first = first and not grouped
-                files.add(page_id, warc_record(page_id, url, html.encode(), refers if again else None, again))
-        files.close()
-        columns = list(zip(*files.done)) or [[]] * 7
-        kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [x.split()[0] for x in _MANIFEST.split(", ")])
-
-    return stored(ordered.mapInArrow(write, _MANIFEST), f"{folder}/manifest")
+                if files is None or files.shard != shard:
+                    found += files.close() if files else []
+                    files = _Roller(folder, work, shard, roll)
+                files.add(page_id, gzip_member(warc_record(page_id, url, None, refers, True, size=size, sha1=sha1), level) if again else member)
+        found += files.close() if files else []
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [[]] * 8, kinds)], [x.split()[0] for x in _DRAFT.split(", ")])
+
+    draft = stored(ordered.mapInArrow(write, _DRAFT), f"{work}/draft")
+    manifest = commit_files(draft, {"now": "path"}, f"{folder}/manifest")
+    remove_dir(work)
+    return manifest
 
 
 def records(stream):
