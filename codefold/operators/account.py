@@ -17,9 +17,10 @@ def assigned(ground: DataFrame, claims: DataFrame, usages: DataFrame | None = No
     join, so a line that very many claims name costs no more than one. Lines
     without a claim fall to their usage: a call is unverified
     (``call-not-resolved``), the others are not calls. ``issues``: ``file, kind``
-    (unparsed or unsupported) puts all of a file's lines in that bucket.
+    (unparsed or unsupported) puts all of a file's lines in that bucket. A claim
+    of no known bucket accounts for nothing: its line is ``unaccounted``.
     """
-    rank = F.when(F.col("bucket") == "confirmed", 0).when(F.col("bucket") == "unverified", 1).otherwise(2)
+    rank = F.when(F.col("bucket") == "confirmed", 0).when(F.col("bucket") == "unverified", 1).when(F.col("bucket") == "excluded", 2).otherwise(3)
     best = claims.groupBy("file", "line").agg(F.min(F.struct(rank.alias("rank"), F.coalesce("reason", F.lit("")).alias("reason"))).alias("b"))
     out = ground.join(best, ["file", "line"], "left")
     if usages is not None:
@@ -31,7 +32,7 @@ def assigned(ground: DataFrame, claims: DataFrame, usages: DataFrame | None = No
         out = out.join(issues.groupBy("file").agg(F.min("kind").alias("issue")), "file", "left")
     else:
         out = out.withColumn("issue", F.lit(None).cast("string"))
-    claim = F.when(F.col("b.rank") == 0, "confirmed").when(F.col("b.rank") == 1, "unverified").when(F.col("b.rank") == 2, "excluded")
+    claim = F.when(F.col("b.rank") == 0, "confirmed").when(F.col("b.rank") == 1, "unverified").when(F.col("b.rank") == 2, "excluded").when(F.col("b.rank") == 3, "unaccounted")
     rest = F.when(F.col("usage") == 0, "unverified").when(F.col("usage") == 1, "import").when(F.col("usage") == 2, "definition").when(F.col("usage") == 3, "reference").otherwise("unclassified")
     reason = F.when(F.col("b").isNotNull(), F.col("b.reason")).when(F.col("usage") == 0, "call-not-resolved").otherwise("")
     return out.select("file", "line", F.coalesce("issue", claim, rest).alias("bucket"), F.when(F.col("issue").isNull(), reason).otherwise("").alias("reason"))
@@ -42,17 +43,37 @@ def beyond_text(ground: DataFrame, claims: DataFrame) -> DataFrame:
     return claims.filter(F.col("bucket").isin("confirmed", "unverified")).select("file", "line").distinct().join(ground, ["file", "line"], "left_anti")
 
 
-def account(ground: DataFrame, claims: DataFrame, usages: DataFrame | None = None, issues: DataFrame | None = None) -> DataFrame:
+def account(ground: DataFrame, claims: DataFrame, usages: DataFrame | None = None, issues: DataFrame | None = None, unread: DataFrame | None = None) -> DataFrame:
     """One row: the buckets, their total, what is unaccounted for, and claims beyond the text.
 
-    ``total = confirmed + unverified + excluded + non_call + unparsed +
-    unsupported + unaccounted``. ``text_complete`` also needs no unparsed and no
-    unsupported line. Nothing here says that a zero is safe to delete.
+    ``total`` counts the ground lines apart from the buckets; what these don't
+    cover is ``unaccounted``. ``text_complete`` also needs no unparsed and no
+    unsupported line, and no file in ``unread`` (issues of files whose text
+    nobody saw). Nothing here says that a zero is safe to delete.
     """
     rows = assigned(ground, claims, usages, issues)
     n = lambda *b: F.count_if(F.col("bucket").isin(*b))
     non_call = ("import", "definition", "reference", "unclassified")
-    sums = rows.agg(F.count("*").alias("total"), n("confirmed").alias("confirmed"), n("unverified").alias("unverified"), n("excluded").alias("excluded"), n(*non_call).alias("non_call"), n("unparsed").alias("unparsed"), n("unsupported").alias("unsupported"))
-    sums = sums.withColumn("unaccounted", F.expr("total - confirmed - unverified - excluded - non_call - unparsed - unsupported"))
+    sums = rows.agg(n("confirmed").alias("confirmed"), n("unverified").alias("unverified"), n("excluded").alias("excluded"), n(*non_call).alias("non_call"), n("unparsed").alias("unparsed"), n("unsupported").alias("unsupported"))
+    total = ground.agg(F.count("*").alias("total"))
     beyond = beyond_text(ground, claims).agg(F.count("*").alias("beyond_text"))
-    return sums.crossJoin(F.broadcast(beyond)).withColumn("text_complete", F.expr("unaccounted = 0 AND unparsed = 0 AND unsupported = 0"))
+    hidden = unread.agg(F.count("*").alias("unread")) if unread is not None else ground.agg(F.lit(0).cast("long").alias("unread"))
+    out = total.crossJoin(F.broadcast(sums)).withColumn("unaccounted", F.expr("total - confirmed - unverified - excluded - non_call - unparsed - unsupported"))
+    out = out.crossJoin(F.broadcast(beyond)).crossJoin(F.broadcast(hidden)).withColumn("text_complete", F.expr("unaccounted = 0 AND unparsed = 0 AND unsupported = 0 AND unread = 0"))
+    return out if unread is not None else out.drop("unread")
+
+
+def callee_account(calls: DataFrame, edges: DataFrame, symbol_ids: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Where the calls inside each symbol (``enclosing_id``) lead: ``total = confirmed + unverified + external + excluded``.
+
+    A site counts once, by its strongest edge; a site that no definition of the
+    index answers is external.
+    """
+    from codefold.operators.edges import innermost
+
+    sites = calls.filter(~F.coalesce("is_function_ref", F.lit(False))).withColumn("call_id", F.concat_ws(":", "file", "line", F.col("seq").cast("string"), "name"))
+    inside = sites.join(innermost(sites, symbols), ["file", "line"]).join(symbol_ids.select(F.col("to_id").alias("enclosing_id")).distinct(), "enclosing_id", "left_semi").select("enclosing_id", "call_id")
+    rank = F.min(F.when(F.col("tier") == "confirmed", 0).when(F.col("tier") == "unverified", 1).otherwise(2)).alias("rank")
+    own = inside.join(edges.groupBy("call_id").agg(rank), "call_id", "left")
+    n = lambda k: F.count_if(F.col("rank") == k)
+    return own.groupBy("enclosing_id").agg(F.count("*").alias("total"), n(0).alias("confirmed"), n(1).alias("unverified"), F.count_if(F.col("rank").isNull()).alias("external"), n(2).alias("excluded"))

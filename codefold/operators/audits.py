@@ -11,6 +11,40 @@ from codefold.functions.text import identifier_pattern, is_test_path
 
 JS = ("javascript", "typescript", "tsx", "html")
 _VERBS = "get|post|put|delete|patch"
+
+
+def _any(words: str, start: str = "^", end: str = "$") -> str:
+    return f"{start}({'|'.join(words.split())}){end}"
+
+
+#: Annotations (lower-cased) and hooks of the rules below. Fixed values.
+SPRING_MAPPING = "getmapping postmapping putmapping deletemapping patchmapping requestmapping"
+SPRING_DI = (
+    "bean component service controller repository configuration restcontroller restcontrolleradvice controlleradvice springbootapplication springbootconfiguration "
+    "enableautoconfiguration componentscan conditional(on\\w+)? profile primary qualifier autowired inject value scope lazy order dependson import importresource propertysource"
+)
+SPRING_MVC = "initbinder modelattribute exceptionhandler sessionattributes requestbody responsebody responsestatus crossorigin pathvariable requestparam requestheader requestattribute cookievalue matrixvariable validated valid validator"
+JPA = (
+    "entity mappedsuperclass embeddable embedded table secondarytable column id generatedvalue sequencegenerator tablegenerator version enumerated temporal lob basic transient access "
+    "onetomany manytoone onetoone manytomany joincolumn joincolumns jointable orderby orderColumn inheritance discriminatorcolumn discriminatorvalue namedquery namedqueries namednativequery "
+    "sqlresultsetmapping fieldresultsetmapping attributeoverride attributeoverrides associationoverride cacheable maptkey mapkeyenumerated mapkeycolumn maptemporal elementcollection collectiontable converter convert cascade"
+)
+SPRING_TX = "transactional cacheable cacheevict cacheput caching enabletransactionmanagement enablecaching enableasync enablescheduling enableaspectjautoproxy"
+JAX = (
+    "path produces consumes provider webservice webmethod webparam webresult xmlrootelement xmlelement xmlattribute xmlaccessortype xmltype xmltransient "
+    "xmlid xmlidref xmlschematype xmlseealso xmlanyelement xmlanyattribute"
+)
+JUNIT = (
+    "test parameterizedtest repeatedtest testfactory testtemplate beforeall beforeeach afterall aftereach nested disabled enabled enabledon\\w* disabledon\\w* tag displayname "
+    "extendwith registerextension testmethodorder testinstance timeout csvsource valuesource methodsource enumsource argumentssource csvfilesource"
+)
+SPRING_TEST = (
+    "springboottest webmvctest datajpatest datamongotest dataredistest datacassandratest jsontest jdbctest jooqtest webfluxtest restclienttest graphqltest autoconfiguremockmvc autoconfiguredatajpa "
+    "autoconfigurewebmvc mockbean spybean mockitobean spymockitobean sqlgroup sql testpropertysource activeprofiles dirtiescontext recordapplicationevents contextconfiguration "
+    "webappconfiguration importautoconfiguration bootstrapwith testexecutionlisteners transactionalconfiguration repeatedtests"
+)
+COBRA = "Run RunE PreRun PreRunE PostRun PostRunE PersistentPreRun PersistentPreRunE PersistentPostRun PersistentPostRunE"
+FLASK_HOOKS = "before_request after_request teardown_request before_app_request after_app_request teardown_app_request context_processor url_value_preprocessor url_defaults errorhandler"
 #: Entry-point rules: id, languages, type, framework, detection, pattern, second pattern, needed import. Fixed values.
 RULES = [
     ("express-route", JS, "http", "express", "callPattern", "(?i)^(app|router|server)$", f"^({_VERBS}|all|use|options|head)$", None),
@@ -20,7 +54,7 @@ RULES = [
     ("flask-route", ("python",), "http", "flask", "decorator", f"^(app|bp|blueprint)\\.(route|{_VERBS})", None, None),
     ("fastapi-route", ("python",), "http", "fastapi", "decorator", f"^(app|router)\\.({_VERBS}|options|head)", None, None),
     ("django-view", ("python",), "http", "django", "decorator", "^(api_view|action|permission_classes|login_required|csrf_exempt)", None, None),
-    ("spring-mapping", ("java",), "http", "spring", "modifier", "^(get|post|put|delete|patch|request)mapping$", None, None),
+    ("spring-mapping", ("java",), "http", "spring", "modifier", _any(SPRING_MAPPING), None, None),
     ("gin-route", ("go",), "http", "gin", "callPattern", r"(?i)^(router|r|g|group|engine|api|v\d+)$", "^(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|Any|Handle)$", None),
     ("go-http", ("go",), "http", "net/http", "callPattern", "(?i)^(http|mux|serveMux)$", "^(HandleFunc|Handle)$", None),
     ("actix-main", ("rust",), "runtime", "actix", "modifier", "^actix_web::main$", None, None),
@@ -29,12 +63,12 @@ RULES = [
     ("aspnet-controller-route", ("csharp",), "http", "aspnet", "decorator", "^(ApiController|Route|Http(Get|Post|Put|Delete|Patch|Head|Options)|AcceptVerbs)$", None, None),
     ("azure-function", ("csharp",), "http", "azure-functions", "decorator", "^(FunctionName|Function|HttpTrigger)$", None, None),
     ("aspnet-minimal-route", ("csharp",), "http", "aspnet-minimal", "callPattern", "(?i)^(app|endpoints|routes)$", "^Map(Get|Post|Put|Delete|Patch|Methods|Fallback)$", None),
-    ("spring-di", ("java",), "di", "spring", "modifier", r"^(bean|component|service|(rest)?controller(advice)?|repository|configuration|springboot\w+|enable\w+|componentscan|conditional\w*|profile|primary|qualifier|autowired|inject|value|scope|lazy|order|dependson|import(resource)?|propertysource)$", None, None),
-    ("spring-mvc-method", ("java",), "http", "spring-mvc", "modifier", r"^(initbinder|modelattribute|exceptionhandler|sessionattributes|re(quest|sponse)(body|status|param|header|attribute)|crossorigin|pathvariable|cookievalue|matrixvariable|valid(ated|ator)?)$", None, None),
-    ("jpa-entity", ("java",), "di", "jpa", "modifier", r"^(entity|mappedsuperclass|embedd(able|ed)|(secondary|join|collection)?table|(join|order|mapkey|discriminator)?columns?|id|generatedvalue|(sequence|table)generator|version|enumerated|temporal|lob|basic|transient|access|(one|many)to(one|many)|inheritance|named(native)?quer(y|ies)|attributeoverrides?|cacheable|elementcollection|convert(er)?|cascade)$", None, None),
+    ("spring-di", ("java",), "di", "spring", "modifier", _any(SPRING_DI), None, None),
+    ("spring-mvc-method", ("java",), "http", "spring-mvc", "modifier", _any(SPRING_MVC), None, None),
+    ("jpa-entity", ("java",), "di", "jpa", "modifier", _any(JPA), None, None),
     ("spring-data-query", ("java",), "di", "spring-data", "modifier", "^(query|modifying|procedure|namedquery|param|lock|querytype|entitygraph|projection)$", None, None),
-    ("spring-tx", ("java",), "di", "spring", "modifier", r"^(transactional|cach(eable|eevict|eput|ing)|enable\w+)$", None, None),
-    ("jax-binding", ("java",), "http", "jax-rs", "modifier", r"^(path|produces|consumes|provider|web(service|method|param|result)|xml\w+)$", None, None),
+    ("spring-tx", ("java",), "di", "spring", "modifier", _any(SPRING_TX), None, None),
+    ("jax-binding", ("java",), "http", "jax-rs", "modifier", _any(JAX), None, None),
     ("spring-jobs", ("java",), "jobs", "spring", "modifier", "^(scheduled|eventlistener|async)$", None, None),
     ("celery-task", ("python",), "jobs", "celery", "decorator", r"^(?:[A-Za-z_]\w*\.)?task(?!\w)|^shared_task(?!\w)", None, r"^celery(?!\w)"),
     ("pytest-fixture", ("python",), "test", "pytest", "decorator", r"^pytest\.fixture", None, None),
@@ -45,54 +79,70 @@ RULES = [
     ("go-init", ("go",), "runtime", "go", "namePattern", "^init$", "free", None),
     ("go-test", ("go",), "test", "go", "namePattern", "^(Test|Benchmark|Example|Fuzz)[A-Z_]", None, None),
     ("java-main", ("java",), "runtime", "java", "namePattern", "^main$", "static", None),
-    ("java-junit-test", ("java",), "test", "junit", "modifier", r"^(test(factory|template|methodorder|instance)?|parameterizedtest|repeatedtest|(before|after)(all|each)|nested|(en|dis)abled\w*|tag|displayname|extendwith|registerextension|timeout|\w+source)$", None, None),
-    ("spring-boot-test", ("java",), "test", "spring-boot-test", "modifier", r"^(springboottest|\w+(mvc|jpa|mongo|redis|cassandra|json|jdbc|jooq|flux|client|graphql)test|autoconfigure\w+|(mock|spy)(ito)?bean|sql(group)?|testpropertysource|activeprofiles|dirtiescontext|contextconfiguration|webappconfiguration|testexecutionlisteners)$", None, None),
-    ("spring-http-mapping", ("java",), "http", "spring", "modifier", "^(get|post|put|delete|patch|request)mapping$", None, None),
+    ("java-junit-test", ("java",), "test", "junit", "modifier", _any(JUNIT), None, None),
+    ("spring-boot-test", ("java",), "test", "spring-boot-test", "modifier", _any(SPRING_TEST), None, None),
+    ("spring-http-mapping", ("java",), "http", "spring", "modifier", _any(SPRING_MAPPING), None, None),
     ("rust-main", ("rust",), "runtime", "rust", "namePattern", "^main$", "free", None),
     ("rust-test-attr", ("rust",), "test", "rust", "modifier", r"^(test|tokio::test|cfg\(test\))$", None, None),
     ("c-family-main", ("c", "cpp"), "runtime", "native", "namePattern", "^(main|WinMain|wWinMain|DllMain)$", "free", None),
     ("csharp-main", ("csharp",), "runtime", "dotnet", "namePattern", "^Main$", "static", None),
     ("csharp-test", ("csharp",), "test", "dotnet-test", "decorator", "^(Fact|Theory|Test|TestMethod|TestCase|TestCaseSource|SetUp|OneTimeSetUp)$", None, None),
-    ("cobra-command", ("go",), "cli", "cobra", "compositePattern", r"^cobra\.Command$", "^(Persistent)?(Pre|Post)?RunE?$", None),
+    ("cobra-command", ("go",), "cli", "cobra", "compositePattern", r"^cobra\.Command$", _any(COBRA), None),
     ("js-cli-main", JS, "runtime", "node", "filePath", r"(^|/)bin/[^/]+\.(js|ts|mjs|cjs)$|(^|/)(main|cli|server)\.(js|ts|mjs|cjs)$", None, None),
     ("js-shebang-main", JS, "runtime", "node", "shebang", r"^#![^\n]*node(?!\w)", None, None),
     ("js-test-file", JS, "test", "jest", "filePath", r"(^|/)(__tests__|tests?)/|\.(test|spec)\.(js|ts|jsx|tsx|mjs|cjs)$", None, None),
     ("next-page", JS, "runtime", "next", "filePath", r"(^|/)(pages|app)/.*\.(js|ts|jsx|tsx|mjs|cjs)$", None, None),
     ("python-main-module", ("python",), "runtime", "python", "filePath", r"(^|/)__main__\.py$", None, None),
     ("django-command", ("python",), "cli", "django", "filePath", r"(^|/)management/commands/[^/]+\.py$", None, None),
-    ("flask-event-hook", ("python",), "events", "flask", "decorator", r"^(app|bp|blueprint)\.((before|after|teardown)_(app_)?request|context_processor|url_value_preprocessor|url_defaults|errorhandler)", None, None),
+    ("flask-event-hook", ("python",), "events", "flask", "decorator", _any(FLASK_HOOKS, r"^(app|bp|blueprint)\.", ""), None, None),
     ("click-command", ("python",), "cli", "click", "decorator", r"^(click\.)?(command|group)|^[A-Za-z_]\w*\.(command|group)$", None, None),
 ]
 
 
+#: Imports that prefer a rule where several match a symbol. Fixed values.
+SIGNALS = {"flask-route": r"^flask(?!\w)", "fastapi-route": r"^fastapi(?!\w)", "flask-event-hook": r"^flask(?!\w)"}
+
+
 def rules_table(spark: SparkSession) -> DataFrame:
-    """The fixed rules as a table: rule, language, type, framework, detection, patterns. Its size does not depend on data."""
-    rows = [(i, lang, t, f, d, p, q, m) for i, langs, t, f, d, p, q, m in RULES for lang in langs]
-    return spark.createDataFrame(rows, "rule string, language string, type string, framework string, detection string, pattern string, pattern2 string, needs string")
+    """The fixed rules as a table: rule, language, type, framework, detection, patterns, place. Its size does not depend on data."""
+    rows = [(i, lang, t, f, d, p, q, m, SIGNALS.get(i), k) for k, (i, langs, t, f, d, p, q, m) in enumerate(RULES) for lang in langs]
+    return spark.createDataFrame(rows, "rule string, language string, type string, framework string, detection string, pattern string, pattern2 string, needs string, signal string, place int")
 
 
-def entry_points(symbols: DataFrame, calls: DataFrame, files: DataFrame, imports: DataFrame, rules: DataFrame) -> DataFrame:
-    """Symbols and files that something outside calls: ``symbol_id, name, file, line, rule, type, framework, confidence``, the surest rule for each."""
+def entry_points(symbols: DataFrame, calls: DataFrame, files: DataFrame, imports: DataFrame, rules: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """Symbols and files that something outside calls: ``symbol_id, name, file, line, rule, type, framework, confidence``, the surest rule for each.
+
+    ``calls`` with a ``shape`` like ``pkg.Type{Field}`` are functions given to a
+    composite literal's field; ``lines`` (``file, line, text``) show shebangs.
+    """
     rule = F.broadcast(rules)
     modules = imports.groupBy("file").agg(F.collect_set("module").alias("modules"))
     own = symbols.join(modules, "file", "left")
     tagged = own.join(rule.filter("detection in ('decorator', 'modifier')"), "language")
     hit = F.when(F.col("detection") == "decorator", F.expr("exists(coalesce(decorators, array()), d -> d rlike pattern)")).otherwise(F.expr("exists(coalesce(modifiers, array()), m -> lower(m) rlike pattern OR m rlike pattern)"))
-    tagged = tagged.filter(hit & (F.col("needs").isNull() | F.expr("exists(coalesce(modules, array()), m -> m rlike needs)"))).withColumn("confidence", F.lit(0.95))
+    tagged = tagged.filter(hit & (F.col("needs").isNull() | F.expr("exists(coalesce(modules, array()), m -> m rlike needs)"))).withColumn("confidence", F.lit(0.95)).withColumn("backed", F.expr("coalesce(exists(modules, m -> m rlike signal), false)"))
     named = own.filter("family = 'callable'").join(rule.filter("detection = 'namePattern'"), "language")
     free = F.col("owner").isNull() & F.col("receiver").isNull()
-    named = named.filter(F.expr("name rlike pattern") & (F.col("pattern2").isNull() | ((F.col("pattern2") == "free") & free) | ((F.col("pattern2") == "static") & F.expr("array_contains(modifiers, 'static')")))).withColumn("confidence", F.lit(1.0))
-    columns = ["symbol_id", "name", "file", F.col("start_line").alias("line"), "rule", "type", "framework", "confidence"]
+    named = named.filter(F.expr("name rlike pattern") & (F.col("pattern2").isNull() | ((F.col("pattern2") == "free") & free) | ((F.col("pattern2") == "static") & F.expr("array_contains(modifiers, 'static')")))).withColumns({"confidence": F.lit(1.0), "backed": F.lit(False)})
+    columns = ["symbol_id", "name", "file", F.col("start_line").alias("line"), "rule", "type", "framework", "confidence", "place", "backed"]
     found = tagged.select(*columns).unionByName(named.select(*columns))
     # a handler named on the line of a route call with a literal path
     routed = calls.filter("is_method AND first_string_arg IS NOT NULL").join(files.select("file", "language"), "file").join(rule.filter("detection = 'callPattern'"), "language").filter(F.expr("receiver rlike pattern AND name rlike pattern2"))
     handlers = calls.filter("is_function_ref").select("file", "line", F.col("name").alias("handler"))
-    handled = routed.select("file", "line", "rule", "type", "framework").join(handlers, ["file", "line"]).join(symbols.select("symbol_id", F.col("name").alias("handler"), F.col("file").alias("def_file"), "start_line"), "handler")
+    given = routed.select("file", "line", "rule", "type", "framework", "place").join(handlers, ["file", "line"])
+    if "shape" in calls.columns:
+        fields = calls.filter(F.col("is_function_ref") & F.col("shape").rlike(r"^[\\w.]+\\{\\w+\\}$")).join(files.select("file", "language"), "file").join(rule.filter("detection = 'compositePattern'"), "language")
+        fields = fields.filter(F.expr(r"regexp_extract(shape, '^([^{]*)', 1) rlike pattern AND regexp_extract(shape, '[{](\\w+)[}]$', 1) rlike pattern2"))
+        given = given.unionByName(fields.select("file", "line", "rule", "type", "framework", "place", F.col("name").alias("handler")))
+    handled = given.join(symbols.select("symbol_id", F.col("name").alias("handler"), F.col("file").alias("def_file"), "start_line"), "handler")
     best = F.min(F.struct((F.col("def_file") != F.col("file")).alias("other"), "def_file", "start_line", "symbol_id"))
-    handled = handled.groupBy("handler", "file", "line", "rule", "type", "framework").agg(best.alias("b")).select(F.col("b.symbol_id").alias("symbol_id"), F.col("handler").alias("name"), F.col("b.def_file").alias("file"), F.col("b.start_line").alias("line"), "rule", "type", "framework", F.lit(0.9).alias("confidence"))
-    paths = files.join(rule.filter("detection = 'filePath'"), "language").filter(F.expr("rel rlike pattern")).select(F.lit(None).cast("string").alias("symbol_id"), F.col("rel").alias("name"), "file", F.lit(1).alias("line"), "rule", "type", "framework", F.lit(0.9).alias("confidence"))
+    handled = handled.groupBy("handler", "file", "line", "rule", "type", "framework", "place").agg(best.alias("b")).select(F.col("b.symbol_id").alias("symbol_id"), F.col("handler").alias("name"), F.col("b.def_file").alias("file"), F.col("b.start_line").alias("line"), "rule", "type", "framework", F.lit(0.9).alias("confidence"), "place", F.lit(False).alias("backed"))
+    paths = files.join(rule.filter("detection = 'filePath'"), "language").filter(F.expr("rel rlike pattern")).select(F.lit(None).cast("string").alias("symbol_id"), F.col("rel").alias("name"), "file", F.lit(1).alias("line"), "rule", "type", "framework", F.lit(0.9).alias("confidence"), "place", F.lit(False).alias("backed"))
     every = found.unionByName(handled).unionByName(paths)
-    order = F.min(F.struct((-F.col("confidence")).alias("worse"), "rule", "type", "framework"))
+    if lines is not None:
+        first = lines.filter("line = 1 AND text LIKE '#!%'").select("file", "text").join(files.select("file", "rel", "language"), "file").join(rule.filter("detection = 'shebang'"), "language").filter(F.expr("text rlike pattern"))
+        every = every.unionByName(first.select(F.lit(None).cast("string").alias("symbol_id"), F.col("rel").alias("name"), "file", F.lit(1).alias("line"), "rule", "type", "framework", F.lit(0.95).alias("confidence"), "place", F.lit(False).alias("backed")))
+    order = F.min(F.struct((-F.col("confidence")).alias("worse"), (~F.col("backed")).alias("bare"), "place", "rule", "type", "framework"))
     return every.groupBy("symbol_id", "name", "file", "line").agg(order.alias("b")).select("symbol_id", "name", "file", "line", F.col("b.rule").alias("rule"), F.col("b.type").alias("type"), F.col("b.framework").alias("framework"), (-F.col("b.worse")).alias("confidence"))
 
 
@@ -103,17 +153,54 @@ def token_table(lines: DataFrame, text: str = "masked") -> DataFrame:
 
 #: Decorators that register nothing.
 QUIET = ("staticmethod", "classmethod", "property", "abstractmethod", "override", "Override", "functools.wraps", "cached_property", "dataclass", "overload")
-
-
-def deadcode(symbols: DataFrame, edges: DataFrame, tokens: DataFrame, entries: DataFrame, issues: DataFrame, include_exported: bool = False, include_decorated: bool = False, include_tests: bool = False) -> DataFrame:
+#: Methods that Go's standard interfaces call, with their numbers of parameters. Fixed values.
+GO_PROTOCOL = {
+    "Len": 0, "Less": 2, "Swap": 2, "ServeHTTP": 2, "Error": 0, "String": 0, "Read": 1, "Write": 1, "Close": 0, "Seek": 2, "ReadAt": 2, "WriteAt": 2, "ReadByte": 0, "WriteByte": 1, "ReadRune": 0, "UnreadByte": 0, "UnreadRune": 0,
+    "MarshalJSON": 0, "UnmarshalJSON": 1, "MarshalText": 0, "UnmarshalText": 1, "MarshalBinary": 0, "UnmarshalBinary": 1, "Scan": 1, "Value": 0, "LogValue": 0, "Unwrap": 0, "Is": 1, "As": 1,
+}
+#: Bases that call nothing of their children.
+_ROOTS = ("object", "Object", "ABC", "Protocol", "Generic", "Enum")
+#: Issues after which a file's text is known to nobody.
+UNREAD = ("unreadable", "skipped")
+
+
+def external_heritage(symbols: DataFrame, depth: int = 8) -> DataFrame:
+    """``owner``: types with an ancestor, up to ``depth`` levels, that the index doesn't define."""
+    types = symbols.filter("family = 'type'").select("name", F.explode("bases").alias("base"))
+    pairs = types.select("name", F.regexp_extract(F.regexp_replace("base", "<.*$", ""), r"([A-Za-z_$][\w$]*)$", 1).alias("base")).filter((F.col("base") != "") & ~F.col("base").isin(*_ROOTS)).distinct()
+    known = symbols.filter("family = 'type'").select(F.col("name").alias("base")).distinct()
+    found = pairs.join(known, "base", "left_anti").select("name").distinct()
+    for _ in range(max(1, depth).bit_length()):  # each round joins paths of twice the length
+        found = found.union(pairs.join(found.select(F.col("name").alias("base")), "base", "left_semi").select("name")).distinct()
+        pairs = pairs.union(pairs.join(pairs.select(F.col("name").alias("base"), F.col("base").alias("far")), "base").select("name", F.col("far").alias("base"))).distinct()
+    return found.select(F.col("name").alias("owner"))
+
+
+def dispatch_holders(lines: DataFrame, text: str = "masked") -> DataFrame:
+    """``file, holder``: names whose members code picks at run time and calls: ``x[key](...)``, ``getattr(x, key)(...)``, or first into a variable."""
+    holder = r"([A-Za-z_$][A-Za-z0-9_$]*)\[\s*[A-Za-z_$][^\]]*\]\s*\("
+    direct = lines.select("file", F.explode(F.regexp_extract_all(F.col(text), F.lit(holder), F.lit(1))).alias("holder"))
+    got = lines.select("file", F.explode(F.regexp_extract_all(F.col(text), F.lit(r"getattr\(\s*([A-Za-z_][A-Za-z0-9_.]*)\s*,\s*[A-Za-z_]"), F.lit(1))).alias("holder"))
+    kept = r"([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*([A-Za-z_$][A-Za-z0-9_$]*)\[\s*[A-Za-z_$][^\]]*\]\s*;?\s*$"
+    held = lines.select("file", F.regexp_extract(F.col(text), kept, 1).alias("local"), F.regexp_extract(F.col(text), kept, 2).alias("holder")).filter("local <> ''")
+    used = lines.select("file", F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?<![A-Za-z0-9_$.])([A-Za-z_$][A-Za-z0-9_$]*)\("), F.lit(1))).alias("local")).distinct()
+    return direct.unionByName(got).unionByName(held.join(used, ["file", "local"], "left_semi").select("file", "holder")).distinct()
+
+
+def deadcode(symbols: DataFrame, edges: DataFrame, tokens: DataFrame, entries: DataFrame, issues: DataFrame, include_exported: bool = False, include_decorated: bool = False, include_tests: bool = False, gaps: DataFrame | None = None, holders: DataFrame | None = None) -> DataFrame:
     """Every callable and type with why it is kept, or ``candidate``: the first rule of the policy that holds.
 
-    An unreadable file withdraws all claims. A name that occurs as a token
-    outside its own definitions is used. Each rule's count is the report's.
+    A file that nobody read withdraws all claims. A name that occurs as a token
+    outside its own definitions is used, and so is one in ``gaps`` (``token``:
+    those of readable files in languages without an adapter). Members of what
+    code dispatches on at run time (``holders``: ``file, holder``), and methods
+    whose type has an ancestor outside the index, or that a protocol calls, are
+    kept unless ``include_exported``. Each rule's count is the report's.
     """
     audited = symbols.filter("family in ('callable', 'type')")
-    called = edges.filter("tier <> 'excluded'").filter(F.col("enclosing_id").isNull() | (F.col("enclosing_id") != F.col("to_id"))).select(F.col("to_id").alias("symbol_id")).distinct().withColumn("called", F.lit(True))
-    unread = issues.filter("kind = 'unreadable'").agg((F.count("*") > 0).alias("withdrawn"))
+    own = edges.filter("tier <> 'excluded'").filter(F.col("enclosing_id").isNull() | (F.col("enclosing_id") != F.col("to_id")))
+    called = own.select(F.col("to_id").alias("symbol_id")).distinct().withColumn("called", F.lit(True))
+    unread = issues.filter(F.col("kind").isin(*UNREAD)).agg((F.count("*") > 0).alias("withdrawn"))
     spans = audited.select("symbol_id", F.col("name").alias("token"), "file", "start_line", "end_line")
     names = audited.select(F.col("name").alias("token"), "file", F.coalesce("name_line", "start_line").alias("line")).distinct()
     # a mention is an occurrence off the name's definition lines; used, if there are more than inside the symbol itself.
@@ -123,19 +210,30 @@ def deadcode(symbols: DataFrame, edges: DataFrame, tokens: DataFrame, entries: D
     inside = mentions.join(spans, ["token", "file"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line"))).groupBy("symbol_id").agg(F.count("*").alias("inside"))
     used = spans.select("symbol_id", "token").join(total, "token").join(inside, "symbol_id", "left").filter(F.col("everywhere") > F.coalesce("inside", F.lit(0))).select("symbol_id").withColumn("mentioned", F.lit(True))
     live_owner = symbols.filter("owner IS NOT NULL").join(called, "symbol_id").select(F.col("owner").alias("name"), "file").distinct().withColumn("live_member", F.lit(True))
+    made = symbols.filter("family = 'type'").join(called, "symbol_id").select(F.col("name").alias("owner"), "file").distinct().withColumn("made", F.lit(True))
     starts = entries.filter("symbol_id IS NOT NULL").select("symbol_id").distinct().withColumn("entry", F.lit(True))
-    rows = audited.join(called, "symbol_id", "left").join(used, "symbol_id", "left").join(starts, "symbol_id", "left").join(live_owner, ["name", "file"], "left").crossJoin(F.broadcast(unread))
+    rows = audited.join(called, "symbol_id", "left").join(used, "symbol_id", "left").join(starts, "symbol_id", "left").join(live_owner, ["name", "file"], "left").join(made, ["owner", "file"], "left")
+    rows = rows.join(external_heritage(symbols).withColumn("external", F.lit(True)), "owner", "left").crossJoin(F.broadcast(unread))
+    none = F.lit(None).cast("boolean")
+    rows = rows.join(gaps.select(F.col("token").alias("name")).distinct().withColumn("elsewhere", F.lit(True)), "name", "left") if gaps is not None else rows.withColumn("elsewhere", none)
+    rows = rows.join(holders.select("file", F.col("holder").alias("owner")).distinct().withColumn("picked", F.lit(True)), ["file", "owner"], "left") if holders is not None else rows.withColumn("picked", none)
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     decorated = F.exists(F.coalesce("decorators", F.array().cast("array<string>")), lambda d: ~d.isin(*QUIET))
+    sizes = F.create_map(*(F.lit(x) for pair in GO_PROTOCOL.items() for x in pair))
+    protocol = (F.col("language") == "go") & F.col("owner").isNotNull() & F.coalesce(F.col("params_structured").isNull() & F.col("name").isin(*GO_PROTOCOL) | (F.try_element_at(sizes, F.col("name")) == F.size("params_structured")), F.lit(False))
     verdict = (
         F.when(F.col("withdrawn"), "withdrawn")
+        .when(yes("elsewhere"), "unsupported-mention")
         .when(F.lit(not include_tests) & (is_test_path(F.col("rel")) | (F.coalesce("entry_kind", F.lit("")) == "test")), "test")
         .when(yes("entry") | F.col("entry_kind").isNotNull(), "entry-point")
         .when(F.lit(not include_decorated) & decorated, "decorated")
         .when(F.lit(not include_exported) & yes("is_exported"), "exported")
         .when(yes("called"), "called")
+        .when((F.col("kind") == "constructor") & yes("made"), "constructor")
         .when(yes("live_member"), "live-member")
         .when(yes("mentioned"), "mentioned")
+        .when(yes("picked"), "dynamic-dispatch")
+        .when(F.lit(not include_exported) & (F.col("family") == "callable") & (yes("external") | protocol), "external-contract")
         .otherwise("candidate")
     )
     return rows.select("symbol_id", "name", "kind", "rel", "start_line", "end_line", verdict.alias("verdict"))

@@ -57,65 +57,134 @@ def innermost(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     return inside.groupBy("file", "line").agg(best.alias("b")).select("file", "line", F.col("b.enclosing_id").alias("enclosing_id"), F.col("b.enclosing").alias("enclosing"))
 
 
-def resolve_calls(calls: DataFrame, symbols: DataFrame, import_edges: DataFrame, inherit_edges: DataFrame | None = None, files: DataFrame | None = None, builtins: tuple[str, ...] = ("console", "Math", "JSON", "Object", "Array", "Promise", "os", "sys", "json", "math")) -> DataFrame:
-    """Candidate edges from each call to the definitions of its name (or an alias's target), with evidence, tier and reason.
+#: Receivers that stand for the class around a call.
+OWN = ("this", "self", "cls", "super", "super()", "base", "Self")
+#: Languages whose functions can't be called through a value's member, and those that choose among overloads by argument types.
+STATIC, OVERLOADS = ("go", "rust", "java", "c", "cpp", "csharp"), ("java", "cpp", "csharp")
+_NUMBER = ("int", "long", "short", "byte", "float", "double", "Integer", "Long", "Double", "bool", "boolean", "Boolean", "size_t", "decimal")
+_STRING = ("String", "string", "std::string", "const std::string&", "char*", "const char*", "CharSequence", "bool", "boolean")
+
+
+def ancestors(inherit_edges: DataFrame, doublings: int = 2) -> DataFrame:
+    """``child, parent`` of parents and theirs, up to two to the power of ``doublings`` levels."""
+    pairs = inherit_edges.select("child", "parent").distinct()
+    for _ in range(doublings):
+        far = pairs.join(pairs.select(F.col("child").alias("parent"), F.col("parent").alias("far")), "parent").select("child", F.col("far").alias("parent"))
+        pairs = pairs.unionByName(far).distinct()
+    return pairs.filter("child <> parent")
+
+
+def _family(c: str) -> Column:
+    return F.when(F.col(c).isin("typescript", "tsx", "html"), "javascript").when(F.col(c) == "cpp", "c").otherwise(F.col(c))
+
 
-    An equi-join on name; evidence comes from joins by file, owner and importer.
-    Unknown never confirms. Excluded edges carry the reason: a local shadows the
-    name, another definition binds it (its own file's, an imported file's), the
-    argument count can't fit, or the kinds differ. With ``files``, only
-    definitions in languages that can call each other are candidates.
+def call_sites(calls: DataFrame, symbols: DataFrame, import_edges: DataFrame, files: DataFrame | None = None, bound: DataFrame | None = None) -> DataFrame:
+    """Calls with all that is known of a site alone, a row for each call and name it may mean.
+
+    Adds ``call_id, target, aliased, enclosing_id, enclosing, own_class,
+    own_family, local_def, import_def, module_receiver, external, class_receiver``.
     """
-    sites = calls.withColumn("call_id", F.concat_ws(":", "file", "line", F.col("seq").cast("string"), "name"))
     names = F.when(F.size("resolved_names") > 0, F.col("resolved_names")).otherwise(F.array("name"))
-    sites = sites.withColumn("target", F.explode(names)).withColumn("aliased", F.col("target") != F.col("name"))
-    defs = symbols.filter("family in ('callable', 'type')").select(
-        F.col("name").alias("target"), F.col("symbol_id").alias("to_id"), F.col("file").alias("to_file"), F.col("owner").alias("to_owner"), F.col("kind").alias("to_kind"), F.col("start_line").alias("to_start"), F.col("end_line").alias("to_end"), F.col("params_structured").alias("to_params"), F.col("language").alias("to_language"),
-    )
-    owners = symbols.filter("family = 'callable'").groupBy(F.col("name").alias("target")).agg(F.countDistinct(F.coalesce("owner", F.lit(""))).alias("owners"), F.count("*").alias("definitions"))
-    edges = sites.join(defs, "target").join(owners, "target", "left")
-    if files is not None:
-        family = lambda c: F.when(F.col(c).isin("typescript", "tsx", "html"), "javascript").when(F.col(c) == "cpp", "c").otherwise(F.col(c))
-        edges = edges.join(files.select("file", family("language").alias("own_family")), "file").filter(F.col("own_family") == family("to_language"))
+    sites = calls.withColumn("call_id", F.concat_ws(":", "file", "line", F.col("seq").cast("string"), "name")).withColumn("target", F.explode(names)).withColumn("aliased", F.col("target") != F.col("name"))
     around = innermost(calls, symbols).join(symbols.select(F.col("symbol_id").alias("enclosing_id"), F.col("owner").alias("own_class")), "enclosing_id")
-    edges = edges.join(around, ["file", "line"], "left")
+    sites = sites.join(around, ["file", "line"], "left")
+    sites = sites.join(files.select("file", _family("language").alias("own_family")), "file") if files is not None else sites.withColumn("own_family", F.lit(None).cast("string"))
+    free = symbols.filter("family in ('callable', 'type') AND owner IS NULL").select("file", F.col("name").alias("target")).distinct()
+    sites = sites.join(free.withColumn("local_def", F.lit(True)), ["file", "target"], "left")
+    reached = import_edges.select(F.col("src"), F.col("dst").alias("file")).distinct().join(free, "file").select(F.col("src").alias("file"), "target").distinct()
+    sites = sites.join(reached.withColumn("import_def", F.lit(True)), ["file", "target"], "left")
+    if bound is not None:
+        sites = sites.join(bound.groupBy("file", F.col("name").alias("receiver")).agg(F.max("external").alias("external"), F.lit(True).alias("module_receiver")), ["file", "receiver"], "left")
+    else:
+        sites = sites.withColumns({"external": F.lit(None).cast("boolean"), "module_receiver": F.lit(None).cast("boolean")})
+    owners = symbols.filter("owner IS NOT NULL").select(F.element_at(F.split("owner", "::"), -1).alias("receiver_name")).distinct().withColumn("class_receiver", F.lit(True))
+    return sites.withColumn("receiver_name", F.element_at(F.split(F.coalesce("receiver", F.lit("")), "::|\\."), -1)).join(owners, "receiver_name", "left")
+
+
+def definitions(symbols: DataFrame) -> DataFrame:
+    """Callables and types as targets, with how many owners and definitions share the name, and overloads of one owner the number of parameters."""
+    own = symbols.filter("family in ('callable', 'type')").select(
+        F.col("name").alias("target"), F.col("symbol_id").alias("to_id"), F.col("file").alias("to_file"), F.col("owner").alias("to_owner"), F.col("kind").alias("to_kind"), F.col("family").alias("to_family"), F.col("params_structured").alias("to_params"), F.col("language").alias("to_language"),
+    )
+    own = own.withColumn("to_size", F.coalesce(F.size("to_params"), F.lit(-1)))
+    callable_ = own.filter("to_family = 'callable'")
+    names = callable_.groupBy("target").agg(F.countDistinct(F.coalesce("to_owner", F.lit(""))).alias("owners"), F.count("*").alias("definitions"))
+    overloads = callable_.filter(F.col("to_language").isin(*OVERLOADS)).groupBy("target", "to_file", F.coalesce("to_owner", F.lit("")).alias("__owner"), "to_size").agg(F.count("*").alias("overloads")).filter("overloads > 1")
+    own = own.withColumn("__owner", F.coalesce("to_owner", F.lit(""))).join(names, "target", "left").join(overloads, ["target", "to_file", "__owner", "to_size"], "left")
+    return own.drop("__owner", "to_size")
+
+
+def resolve_calls(calls: DataFrame, symbols: DataFrame, import_edges: DataFrame, inherit_edges: DataFrame | None = None, files: DataFrame | None = None, builtins: tuple[str, ...] = ("console", "Math", "JSON", "Object", "Array", "Promise", "os", "sys", "json", "math"), bound: DataFrame | None = None, explain: bool = True) -> DataFrame:
+    """Candidate edges from each call to the definitions of its name (or an alias's target), with evidence, tier and reason.
+
+    What is known of a site alone (its class, its file's and imports' own
+    definitions of the name, what its receiver names) is joined to the calls
+    first; then calls meet definitions by name, and only evidence on the pair is
+    joined after. Unknown never confirms. Excluded edges carry the reason. With
+    ``files``, only definitions in languages that can call each other are
+    candidates. ``bound``: ``file, name, external``, the names that imports bind
+    to modules, and whether outside the project. ``inherit_edges`` should hold
+    ancestors of all levels that count (``ancestors``).
+
+    With ``explain`` false, calls that their own file or an import binds meet
+    only definitions there: the edges that ``other-definition`` would exclude
+    aren't made, so a common name of local helpers costs what its calls do.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    sites, defs = call_sites(calls, symbols, import_edges, files, bound), definitions(symbols)
     imports = import_edges.select(F.col("src").alias("file"), F.col("dst").alias("to_file")).distinct().withColumn("imported", F.lit(True))
-    edges = edges.join(imports, ["file", "to_file"], "left")
-    local = symbols.filter("family in ('callable', 'type') AND owner IS NULL").select(F.col("file"), F.col("name").alias("target")).distinct().withColumn("local_def", F.lit(True))
-    edges = edges.join(local, ["file", "target"], "left")
-    via_import = import_edges.select("src", "dst").distinct().join(defs.select(F.col("target"), F.col("to_file").alias("dst"), "to_owner").filter("to_owner IS NULL").select("target", "dst").distinct(), "dst").select(F.col("src").alias("file"), "target").distinct().withColumn("import_def", F.lit(True))
-    edges = edges.join(via_import, ["file", "target"], "left")
+    if explain:
+        edges = sites.join(defs, "target").join(imports, ["file", "to_file"], "left")
+    else:
+        fixed = ~yes(F.col("is_method")) & ~F.col("aliased") & (yes(F.col("local_def")) | yes(F.col("import_def")))
+        loose = sites.filter(~fixed).join(defs, "target").join(imports, ["file", "to_file"], "left")
+        own = sites.filter(fixed).join(defs.withColumn("file", F.col("to_file")), ["file", "target"]).withColumn("imported", F.lit(None).cast("boolean"))
+        other = sites.filter(fixed & ~yes(F.col("local_def"))).join(imports, "file").join(defs, ["to_file", "target"])
+        edges = loose.unionByName(own).unionByName(other)
+    if files is not None:
+        edges = edges.filter(F.col("own_family") == _family("to_language"))
     if inherit_edges is not None:
-        parents = inherit_edges.select(F.col("child").alias("own_class"), F.col("parent").alias("to_owner")).distinct().withColumn("inherits", F.lit(True))
-        edges = edges.join(parents, ["own_class", "to_owner"], "left")
+        related = inherit_edges.select("child", "parent").distinct()
+        for name, child, parent in (("inherits", "own_class", "to_owner"), ("inherited", "receiver_type", "to_owner"), ("overrides", "to_owner", "receiver_type")):
+            edges = edges.join(related.select(F.col("child").alias(child), F.col("parent").alias(parent)).withColumn(name, F.lit(True)), [child, parent], "left")
     else:
-        edges = edges.withColumn("inherits", F.lit(None).cast("boolean"))
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    same_file, own = F.col("file") == F.col("to_file"), yes(F.col("receiver").isin("this", "self", "cls", "super", "super()"))
+        edges = edges.withColumns(dict.fromkeys(("inherits", "inherited", "overrides"), F.lit(None).cast("boolean")))
+    same_file, own = F.col("file") == F.col("to_file"), yes(F.col("receiver").isin(*OWN))
     method, bare = yes(F.col("is_method")), ~yes(F.col("is_method"))
     standalone, imported = F.col("to_owner").isNull(), yes(F.col("imported"))
-    builtin = yes(F.col("receiver").isin(*builtins))
-    typed = yes((F.col("receiver_type") == F.col("to_owner")) | (F.col("receiver") == F.col("to_owner")))
+    builtin, module = yes(F.col("receiver").isin(*builtins)), yes(F.col("module_receiver"))
+    owner_name = F.element_at(F.split(F.coalesce("to_owner", F.lit("")), "::"), -1)
+    by_class = method & yes(F.col("class_receiver")) & ~own
+    typed = yes(F.col("receiver_type") == F.col("to_owner")) | yes(F.col("receiver") == F.col("to_owner")) | (by_class & ~standalone & (F.col("receiver_name") == owner_name))
     low, high, rest = arity("to_params")
     fits = F.col("to_params").isNull() | yes(F.col("arg_spread")) | F.col("arg_count").isNull() | ((F.col("arg_count") >= low) & (rest | (F.col("arg_count") <= high)))
-    shadowing = (
+    kinds = F.split(F.coalesce("shape", F.lit("")), ",") if "shape" in calls.columns else F.array(F.lit(""))
+    clash = F.exists(F.arrays_zip(kinds.alias("k"), F.coalesce("to_params", F.array()).alias("p")), lambda z: yes(((z["k"] == "str") & z["p"]["type"].isin(*_NUMBER)) | ((z["k"] == "num") & z["p"]["type"].isin(*_STRING))))
+    overloaded = F.coalesce("overloads", F.lit(1)) > 1
+    unrelated = ~typed & ~yes(F.col("inherited")) & ~yes(F.col("overrides"))
+    reason = (
         F.when(yes(F.col("local_shadow")), "local-shadow")
+        .when(method & (builtin | yes(F.col("external")) | yes(F.col("receiver").rlike("^(std|core|alloc)(::|$)"))), "external-package")
         .when(bare & ~same_file & yes(F.col("local_def")) & ~F.col("aliased"), "other-definition")
         .when(bare & ~same_file & ~imported & yes(F.col("import_def")), "other-definition-import")
-        .when(bare & ~standalone & ~F.col("to_kind").isin("class", "constructor") & (F.col("to_owner") != F.coalesce("own_class", F.lit(""))), "kind-mismatch")
+        .when(bare & ~standalone & ~F.col("to_kind").isin("class", "constructor") & (F.col("to_owner") != F.coalesce("own_class", F.lit(""))) & ~yes(F.col("inherits")), "kind-mismatch")
+        .when(method & module & ~standalone & ~typed, "kind-mismatch")
+        .when(method & standalone & F.col("receiver").isNotNull() & ~module & (F.col("to_family") == "callable") & F.col("to_language").isin(*STATIC), "kind-mismatch")
         .when(method & own & ~standalone & F.col("own_class").isNotNull() & (F.col("to_owner") != F.col("own_class")) & ~yes(F.col("inherits")), "other-class")
-        .when(method & builtin, "external-package")
-        .when(~F.col("to_kind").isin("class") & ~fits, "arity-mismatch")
+        .when(by_class & ~standalone & unrelated & (F.col("to_language") == "rust") & F.col("receiver").rlike("(^|::)[A-Z][^:]*$"), "path-type-mismatch")
+        .when((F.col("to_family") == "callable") & ~fits, "arity-mismatch")
+        .when(overloaded & clash, "overload-mismatch")
     )
     reference = yes(F.col("is_function_ref"))
+    ambiguous = overloaded & ~F.exists(kinds, lambda k: k.isin("str", "num"))
     edges = edges.withColumns({
-        "reason": shadowing,
+        "reason": reason,
         "has_binding": bare & standalone & (same_file | (imported & (F.col("definitions") == 1))) & ~reference,
-        "same_class": method & own & yes(F.col("to_owner") == F.col("own_class")),
-        "receiver_hint": method & typed,
-        "possible_dispatch": method & own & yes(F.col("inherits")) & (F.col("owners") > 1),
-        "method_ambiguous": method & ~own & ~typed & ~standalone & (F.col("owners") > 1),
-        "type_mismatch": method & F.col("receiver_type").isNotNull() & ~typed & ~standalone & ~yes(F.col("inherits")),
+        "same_class": (method & own & yes(F.col("to_owner") == F.col("own_class"))) | (bare & ~reference & yes(F.col("to_owner") == F.col("own_class")) & F.col("to_language").isin(*STATIC)),
+        "receiver_hint": method & (typed | yes(F.col("inherited"))),
+        "possible_dispatch": method & ~typed & ((own & yes(F.col("inherits")) & (F.col("owners") > 1)) | yes(F.col("overrides"))),
+        "method_ambiguous": (method & ~own & ~typed & ~yes(F.col("inherited")) & ~standalone & (F.col("owners") > 1) & F.col("receiver_type").isNull()) | ambiguous,
+        "type_mismatch": method & F.col("receiver_type").isNotNull() & unrelated & ~standalone & ~yes(F.col("inherits")),
         "reference_in_scope": reference & (same_file | imported),
         "reference_only": reference & ~(same_file | imported),
         "in_scope": imported | same_file | (method & ~builtin & ~standalone & (F.col("owners") == 1)),
@@ -133,25 +202,38 @@ def arity(params: str) -> tuple[Column, Column, Column]:
     return F.size(needed), F.size(plain), F.exists(params, lambda p: F.coalesce(p["rest"], F.lit(False)) & ~F.coalesce(p["keyword_only"], F.lit(False)))
 
 
+def signature(params: str = "params_structured") -> Column:
+    """What a call is checked against, read off a parameter list once for each definition: a struct, null without a list."""
+    of = lambda keep: F.transform(F.filter(params, keep), lambda p: p["name"])
+    yes = lambda p, c: F.coalesce(p[c], F.lit(False))
+    own = lambda p: ~F.coalesce(p["name"].isin("self", "cls", "this"), F.lit(False)) & ~yes(p, "rest")
+    _, most, rest = arity(params)
+    made = F.struct(
+        of(lambda p: ~yes(p, "rest") & ~yes(p, "positional_only")).alias("named"),
+        of(lambda p: own(p) & ~yes(p, "keyword_only")).alias("positional"),
+        of(lambda p: own(p) & ~yes(p, "optional") & p["default"].isNull()).alias("needed"),
+        F.exists(params, lambda p: yes(p, "rest") & yes(p, "keyword_only")).alias("swallow"), most.alias("most"), rest.alias("rest"),
+    )
+    return F.when(F.col(params).isNotNull(), made)
+
+
 def verify(sites: DataFrame) -> DataFrame:
     """Each site against its target's parameters: ``valid``, ``mismatch`` or ``uncertain`` (a spread). Keywords bind by name first.
 
-    ``sites``: ``arg_count`` (positional), ``arg_spread``, ``keywords``,
-    ``params_structured``.
+    ``sites``: ``arg_count`` (positional), ``arg_spread``, ``keywords``, and
+    ``signature`` or ``params_structured``.
     """
-    params, words = F.col("params_structured"), F.coalesce("keywords", F.array().cast("array<string>"))
-    named = F.transform(F.filter(params, lambda p: ~F.coalesce(p["rest"], F.lit(False)) & ~F.coalesce(p["positional_only"], F.lit(False))), lambda p: p["name"])
-    swallow = F.exists(params, lambda p: F.coalesce(p["rest"], F.lit(False)) & F.coalesce(p["keyword_only"], F.lit(False)))
-    unknown = F.size(F.array_except(words, named)) > 0
-    positional = F.filter(params, lambda p: ~F.coalesce(p["name"].isin("self", "cls", "this"), F.lit(False)) & ~F.coalesce(p["keyword_only"], F.lit(False)) & ~F.coalesce(p["rest"], F.lit(False)))
-    bound = F.slice(F.transform(positional, lambda p: p["name"]), 1, F.greatest(F.lit(0), F.least(F.col("arg_count"), F.size(positional))))
+    given = "signature" in sites.columns
+    rows = sites if given else sites.withColumn("signature", signature())
+    own, words = F.col("signature"), F.coalesce("keywords", F.array().cast("array<string>"))
+    unknown = F.size(F.array_except(words, own["named"])) > 0
+    bound = F.slice(own["positional"], 1, F.greatest(F.lit(0), F.least(F.col("arg_count"), F.size(own["positional"]))))
     twice = F.size(F.array_intersect(bound, words)) > 0
-    needed = F.transform(F.filter(params, lambda p: ~F.coalesce(p["name"].isin("self", "cls", "this"), F.lit(False)) & ~F.coalesce(p["rest"], F.lit(False)) & ~F.coalesce(p["optional"], F.lit(False)) & p["default"].isNull()), lambda p: p["name"])
-    missing = F.size(F.array_except(needed, F.concat(bound, words))) > 0
-    _, most, rest = arity("params_structured")
-    wrong = (unknown & ~swallow) | twice | missing | (~rest & (F.col("arg_count") > most))
-    verdict = F.when(F.coalesce("arg_spread", F.lit(False)), "uncertain").when(params.isNull() | F.col("arg_count").isNull(), "uncertain").when(wrong, "mismatch").otherwise("valid")
-    return sites.withColumn("verdict", verdict)
+    missing = F.size(F.array_except(own["needed"], F.concat(bound, words))) > 0
+    wrong = (~own["rest"] & (F.col("arg_count") > own["most"])) | (unknown & ~own["swallow"]) | twice | missing
+    verdict = F.when(F.coalesce("arg_spread", F.lit(False)), "uncertain").when(own.isNull() | F.col("arg_count").isNull(), "uncertain").when(wrong, "mismatch").otherwise("valid")
+    out = rows.withColumn("verdict", verdict)
+    return out if given else out.drop("signature")
 
 
 def histogram(edges: DataFrame, by: list[str]) -> DataFrame:

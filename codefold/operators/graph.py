@@ -9,14 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders made for applications without ``spark.checkpoint.dir``, by application.
+_OWN_DIRS: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder below ``spark.checkpoint.dir``. Only a local master may do without that setting."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or _OWN_DIRS.get(context.applicationId)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="codefold-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _OWN_DIRS[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="codefold-")
     return f"{base.rstrip('/')}/codefold/graph-{uuid.uuid4().hex}"
 
 
+#: Depth up to which a closure is one plan; deeper ones are written level by level.
+ONE_PLAN = 3
+
+
 def cut(df: DataFrame, path: str) -> DataFrame:
     """Written to the shared folder and read back, so that plans of long loops stay short."""
     df.write.parquet(path)
@@ -28,10 +39,17 @@ def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None, up: bo
 
     ``edges``: ``src, dst``; ``roots``: ``node``. Semi-naive: a round joins only
     the last frontier and removes what is known; the rounds end with the depth or
-    an empty frontier, so cycles end too.
+    an empty frontier, so cycles end too. A depth of ``ONE_PLAN`` or less is one
+    plan, nothing written: a node met again deeper is dropped at the end.
     """
-    spark, base = edges.sparkSession, scratch(edges.sparkSession)
     steps = edges.select(F.col("dst" if up else "src").alias("at"), F.col("src" if up else "dst").alias("next")).filter("at IS NOT NULL AND next IS NOT NULL").distinct()
+    if depth is not None and depth <= ONE_PLAN:
+        level = out = roots.select(F.col("node").alias("root"), F.col("node")).distinct().withColumn("depth", F.lit(0))
+        for k in range(1, depth + 1):
+            level = level.join(steps, F.col("node") == F.col("at")).select("root", F.col("next").alias("node")).distinct().withColumn("depth", F.lit(k))
+            out = out.unionByName(level)
+        return out.groupBy("root", "node").agg(F.min("depth").alias("depth"))
+    spark, base = edges.sparkSession, scratch(edges.sparkSession)
     steps = cut(steps, f"{base}/edges")
     frontier = roots.select(F.col("node").alias("root"), F.col("node")).distinct().withColumn("depth", F.lit(0))
     frontier, parts, k = cut(frontier, f"{base}/level=0"), [], 0

@@ -121,7 +121,23 @@ def include_roots(commands: DataFrame) -> dict[str, str]:
     """Include folders of a compile database (``spark.read.json(path, multiLine=True)``: ``command`` or ``arguments``), relative to the root, as ``roots``."""
     text = F.coalesce(F.col("command") if "command" in commands.columns else F.lit(None).cast("string"), F.array_join("arguments", " ") if "arguments" in commands.columns else F.lit(""))
     found = commands.select(F.explode(F.regexp_extract_all(text, F.lit(r"-(?:I|isystem)\s*(\S+)"), F.lit(1))).alias("folder")).distinct()
-    return {f"include:{i}": r.folder.removeprefix("./").rstrip("/") for i, r in enumerate(found.orderBy("folder").limit(1000).collect())}
+    return {f"include:{i}": r.folder.removeprefix("./").rstrip("/") for i, r in enumerate(found.orderBy("folder").collect())}
+
+
+def bound_names(imports: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``file, name, external``: names that imports bind, where these stand for modules.
+
+    A name of a module outside the project is external; relative modules never
+    are. Of the project's own only packages count, and names that are a module's
+    last part and no definition's.
+    """
+    named = imports.filter("NOT dynamic").select("file", "module", F.explode(F.arrays_zip("names", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))).alias("x"))
+    named = named.select("file", "module", F.when(F.coalesce("x.aliases", F.lit("")) != "", F.col("x.aliases")).otherwise(F.col("x.names")).alias("name"))
+    inside = edges.groupBy(F.col("src").alias("file"), "module").agg(F.max(F.col("dst").isNotNull()).alias("inside"))
+    found = named.join(inside, ["file", "module"]).withColumn("external", ~F.col("inside") & ~F.col("module").rlike("^(\\.|/|crate|self|super)"))
+    tail = F.element_at(F.split("module", "[./:]+"), -1) == F.col("name")
+    own = found.filter(~F.col("external") & tail).join(symbols.select("name").distinct(), "name", "left_anti")
+    return found.filter("external").select("file", "name", "external").unionByName(own.select("file", "name", "external")).distinct()
 
 
 def test_importers(edges: DataFrame, exports: DataFrame, files: DataFrame, target: str, name: str, depth: int = 8) -> DataFrame:

@@ -31,14 +31,21 @@ def parse(traces: DataFrame, text: str = "stack") -> DataFrame:
     """``trace_id, pos, function, path, line, col, runtime``: lines split at newlines, real or written out; the first pattern that fits wins."""
     rows = traces.select("trace_id", F.posexplode(F.split(F.col(text), r"\n|\\n", -1)).alias("pos", "raw"))
 
-    def pick(of) -> Column:
+    which = F.lit(None).cast("int")
+    for k, (_, pattern, *_groups) in reversed(list(enumerate(FRAMES))):
+        which = F.when(F.col("raw").rlike(pattern), k).otherwise(which)
+    # the pattern is chosen once, and each part then takes one expression
+    rows = rows.withColumn("which", which).filter("which IS NOT NULL")
+
+    def part(g: int) -> Column:
         out = F.lit(None).cast("string")
-        for runtime, pattern, *groups in reversed(FRAMES):
-            out = F.when(F.col("raw").rlike(pattern), of(runtime, pattern, groups)).otherwise(out)
+        for k, (_, pattern, *groups) in enumerate(FRAMES):
+            if groups[g]:
+                out = F.when(F.col("which") == k, F.nullif(F.regexp_extract("raw", pattern, groups[g]), F.lit(""))).otherwise(out)
         return out
 
-    group = lambda k: pick(lambda r, p, g: F.nullif(F.regexp_extract("raw", p, g[k]), F.lit("")) if g[k] else F.lit(None).cast("string"))
-    found = rows.select("trace_id", "pos", "raw", group(0).alias("function"), group(1).alias("path"), group(2).cast("int").alias("line"), group(3).cast("int").alias("col"), pick(lambda r, p, g: F.lit(r)).alias("runtime"))
+    runtimes = F.array(*(F.lit(f[0]) for f in FRAMES))
+    found = rows.select("trace_id", "pos", "raw", part(0).alias("function"), part(1).alias("path"), part(2).cast("int").alias("line"), part(3).cast("int").alias("col"), F.get(runtimes, F.col("which")).alias("runtime"))
     return found.filter("path IS NOT NULL")
 
 
@@ -51,7 +58,7 @@ def resolve(frames: DataFrame, files: DataFrame, root: str | None = None) -> Dat
     path = F.regexp_replace(F.regexp_replace("path", r"\\", "/"), r"^\./", "")
     outside = path.rlike(r"(^|/)\.\.(/|$)")
     if root:
-        path = F.when(path.startswith(root.rstrip("/") + "/"), F.substring(path, len(root.rstrip("/")) + 2, 10_000)).otherwise(path)
+        path = F.when(path.startswith(root.rstrip("/") + "/"), F.substring(path, len(root.rstrip("/")) + 2, 1 << 30)).otherwise(path)
     frames = frames.withColumn("norm", path).withColumn("refused", outside).withColumn("base", F.regexp_extract("norm", r"([^/]+)$", 1)).withColumn("frame_id", F.concat_ws("/", F.col("trace_id").cast("string"), F.col("pos").cast("string")))
     own = files.select("file", "rel", F.regexp_extract("rel", r"([^/]+)$", 1).alias("base"))
     pairs = frames.filter("NOT refused").select("frame_id", "norm", "base").join(own, "base")

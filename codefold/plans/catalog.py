@@ -31,8 +31,10 @@ EDGES = """ev AS (SELECT CAST(l_orderkey AS VARCHAR) AS file, l_linenumber AS li
     CAST(CASE rung WHEN 1 THEN 0.25 WHEN 2 THEN 0.5 WHEN 3 THEN 0.35 WHEN 4 THEN 0.98 WHEN 5 THEN 0.92 WHEN 6 THEN 0.8 WHEN 8 THEN 0.65 WHEN 9 THEN 0.25 ELSE 0.4 END AS DOUBLE) AS score FROM ev)"""
 FOREST = """forest AS (SELECT 'r' || r_regionkey AS src, 'n' || n_nationkey AS dst FROM region JOIN nation ON n_regionkey = r_regionkey
   UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)"""
-RING = """ring AS (SELECT DISTINCT CAST(a AS VARCHAR) AS src, CAST(b AS VARCHAR) AS dst FROM (
-    SELECT p_partkey AS a, CASE WHEN p_size < 8 THEN (p_partkey * 7 + p_size) % (SELECT count(*) FROM part) WHEN p_size < 20 THEN p_partkey - p_size % 3 END AS b FROM part) WHERE b IS NOT NULL AND b >= 0)"""
+RING = """ring AS (SELECT CAST(p_partkey AS VARCHAR) AS src, CAST(p_partkey - p_partkey % 10 + (p_partkey * 7 + p_size) % 10 AS VARCHAR) AS dst FROM part UNION SELECT CAST(p_partkey AS VARCHAR), CAST(p_partkey + 1 AS VARCHAR) FROM part WHERE p_size < 10 AND p_partkey % 10 < 9)"""
+POSSIBLE = """possible AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier UNION ALL SELECT DISTINCT 't' || l_linenumber, 's' || l_suppkey FROM lineitem)"""
+DOCS = """sym AS (SELECT doc_id AS k, CAST(doc_id AS VARCHAR) AS symbol_id, 'doc' || doc_id AS name, CASE doc_id % 10 WHEN 0 THEN 'class' WHEN 3 THEN 'constructor' WHEN 1 THEN 'method' WHEN 2 THEN 'method' ELSE 'function' END AS kind, CASE WHEN doc_id % 10 BETWEEN 1 AND 3 THEN 'doc' || (doc_id - doc_id % 10) END AS owner,
+    CASE WHEN (doc_id // 10) % 11 = 4 THEN 'tests/' ELSE 'app/' END || 'src' || ((doc_id // 10) % 4) || '/' || (doc_id // 10) || '.src' AS rel, ['python', 'java', 'go', 'rust', 'csharp', 'c', 'javascript'][CAST((doc_id // 10) % 7 + 1 AS INTEGER)] AS language, doc_id % 10 * 20 + 1 AS start_line FROM documents)"""
 BOUND = "(^|[^A-Za-z0-9_])the($|[^A-Za-z0-9_])"
 
 
@@ -59,9 +61,9 @@ def _search_regex(spark, sf):
     return search.search(T.doc_lines(spark, sf), "[0-9]{3}-[0-9]{4}", regex=True, case_sensitive=True)
 
 
-@query("search_top", f"WITH {LINES} SELECT file, line, text FROM lines WHERE contains(lower(text), 'mail') ORDER BY lower(file), file, line LIMIT 20")
+@query("search_top", f"WITH {LINES} SELECT file, line, text FROM lines WHERE contains(lower(text), 'the') ORDER BY lower(file), file, line LIMIT 20")
 def _search_top(spark, sf):
-    return search.search(T.doc_lines(spark, sf), "mail", top=20)
+    return search.search(T.doc_lines(spark, sf), "the", top=20)
 
 
 @query("search_context", f"""WITH {LINES}, m AS (SELECT * FROM lines WHERE contains(text, '@mail'))
@@ -103,13 +105,8 @@ def _stats(spark, sf):
     return Y.stats(T.doc_files(spark, sf), T.symbols(spark, sf))
 
 
-@query("canonical_files", "SELECT source || '/' || lang || '/' || doc_id || '.txt' AS rel, lang AS language FROM documents ORDER BY lower(rel), rel LIMIT 50")
+@query("canonical_files", "SELECT source || '/' || lang || '/' || doc_id || '.txt' AS rel, lang AS language FROM documents ORDER BY lower(rel), rel")
 def _canonical(spark, sf):
-    return T.doc_files(spark, sf).select("rel", "language").orderBy(*canonical_order()).limit(50)
-
-
-@query("canonical_files_all", "SELECT source || '/' || lang || '/' || doc_id || '.txt' AS rel, lang AS language FROM documents ORDER BY lower(rel), rel")
-def _canonical_all(spark, sf):
     return T.doc_files(spark, sf).select("rel", "language").orderBy(*canonical_order())
 
 
@@ -138,15 +135,15 @@ def _typedef(spark, sf):
     return Y.typedef(T.symbols(spark, sf), "red widget").select("symbol_id", "rel")
 
 
-@query("structural_search", f"WITH {SYMBOLS} SELECT symbol_id, name FROM sym WHERE kind = 'function' AND p_size % 4 >= 2 AND contains(lower(p_type), 'econ') AND p_retailprice >= 1000")
+@query("structural_search", f"WITH {SYMBOLS} SELECT symbol_id, name FROM sym WHERE kind = 'function' AND p_size % 4 >= 2 AND contains(lower(p_type), 'econ') AND p_retailprice >= 950")
 def _structural(spark, sf):
     return Y.structural_search(T.symbols(spark, sf), kind="function", param="a2", returns="ECON", exported=True).select("symbol_id", "name")
 
 
-@query("unused", f"WITH {SYMBOLS} SELECT symbol_id FROM sym WHERE name NOT IN (SELECT p_name FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity > 49 AND l_returnflag = 'R')")
+@query("unused", f"WITH {DOCS} SELECT symbol_id FROM sym WHERE k NOT IN (SELECT doc_id FROM labels)")
 def _unused(spark, sf):
-    used = T.evidence(spark, sf).filter("quantity > 49 AND flag = 'R'").join(T.symbols(spark, sf).select(F.col("symbol_id").alias("to_id"), "name"), "to_id")
-    return Y.structural_search(T.symbols(spark, sf), unused_against=used).select("symbol_id")
+    used = T.table(spark, sf, "labels").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"))
+    return Y.structural_search(T.doc_symbols(spark, sf), unused_against=used).select("symbol_id")
 
 
 @query("toc", f"""WITH {SYMBOLS}, f AS (SELECT rel, count(*) FILTER (kind = 'function') AS functions, count(*) FILTER (kind = 'class') AS types, CAST(max(end_line) AS BIGINT) AS lines FROM sym GROUP BY rel)
@@ -184,12 +181,14 @@ def _extensions(spark, sf):
     return Y.extensions(T.doc_files(spark, sf))
 
 
-@query("usage_counts", """WITH d AS (SELECT p_name AS name, count(*) AS definitions FROM part GROUP BY 1), c AS (SELECT p_name AS name, count(*) AS calls FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
-SELECT name, definitions, coalesce(calls, 0) AS calls, CAST(0 AS BIGINT) AS imports, definitions + coalesce(calls, 0) AS total FROM d LEFT JOIN c USING (name)""")
+@query("usage_counts", """WITH d AS (SELECT p_name AS name, count(*) AS definitions FROM part GROUP BY 1), c AS (SELECT p_name AS name, count(*) AS calls FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1), i AS (SELECT p_name AS name, count(*) AS imports FROM customer JOIN part ON p_partkey = c_custkey GROUP BY 1)
+SELECT name, definitions, coalesce(calls, 0) AS calls, coalesce(imports, 0) AS imports, definitions + coalesce(calls, 0) + coalesce(imports, 0) AS total FROM d LEFT JOIN c USING (name) LEFT JOIN i USING (name)""")
 def _usage_counts(spark, sf):
     own = T.symbols(spark, sf)
-    calls = T.evidence(spark, sf).select("to_id").join(own.select(F.col("symbol_id").alias("to_id"), "name"), "to_id")
-    return Y.usage_counts(own, calls, spark.createDataFrame([], "names array<string>"))
+    names = own.select(F.col("symbol_id").alias("to_id"), "name")
+    calls = T.evidence(spark, sf).select("to_id").join(names, "to_id")
+    imports = T.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("to_id")).join(names, "to_id").select(F.array("name", F.lit("other")).alias("names"))
+    return Y.usage_counts(own, calls, imports)
 
 
 @query("call_patterns", """WITH c AS (SELECT CAST(l_partkey AS VARCHAR) AS to_id, l_returnflag, l_linestatus, CAST(l_quantity AS INTEGER) % 5 AS args, l_tax FROM lineitem)
@@ -213,6 +212,57 @@ def _examples(spark, sf):
 
 # edges and accounts
 
+CALLS = f"""{SYMBOLS}, n AS (SELECT count(*) AS parts FROM part),
+own AS (SELECT CAST(symbol_id AS BIGINT) AS k, symbol_id, name || '_' || (p_size % 7) AS name, kind, rel AS file, start_line, owner, CASE WHEN CAST(regexp_extract(rel, '_([0-9]+)', 1) AS INTEGER) % 2 = 0 THEN 'java' ELSE 'python' END AS language, p_size % 4 AS params, p_size FROM sym),
+calls AS (SELECT c.file, c.start_line + 1 AS line, l_linenumber AS seq, t.name, l_returnflag <> 'N' AS m, CASE WHEN l_returnflag = 'N' THEN NULL WHEN l_linestatus = 'O' THEN 'self' WHEN CAST(l_quantity AS INTEGER) % 4 = 0 THEN 'Brand#' || (l_suppkey % 25 + 1) WHEN CAST(l_quantity AS INTEGER) % 4 = 1 THEN 'os' WHEN CAST(l_quantity AS INTEGER) % 4 = 2 THEN 'obj' END AS recv,
+    l_discount, 'Brand#' || (l_partkey % 25 + 1) AS maybe_type, CAST(l_quantity AS INTEGER) % 5 AS args, l_tax = 0.07 AS spread, l_tax = 0.08 AS ref, l_discount = 0.1 AND l_returnflag = 'N' AS shadow, CASE l_linenumber WHEN 1 THEN 'str' WHEN 2 THEN 'num' ELSE 'id' END AS shape,
+    CASE WHEN c.kind = 'function' THEN c.owner END AS own_class, c.language AS own_language, CAST(regexp_extract(c.file, '_([0-9]+)', 1) AS INTEGER) AS brand
+  FROM lineitem, n JOIN own t ON t.k = l_partkey JOIN own c ON c.k = l_orderkey % n.parts),
+sites AS (SELECT *, CASE WHEN recv = 'obj' AND l_discount >= 0.05 THEN maybe_type END AS rtype, coalesce(recv = 'obj' AND brand % 10 = 0, false) AS ext, coalesce(recv = 'obj' AND brand % 5 = 0, false) AS modr FROM calls),
+inh AS (SELECT 'Brand#' || k AS child, 'Brand#' || (k % 5 + 1) AS parent FROM (SELECT unnest(range(6, 26)) AS k)),
+imp AS (SELECT DISTINCT a.file AS src, b.file AS dst FROM own a JOIN own b ON b.k = a.k + 1 WHERE a.p_size < 25 AND a.file <> b.file),
+nm AS (SELECT name, count(DISTINCT coalesce(owner, '')) AS owners, count(*) AS definitions FROM own WHERE kind = 'function' GROUP BY name),
+ov AS (SELECT name, file, coalesce(owner, '') AS o, params, count(*) AS overloads FROM own WHERE kind = 'function' AND language = 'java' GROUP BY ALL),
+free AS (SELECT DISTINCT file, name FROM own WHERE owner IS NULL),
+reach AS (SELECT DISTINCT src AS file, name FROM imp JOIN free ON free.file = imp.dst),
+pairs AS (SELECT s.file, s.line, s.seq, s.name, s.m, s.recv, s.rtype, s.ext, s.modr, s.args, s.spread, s.ref, s.shadow, s.shape, s.own_class, d.symbol_id AS to_id, d.owner AS o, d.kind AS kind, d.language AS lang, d.params, s.file = d.file AS same, i.src IS NOT NULL AS imported, lf.file IS NOT NULL AS local_def, r.file IS NOT NULL AS import_def, nm.owners, nm.definitions, coalesce(ov.overloads, 1) > 1 AS over,
+    h1.child IS NOT NULL AS inherits, h2.child IS NOT NULL AS inherited, h3.child IS NOT NULL AS overrides, coalesce(s.recv = 'self', false) AS own, coalesce(s.recv = 'os', false) AS builtin,
+    coalesce(s.rtype = d.owner, false) OR coalesce(s.recv = d.owner, false) AS typed, d.owner IS NULL AS alone
+  FROM sites s JOIN own d ON d.name = s.name AND d.language = s.own_language LEFT JOIN imp i ON i.src = s.file AND i.dst = d.file LEFT JOIN free lf ON lf.file = s.file AND lf.name = s.name LEFT JOIN reach r ON r.file = s.file AND r.name = s.name LEFT JOIN nm ON nm.name = d.name
+  LEFT JOIN ov ON ov.name = d.name AND ov.file = d.file AND ov.o = coalesce(d.owner, '') AND ov.params = d.params AND d.kind = 'function'
+  LEFT JOIN inh h1 ON h1.child = s.own_class AND h1.parent = d.owner LEFT JOIN inh h2 ON h2.child = s.rtype AND h2.parent = d.owner LEFT JOIN inh h3 ON h3.child = d.owner AND h3.parent = s.rtype),
+ruled AS (SELECT *, CASE WHEN shadow THEN 'local-shadow' WHEN m AND (builtin OR ext) THEN 'external-package' WHEN NOT m AND NOT same AND local_def THEN 'other-definition' WHEN NOT m AND NOT same AND NOT imported AND import_def THEN 'other-definition-import'
+    WHEN NOT m AND NOT alone AND kind <> 'class' AND o <> coalesce(own_class, '') AND NOT inherits THEN 'kind-mismatch' WHEN m AND modr AND NOT alone AND NOT typed THEN 'kind-mismatch'
+    WHEN m AND alone AND recv IS NOT NULL AND NOT modr AND kind = 'function' AND lang = 'java' THEN 'kind-mismatch' WHEN m AND own AND NOT alone AND own_class IS NOT NULL AND o <> own_class AND NOT inherits THEN 'other-class'
+    WHEN kind = 'function' AND NOT spread AND (args < least(params, 2) OR args > params) THEN 'arity-mismatch' WHEN over AND shape = 'str' AND params >= 1 THEN 'overload-mismatch' END AS reason,
+  CASE WHEN m AND rtype IS NOT NULL AND NOT typed AND NOT inherited AND NOT overrides AND NOT alone AND NOT inherits THEN 1 WHEN m AND NOT typed AND ((own AND inherits AND owners > 1) OR overrides) THEN 2
+    WHEN (m AND NOT own AND NOT typed AND NOT inherited AND NOT alone AND owners > 1 AND rtype IS NULL) OR (over AND shape = 'id') THEN 3
+    WHEN NOT m AND alone AND (same OR (imported AND definitions = 1)) AND NOT ref THEN 4 WHEN (m AND own AND coalesce(o = own_class, false)) OR (NOT m AND NOT ref AND coalesce(o = own_class, false) AND lang = 'java') THEN 5
+    WHEN m AND (typed OR inherited) THEN 6 WHEN ref AND (same OR imported) THEN 7 WHEN ref THEN 10 WHEN imported OR same OR (m AND NOT builtin AND NOT alone AND owners = 1) THEN 8 WHEN m AND recv IS NULL THEN 9 ELSE 10 END AS rung FROM pairs),
+resolved AS (SELECT file || ':' || line || ':' || seq || ':' || name AS call_id, file, line, name, to_id, o AS to_owner, reason, CASE WHEN reason IS NOT NULL THEN 'excluded' WHEN rung IN (4, 5, 6, 7, 8) THEN 'confirmed' ELSE 'unverified' END AS tier,
+    CASE rung WHEN 1 THEN 'uncertain' WHEN 2 THEN 'possible-dispatch' WHEN 3 THEN 'method-ambiguous' WHEN 4 THEN 'exact-binding' WHEN 5 THEN 'same-class' WHEN 6 THEN 'receiver-hint' WHEN 7 THEN 'scope-match' WHEN 8 THEN 'scope-match' WHEN 9 THEN 'uncertain' ELSE 'name-only' END AS resolution FROM ruled)"""
+
+
+def _resolved(spark, sf, explain=True):
+    f = T.call_facts(spark, sf)
+    return edges.resolve_calls(f["calls"], f["symbols"], f["import_edges"], edges.ancestors(f["inherit"]), f["files"], bound=f["bound"], explain=explain)
+
+
+@query("resolve_calls", f"WITH {CALLS} SELECT call_id, to_id, tier, resolution, reason FROM resolved")
+def _resolve_calls(spark, sf):
+    return _resolved(spark, sf).select("call_id", "to_id", "tier", "resolution", "reason")
+
+
+@query("resolve_reasons", f"WITH {CALLS} SELECT tier, resolution, coalesce(reason, '') AS reason, count(*) AS edges, count(DISTINCT call_id) AS sites FROM resolved GROUP BY ALL")
+def _resolve_reasons(spark, sf):
+    return _resolved(spark, sf).groupBy("tier", "resolution", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("edges"), F.countDistinct("call_id").alias("sites"))
+
+
+@query("resolve_bound", f"WITH {CALLS} SELECT call_id, to_id, tier, resolution, reason FROM resolved WHERE coalesce(reason, '') NOT IN ('other-definition', 'other-definition-import', 'local-shadow', 'kind-mismatch')")
+def _resolve_bound(spark, sf):
+    found = _resolved(spark, sf, explain=False).select("call_id", "to_id", "tier", "resolution", "reason")
+    return found.filter("coalesce(reason, '') NOT IN ('other-definition', 'other-definition-import', 'local-shadow', 'kind-mismatch')")
+
 
 @query("call_tiers", f"WITH {EDGES} SELECT resolution, tier, score, count(*) AS sites FROM tiers GROUP BY ALL")
 def _tiers(spark, sf):
@@ -243,7 +293,7 @@ def _callees(spark, sf):
 
 @query("verify_arity", f"""WITH {EDGES}, {SYMBOLS} SELECT v AS verdict, count(*) AS sites FROM (SELECT CASE WHEN quantity % 5 < least(p_size % 4, 2) OR quantity % 5 > p_size % 4 THEN 'mismatch' ELSE 'valid' END AS v FROM ev JOIN sym ON sym.symbol_id = ev.to_id) GROUP BY v""")
 def _verify(spark, sf):
-    sites = T.evidence(spark, sf).select("to_id", "arg_count", F.lit(False).alias("arg_spread"), F.array().cast("array<string>").alias("keywords")).join(T.symbols(spark, sf).select(F.col("symbol_id").alias("to_id"), "params_structured"), "to_id")
+    sites = T.evidence(spark, sf).select("to_id", "arg_count", F.lit(False).alias("arg_spread"), F.array().cast("array<string>").alias("keywords")).join(T.symbols(spark, sf).select(F.col("symbol_id").alias("to_id"), edges.signature().alias("signature")), "to_id")
     return edges.verify(sites).groupBy("verdict").agg(F.count("*").alias("sites"))
 
 
@@ -273,44 +323,49 @@ def _buckets(spark, sf):
     return A.assigned(ground, claims).groupBy("bucket").agg(F.count("*").alias("lines"))
 
 
+@query("account_resolved", f"""WITH {CALLS}, c AS (SELECT file, line, min(CASE tier WHEN 'confirmed' THEN 0 WHEN 'unverified' THEN 1 ELSE 2 END) AS b FROM resolved GROUP BY ALL), d AS (SELECT DISTINCT file, start_line AS line FROM own),
+g AS (SELECT DISTINCT file, line FROM calls UNION SELECT file, line FROM d), x AS (SELECT g.*, c.b, d.line IS NOT NULL AS def, CAST(regexp_extract(g.file, '_([0-9]+)', 1) AS INTEGER) = 3 AS bad FROM g LEFT JOIN c USING (file, line) LEFT JOIN d USING (file, line))
+SELECT count(*) AS total, count(*) FILTER (NOT bad AND b = 0) AS confirmed, count(*) FILTER (NOT bad AND b = 1) AS unverified, count(*) FILTER (NOT bad AND b = 2) AS excluded, count(*) FILTER (NOT bad AND b IS NULL) AS non_call, count(*) FILTER (bad) AS unparsed, CAST(0 AS BIGINT) AS unsupported, CAST(0 AS BIGINT) AS unaccounted, CAST(0 AS BIGINT) AS beyond_text, false AS text_complete FROM x""")
+def _account_resolved(spark, sf):
+    f, own = T.call_facts(spark, sf), _resolved(spark, sf)
+    defined = f["symbols"].select("file", F.col("start_line").alias("line"))
+    ground = f["calls"].select("file", "line").unionByName(defined).distinct()
+    claims = own.select("file", "line", F.col("tier").alias("bucket"), F.coalesce("reason", "resolution").alias("reason"))
+    issues = f["files"].filter(F.regexp_extract("file", "_([0-9]+)", 1) == "3").select("file", F.lit("unparsed").alias("kind"))
+    return A.account(ground, claims, defined.withColumn("usage_type", F.lit("definition")), issues)
+
+
 # graphs
 
 
-@query("trace", f"""WITH RECURSIVE {FOREST}, t AS (SELECT 'r0' AS node, 0 AS depth UNION ALL SELECT f.dst, t.depth + 1 FROM t JOIN forest f ON f.src = t.node WHERE t.depth < 3),
-k AS (SELECT f.src AS parent, f.dst AS node, t.depth + 1 AS depth, row_number() OVER (PARTITION BY f.src ORDER BY f.dst) AS ord, count(*) OVER (PARTITION BY f.src) AS children FROM t JOIN forest f ON f.src = t.node WHERE t.depth < 3)
-SELECT 'r0' AS root, parent, node, depth, CAST(ord AS INTEGER) AS ord, false AS shown_before, children FROM k WHERE ord <= 10""")
+@query("trace", f"""WITH RECURSIVE {FOREST}, t AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth FROM region UNION ALL SELECT t.root, f.dst, t.depth + 1 FROM t JOIN forest f ON f.src = t.node WHERE t.depth < 3),
+k AS (SELECT t.root, f.src AS parent, f.dst AS node, t.depth + 1 AS depth, row_number() OVER (PARTITION BY f.src ORDER BY f.dst) AS ord, count(*) OVER (PARTITION BY f.src) AS children FROM t JOIN forest f ON f.src = t.node WHERE t.depth < 3)
+SELECT root, parent, node, depth, CAST(ord AS INTEGER) AS ord, false AS shown_before, children FROM k WHERE ord <= 10""")
 def _trace(spark, sf):
-    root = spark.createDataFrame([("r0",)], "node string")
-    return graph.tree(T.forest(spark, sf), root, depth=3)
+    roots = T.table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
+    return graph.tree(T.forest(spark, sf), roots, depth=3)
 
 
-@query("blast", f"""WITH RECURSIVE {FOREST}, s AS (SELECT DISTINCT 'o' || o_orderkey AS root FROM orders WHERE o_totalprice > 480000), t AS (SELECT root, root AS node, 0 AS depth FROM s UNION ALL SELECT t.root, f.src, t.depth + 1 FROM t JOIN forest f ON f.dst = t.node WHERE t.depth < 2)
-SELECT root, node, depth FROM t""")
+@query("blast", """SELECT 'c' || c_custkey AS root, 'c' || c_custkey AS node, 0 AS depth, 'confirmed' AS tier FROM customer UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 1, 'confirmed' FROM customer UNION ALL SELECT 'c' || c_custkey, 'r' || n_regionkey, 2, 'confirmed' FROM customer JOIN nation ON n_nationkey = c_nationkey
+UNION ALL SELECT 'c' || c_custkey, 's' || s_suppkey, 2, 'unverified' FROM customer JOIN supplier ON s_nationkey = c_nationkey""")
 def _blast(spark, sf):
-    targets = T.table(spark, sf, "orders").filter("o_totalprice > 480000").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
-    every = T.forest(spark, sf)
-    return graph.blast(every, every.limit(0), targets, depth=2).select("root", "node", "depth")
+    targets = T.table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+    return graph.blast(T.forest(spark, sf), T.possible_calls(spark, sf), targets, depth=2).select("root", "node", "depth", "tier")
 
 
-@query("reverse_trace", "SELECT DISTINCT 'r' || n_regionkey AS node, 'o' || o_orderkey AS root, 3 AS depth FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_totalprice > 480000")
+@query("reverse_trace", "SELECT 'r' || n_regionkey AS node, 'o' || o_orderkey AS root, 3 AS depth FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
 def _reverse(spark, sf):
-    targets = T.table(spark, sf, "orders").filter("o_totalprice > 480000").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
+    targets = T.table(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
     return graph.reverse_to_roots(T.forest(spark, sf), targets, depth=5).select("node", "root", "depth")
 
 
-@query("reachable", f"WITH RECURSIVE {RING}, t AS (SELECT '1' AS node UNION SELECT r.dst FROM t JOIN ring r ON r.src = t.node) SELECT node FROM t")
+@query("reachable", f"WITH RECURSIVE {RING}, t AS (SELECT CAST(p_partkey AS VARCHAR) AS node FROM part WHERE p_type = 'PROMO' UNION SELECT r.dst FROM t JOIN ring r ON r.src = t.node) SELECT node FROM t")
 def _reachable(spark, sf):
-    return graph.reachable(T.user_graph(spark, sf), spark.createDataFrame([("1",)], "node string"))
+    return graph.reachable(T.user_graph(spark, sf), T.table(spark, sf, "part").filter("p_type = 'PROMO'").select(F.col("p_partkey").cast("string").alias("node")))
 
 
-@query("deps", f"WITH RECURSIVE {RING}, t AS (SELECT src AS root, src AS node, 0 AS depth FROM (SELECT DISTINCT src FROM ring WHERE length(src) = 2) UNION SELECT t.root, r.dst, t.depth + 1 FROM t JOIN ring r ON r.src = t.node WHERE t.depth < 5) SELECT root, node, min(depth) AS depth FROM t GROUP BY ALL")
+@query("deps", f"WITH RECURSIVE {RING}, t AS (SELECT src AS root, src AS node, 0 AS depth FROM (SELECT DISTINCT src FROM ring) UNION SELECT t.root, r.dst, t.depth + 1 FROM t JOIN ring r ON r.src = t.node WHERE t.depth < 5) SELECT root, node, min(depth) AS depth FROM t GROUP BY ALL")
 def _deps(spark, sf):
-    own = T.user_graph(spark, sf)
-    return graph.closure(own, own.filter("length(src) = 2").select(F.col("src").alias("node")), depth=5)
-
-
-@query("deps_all")  # every source is a root; a test compares with brute force
-def _deps_all(spark, sf):
     own = T.user_graph(spark, sf)
     return graph.closure(own, own.select(F.col("src").alias("node")).distinct(), depth=5)
 
@@ -328,34 +383,52 @@ def _short(spark, sf):
     return graph.short_cycles(T.user_graph(spark, sf), 3).select(F.array_join("cycle", ",").alias("cycle"), "length")
 
 
-@query("affected_tests", "SELECT 'n' || c_nationkey AS test, count(DISTINCT c_custkey) AS confirmed, CAST(0 AS BIGINT) AS possible FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 480000) GROUP BY 1")
+@query("affected_tests", """SELECT 'r' || n_regionkey AS test, count(DISTINCT n_nationkey) AS confirmed, CAST(0 AS BIGINT) AS possible FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer) GROUP BY 1
+UNION ALL SELECT 't' || l_linenumber, CAST(0 AS BIGINT), count(DISTINCT l_suppkey) FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey IN (SELECT c_nationkey FROM customer) GROUP BY 1""")
 def _affected(spark, sf):
-    every = T.forest(spark, sf)
-    targets = T.table(spark, sf, "orders").filter("o_totalprice > 480000").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
-    tests = T.table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
-    return graph.affected_tests(every, every.limit(0), targets, tests, depth=2)
+    mark = lambda m, c: F.concat(F.lit(m), F.col(c).cast("string"))
+    targets = T.table(spark, sf, "customer").select(mark("c", "c_custkey").alias("node"))
+    tests = T.table(spark, sf, "region").select(mark("r", "r_regionkey").alias("node")).unionByName(T.table(spark, sf, "lineitem").select(mark("t", "l_linenumber").alias("node")).distinct())
+    return graph.affected_tests(T.forest(spark, sf), T.possible_calls(spark, sf), targets, tests, depth=3)
 
 
 # audits
 
 
-@query("deadcode", f"""WITH {SYMBOLS}, called AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS symbol_id FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 45)
-SELECT verdict, count(*) AS symbols FROM (SELECT CASE WHEN starts_with(rel, 'tests/') THEN 'test' WHEN p_size = 7 THEN 'decorated' WHEN p_retailprice >= 1000 THEN 'exported' WHEN symbol_id IN (SELECT symbol_id FROM called) THEN 'called' ELSE 'candidate' END AS verdict FROM sym) GROUP BY verdict""")
+@query("deadcode", f"""WITH {DOCS}, called AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS symbol_id FROM labels WHERE toxic = 0),
+far AS (SELECT DISTINCT name FROM sym WHERE k % 30 IN (0, 10) AND (k % 30 = 0 OR k - 10 IN (SELECT k FROM sym))),
+v AS (SELECT s.*, CASE WHEN s.k IN (SELECT item_id * 21 FROM benchmark) THEN 'unsupported-mention' WHEN s.rel LIKE 'tests/%' THEN 'test' WHEN s.k IN (SELECT page_id * 3 FROM pages) OR s.k % 19 = 2 THEN 'entry-point' WHEN s.k % 13 IN (4, 5) THEN 'decorated' WHEN s.k % 7 = 3 THEN 'exported' WHEN c.symbol_id IS NOT NULL THEN 'called'
+    WHEN s.kind = 'constructor' AND EXISTS (SELECT 1 FROM sym o JOIN called USING (symbol_id) WHERE o.name = s.owner AND o.rel = s.rel) THEN 'constructor' WHEN EXISTS (SELECT 1 FROM sym m JOIN called USING (symbol_id) WHERE m.owner = s.name AND m.rel = s.rel) THEN 'live-member'
+    WHEN s.k IN (SELECT conv_id * 4 FROM conversations) THEN 'mentioned' WHEN s.owner IN (SELECT 'doc' || vec_id FROM embeddings WHERE label = 1) AND s.rel LIKE 'app/src1/%' THEN 'dynamic-dispatch' WHEN s.kind <> 'class' AND s.owner IN (SELECT name FROM far) THEN 'external-contract' ELSE 'candidate' END AS verdict FROM sym s LEFT JOIN called c USING (symbol_id))
+SELECT symbol_id, verdict FROM v""")
 def _deadcode(spark, sf):
-    own = T.symbols(spark, sf)
-    calls = edges.with_tier(T.evidence(spark, sf).join(T.table(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 45").select(F.col("l_orderkey").cast("string").alias("file"), F.col("l_linenumber").alias("line"), F.col("l_partkey").cast("string").alias("to_id")).distinct(), ["file", "line", "to_id"], "left_semi"))
-    none = lambda ddl: spark.createDataFrame([], ddl)
-    found = audits.deadcode(own, calls.withColumn("enclosing_id", F.lit(None).cast("string")), none("file string, line int, token string"), none("symbol_id string"), none("kind string"))
-    return found.groupBy("verdict").agg(F.count("*").alias("symbols"))
-
-
-@query("entrypoints", "SELECT CAST(p_partkey AS VARCHAR) AS symbol_id, 'flask-route' AS rule, 'http' AS type, 'flask' AS framework, CAST(0.95 AS DOUBLE) AS confidence FROM part WHERE p_size = 7")
+    own, text = T.doc_symbols(spark, sf), lambda c: F.concat(F.lit("doc"), c.cast("string"))
+    calls = T.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("to_id"), F.lit(None).cast("string").alias("enclosing_id"), F.when(F.col("toxic") == 1, "excluded").otherwise("confirmed").alias("tier"))
+    tokens = T.table(spark, sf, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("file"), F.col("turn").cast("int").alias("line"), text(F.col("conv_id") * 4).alias("token")).distinct()
+    entries = T.table(spark, sf, "pages").select((F.col("page_id") * 3).cast("string").alias("symbol_id"))
+    issues = T.table(spark, sf, "region").select(F.lit("unparsed").alias("kind"))
+    gaps = T.table(spark, sf, "benchmark").select(text(F.col("item_id") * 21).alias("token"))
+    holders = own.filter("rel LIKE 'app/src1/%'").select("file").distinct().join(T.table(spark, sf, "embeddings").filter("label = 1").select(text(F.col("vec_id")).alias("holder")).join(own.select(F.col("owner").alias("holder"), "file").distinct(), "holder").select("file", "holder"), "file")
+    return audits.deadcode(own, calls, tokens, entries, issues, gaps=gaps, holders=holders).select("symbol_id", "verdict")
+
+
+@query("entrypoints", f"""WITH {DOCS}, tagged AS (SELECT symbol_id, name, rel, start_line, CASE WHEN language = 'python' AND k % 13 = 4 THEN 'flask-route' WHEN language = 'csharp' AND k % 13 = 5 THEN 'csharp-test' WHEN language IN ('java', 'rust') AND k % 17 = 5 THEN CASE language WHEN 'java' THEN 'java-junit-test' ELSE 'rust-test-attr' END WHEN language = 'java' AND k % 17 = 6 THEN 'spring-mapping' END AS rule, 0.95 AS confidence FROM sym),
+routed AS (SELECT symbol_id, name, rel, start_line, 'express-route' AS rule, 0.9 AS confidence FROM sym WHERE k IN (SELECT page_id FROM pages)),
+files AS (SELECT DISTINCT CAST(NULL AS VARCHAR) AS symbol_id, 'bin/' || lang || '.js' AS name, 'bin/' || lang || '.js' AS rel, 1 AS start_line, 'js-shebang-main' AS rule, 0.95 AS confidence FROM documents UNION ALL SELECT DISTINCT CAST(NULL AS VARCHAR), rel, rel, 1, 'js-test-file', 0.9 FROM sym WHERE language = 'javascript' AND rel LIKE 'tests/%'),
+e AS (SELECT * FROM tagged WHERE rule IS NOT NULL UNION ALL SELECT * FROM routed UNION ALL SELECT * FROM files), b AS (SELECT *, row_number() OVER (PARTITION BY coalesce(symbol_id, name) ORDER BY confidence DESC, rule) AS n FROM e)
+SELECT symbol_id, name, rel AS file, CAST(start_line AS INTEGER) AS line, rule, CAST(confidence AS DOUBLE) AS confidence FROM b WHERE n = 1""")
 def _entry(spark, sf):
-    own = T.symbols(spark, sf)
-    none = lambda ddl: spark.createDataFrame([], ddl)
-    calls = none("file string, line int, name string, is_method boolean, receiver string, first_string_arg string, is_function_ref boolean")
-    found = audits.entry_points(own, calls, none("file string, rel string, language string"), none("file string, module string"), audits.rules_table(spark))
-    return found.select("symbol_id", "rule", "type", "framework", "confidence")
+    own = T.doc_symbols(spark, sf)
+    sites = T.table(spark, sf, "pages").select(F.lit("web.js").alias("file"), F.col("page_id").cast("int").alias("line"), F.col("page_id"))
+    no = F.lit(None).cast("string")
+    routed = sites.select("file", "line", F.lit("get").alias("name"), F.lit(True).alias("is_method"), F.lit("app").alias("receiver"), F.lit("/x").alias("first_string_arg"), F.lit(False).alias("is_function_ref"), no.alias("shape"))
+    handlers = sites.select("file", "line", F.concat(F.lit("doc"), F.col("page_id").cast("string")).alias("name"), F.lit(False).alias("is_method"), no.alias("receiver"), no.alias("first_string_arg"), F.lit(True).alias("is_function_ref"), no.alias("shape"))
+    scripts = T.table(spark, sf, "documents").select(F.concat(F.lit("bin/"), F.col("lang"), F.lit(".js")).alias("file")).distinct()
+    files = own.select("file", F.col("file").alias("rel"), "language").distinct().unionByName(scripts.select("file", F.col("file").alias("rel"), F.lit("javascript").alias("language"))).unionByName(sites.select("file", F.col("file").alias("rel"), F.lit("javascript").alias("language")).distinct())
+    lines = scripts.select("file", F.lit(1).alias("line"), F.lit("#!/usr/bin/env node").alias("text"))
+    imports = files.filter("language = 'python'").select("file", F.lit("flask").alias("module"))
+    found = audits.entry_points(own, routed.unionByName(handlers), files, imports, audits.rules_table(spark), lines)
+    return found.select("symbol_id", "name", "file", "line", "rule", "confidence")
 
 
 @query("diff_lines", """WITH h AS (SELECT CAST(l_orderkey AS VARCHAR) AS file, l_partkey AS a, l_linenumber % 3 AS an, l_suppkey AS b, CASE WHEN l_linenumber = 1 THEN 1 ELSE l_linenumber % 4 END AS bn FROM lineitem)
@@ -383,7 +456,7 @@ def _stale(spark, sf):
 
 PAGES = """p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages),
 rt AS (SELECT CAST(page_id AS VARCHAR) AS file, CASE WHEN page_id % 5 = 0 THEN 'ALL' ELSE 'GET' END AS method, regexp_replace(CASE WHEN page_id % 2 = 0 THEN regexp_replace(path, '[0-9]+$', '*') ELSE path END, '(.)/$', '\\1') AS np FROM p),
-rq AS (SELECT 'q' || page_id AS file, CASE WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method, regexp_replace(path, '(.)/$', '\\1') AS np FROM p),
+rq AS (SELECT 'q' || page_id AS file, CASE WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method, regexp_replace(CASE WHEN page_id % 7 = 0 THEN path || '/gone/away' ELSE path END, '(.)/$', '\\1') AS np FROM p),
 br AS (SELECT rq.file AS request_file, rt.file AS route_file, rt.method AS route_method, CASE WHEN rt.np = rq.np THEN 'exact' ELSE 'partial' END AS match,
   CAST(round(CASE WHEN rt.np = rq.np THEN 1.0 ELSE 0.85 END - CASE WHEN rt.method = 'ALL' THEN 0.1 ELSE 0 END, 2) AS DOUBLE) AS confidence
   FROM rq JOIN rt ON (rt.method = 'ALL' OR rt.method = rq.method) AND rq.np <> '' AND (rt.np = rq.np OR (contains(rt.np, '*') AND regexp_full_match(rq.np, replace(regexp_replace(rt.np, '([.+?^${}()|])', '\\\\\\1', 'g'), '*', '[^/]+')))))"""
@@ -409,7 +482,7 @@ def _unrequested(spark, sf):
 @query("page_calls", "SELECT page_id || '.html' AS file, 1 + length(substr(html, 1, strpos(html, 'track(') - 1)) - length(replace(substr(html, 1, strpos(html, 'track(') - 1), chr(10), '')) AS line, 'track' AS name, CAST(1 AS INTEGER) AS arg_count FROM pages")
 def _page_calls(spark, sf):
     pages = document_files(T.table(spark, sf, "pages"), "page_id", "html", "html", ".html")
-    return relations(facts(pages))["calls"].filter("NOT is_function_ref").select("file", F.col("line").cast("long").alias("line"), "name", "arg_count")
+    return relations(facts(pages, ("calls",)))["calls"].filter("NOT is_function_ref").select("file", F.col("line").cast("long").alias("line"), "name", "arg_count")
 
 
 def queries() -> dict:

@@ -26,11 +26,14 @@ class Catalog:
         """Index a source tree into ``index_path`` and open it."""
         files, issues = repo.source_files(spark, root, **limits)
         repo.save(repo.facts(files), index_path)
-        return cls(repo.relations(repo.load(spark, index_path), issues), roots)
+        gaps = graph.cut(repo.gap_lines(spark, root, issues), f"{index_path}/_gaps")
+        return cls(repo.relations(repo.load(spark, index_path), issues) | {"gap_lines": gaps}, roots)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in ("files", "lines", "symbols", "calls", "usages", "imports", "exports", "file_issues"):
             return self.r[name]
+        if name == "gap_lines":
+            return self.r.get(name, self.r["lines"].select("file", "line", "text").limit(0))
         raise AttributeError(name)
 
     @cached_property
@@ -44,7 +47,7 @@ class Catalog:
     @cached_property
     def edges(self) -> DataFrame:
         """Resolved calls, written once to the shared folder: every command reads them."""
-        found = edges.resolve_calls(self.calls, self.symbols, self.import_edges.filter("dst IS NOT NULL"), self.inherit, self.files)
+        found = edges.resolve_calls(self.calls, self.symbols, self.import_edges.filter("dst IS NOT NULL"), edges.ancestors(self.inherit), self.files, bound=imports.bound_names(self.imports, self.import_edges, self.symbols))
         return graph.cut(found, graph.scratch(self.spark))
 
     def call_graph(self, tier: str) -> DataFrame:
@@ -52,7 +55,7 @@ class Catalog:
 
     @cached_property
     def entries(self) -> DataFrame:
-        return audits.entry_points(self.symbols, self.calls, self.files, self.imports, audits.rules_table(self.spark))
+        return audits.entry_points(self.symbols, self.calls, self.files, self.imports, audits.rules_table(self.spark), self.lines)
 
     @cached_property
     def reachable(self) -> DataFrame:
@@ -85,6 +88,18 @@ def _scoped(df: DataFrame, column: str, exclude=None, within=None) -> DataFrame:
     return df.filter(matches_filters(F.col(column), exclude, within))
 
 
+def _file(c: Catalog, name: str) -> DataFrame:
+    """The file meant by a path: the whole relative path, else the one file it ends. Several are an error that names them."""
+    exact = c.files.filter(F.col("rel") == name)
+    if not exact.isEmpty():
+        return exact
+    ends = c.files.filter(F.col("rel").endswith("/" + name))
+    found = [r.rel for r in ends.select("rel").orderBy("rel").limit(11).collect()]
+    if len(found) > 1:
+        raise ValueError(f"{name} may be {', '.join(found[:10])}{' and more' if len(found) > 10 else ''}")
+    return ends
+
+
 def show(c: Catalog, name: str, file=None, class_name=None, line=None, sections=("summary",), top: int = 10) -> dict[str, DataFrame]:
     own = c.symbol(name, file, class_name, line)
     ids = own.select(F.col("symbol_id").alias("to_id"))
@@ -98,6 +113,7 @@ def show(c: Catalog, name: str, file=None, class_name=None, line=None, sections=
         "types": lambda: c.symbols.filter("family = 'type'").join(own.select(F.col("owner").alias("name")), "name", "left_semi"),
         "example": lambda: edges.diverse_examples(c.calls.filter(F.col("name") == name)),
         "related": lambda: symbols.related(c.symbols, name, top),
+        "account": lambda: A.callee_account(c.calls, c.edges, ids, c.symbols),
         "effects": lambda: audits.side_effects(own, c.imports, search.source_of(own, c.lines)),
     }
     return {s: made[s]() for s in sections}
@@ -156,7 +172,8 @@ def account(c: Catalog, name: str) -> DataFrame:
     claims = c.edges.filter((F.col("name") == name) | (F.col("to_name") == name)).select("file", "line", F.col("tier").alias("bucket"), F.coalesce("reason", "resolution").alias("reason"))
     parsed = c.usages.filter(F.col("name") == name).select("file", "line", "usage_type").unionByName(c.symbols.filter(F.col("name") == name).select("file", F.coalesce("name_line", "start_line").alias("line"), F.lit("definition").alias("usage_type")))
     issues = c.file_issues.filter("kind IN ('unparsed', 'unsupported')").select(F.col("rel").alias("file"), "kind")
-    return A.account(search.ground_set(c.lines, name), claims, parsed, issues)
+    ground = search.ground_set(c.lines.select("file", "line", "text").unionByName(c.gap_lines), name)
+    return A.account(ground, claims, parsed, issues, c.file_issues.filter(F.col("kind").isin(*audits.UNREAD)))
 
 
 def tests(c: Catalog, name: str, depth: int = 0, file=None, class_name=None, line=None) -> DataFrame:
@@ -200,7 +217,7 @@ def deps(c: Catalog, file: str | None = None, depth: int = 5, direction="imports
     own = c.import_edges.filter("dst IS NOT NULL").select("src", "dst").distinct()
     if cycles:
         return graph.components(own)
-    start = c.files.filter((F.col("rel") == file) | F.col("rel").endswith("/" + file)).select(F.col("file").alias("node"))
+    start = _file(c, file).select(F.col("file").alias("node"))
     return graph.closure(own, start, depth, up=direction in ("importers", "exporters", "up"))
 
 
@@ -211,7 +228,8 @@ def api(c: Catalog, file=None, within=None, limit=None) -> DataFrame:
 
 def deadcode(c: Catalog, include_exported=False, include_decorated=False, include_tests=False, exclude=None, within=None, limit=None) -> DataFrame:
     tokens = audits.token_table(c.lines, "masked")
-    found = audits.deadcode(c.symbols, c.edges, tokens, c.entries, c.file_issues, include_exported, include_decorated, include_tests)
+    gaps = audits.token_table(c.gap_lines, "text").select("token").distinct()
+    found = audits.deadcode(c.symbols, c.edges, tokens, c.entries, c.file_issues, include_exported, include_decorated, include_tests, gaps, audits.dispatch_holders(c.lines))
     return _limited(_scoped(found.filter("verdict = 'candidate'"), "rel", exclude, within), limit, ["rel", "start_line"])
 
 

@@ -348,10 +348,27 @@ class Reader:
             seq += 1
             calls.append(self._site(i, start, opened, inner, seq, receiver, method, kind, name))
             calls.extend(self._arguments(i, opened, inner, calls[-1], seq))
+            if self.group == "javascript" and name in ("bind", "call", "apply") and words and method:
+                # the function that is called through its own method
+                holder = words[:-1]
+                calls.append({**calls[-1], "name": words[-1], "is_method": bool(holder), "receiver": ".".join(holder) or None, "receiver_type": self.type_of(i, holder, own) if holder else None, "arg_count": None, "is_function_ref": False, "shape": "bound", "local_shadow": False})
+        calls.extend(self.given(inner))
         for n, c in enumerate(calls, 1):
             c["seq"] = n
         return calls
 
+    def given(self, inner: list[int]) -> list[dict]:
+        """Functions named as fields of Go's composite literals; their shape says which: ``pkg.Type{Field}``."""
+        out = []
+        for i in range(self.n if self.group == "go" else 0):
+            if self.at(i) != "{" or self.pair[i] <= i or not self.is_name(i - 1) or self.at(i - 2) in ("struct", "interface", "func", ")", "]"):
+                continue
+            kind = f"{self.text[i - 3]}.{self.text[i - 1]}" if self.at(i - 2) == "." else self.text[i - 1]
+            for a, b in self.split(i + 1, self.pair[i]):
+                if self.kind[a] == "id" and self.at(a + 1) == ":" and self.kind[b - 1] == "id" and (b - a == 3 or b - a == 5 and self.at(b - 2) == ".") and self.is_name(b - 1):
+                    out.append(self._reference(b - 1, b - 1, inner, 0) | {"shape": f"{kind}{{{self.text[a]}}}"})
+        return out
+
     def _path(self, start: int, i: int) -> str:
         words, depth = [], 0
         for w in self.text[start : i - 1]:
@@ -389,14 +406,22 @@ class Reader:
         if not method and receiver is None and self.group != "java" and self.at(i - 1) != "new":
             v = self._variable(i, name)
             shadow = bool(v and v[4])
-        spread = any(self.at(a) == "..." or self.at(b - 1) == "..." for a, b in args)
+        # the results of a call may be all the arguments in Go
+        spread = any(self.at(a) == "..." or self.at(b - 1) == "..." for a, b in args) or self.group == "go" and len(args) == 1 and self.at(args[0][1] - 1) == ")" and args[0][1] - args[0][0] > 2
         return {
             "line": self.line[i], "col": self.t.start[i] - self.t.lines[self.line[i] - 1], "seq": seq, "name": name, "resolved_names": [], "is_method": method, "receiver": receiver, "receiver_type": kind, "arg_count": len(args), "arg_spread": spread, "keywords": [],
             "first_string_arg": literal, "first_string_interp": interp, "options_method": option[1].upper() if option else None, "is_function_ref": False, "local_shadow": shadow,
             "awaited": awaited, "handled": self.at(before) in ("return", "yield", "void", "=>") or self.at(close + 1) in (".", "?."), "assigned_to": assigned, "in_loop": self.in_loop[i], "in_try": self.in_try[i],
-            "enclosing_name": enclosing["name"] if enclosing else None, "enclosing_start": enclosing["start_line"] if enclosing else None, "shape": ",".join("id" if b - a == 1 and self.kind[a] == "id" else "expr" for a, b in args),
+            "enclosing_name": enclosing["name"] if enclosing else None, "enclosing_start": enclosing["start_line"] if enclosing else None, "shape": ",".join(self.shape(a, b) for a, b in args),
         }
 
+    def shape(self, a: int, b: int) -> str:
+        """What an argument is by its tokens: a literal's kind, a name, or an expression."""
+        if b - a > 1 and not (b - a == 2 and self.at(a) == "-"):
+            return "expr"
+        kind = self.kind[b - 1]
+        return "bool" if self.text[a] in ("true", "false") else "char" if kind == "str" and self.group in ("java", "csharp", "c", "cpp") and self.text[b - 1].startswith("'") else kind if kind in ("id", "str", "num") else "expr"
+
     def _literal(self, i: int) -> tuple[str | None, bool]:
         """The string that starts at token ``i``, its holes as stars."""
         if not (0 <= i < self.n and self.kind[i] == "str"):

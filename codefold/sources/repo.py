@@ -8,6 +8,7 @@ import os
 import re
 import subprocess
 from pathlib import Path
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from codefold.functions.text import path_glob_pattern
 from codefold.schemas import CALLS, EXPORTS, FILES, IMPORTS, ISSUES, SYMBOLS, USAGES
 from codefold.session import ship
-from codefold.sources.languages import EXTENSIONS, IGNORED, MARKERS, UNSUPPORTED, language_of
+from codefold.sources.languages import IGNORED, MARKERS, UNSUPPORTED, language_of
 
 MAX_FILES, MAX_DEPTH, MAX_BYTES = 50_000, 1000, 8 << 20
 _GENERATED = re.compile(r"(?i)@generated|code generated .* do not edit|auto-?generated|do not edit")
@@ -57,7 +58,7 @@ def tracked(root: str) -> set[str]:
 
 
 def discover(root: str, include: str | None = None, exclude: list[str] = (), max_files: int = MAX_FILES, max_depth: int = MAX_DEPTH, max_bytes: int = MAX_BYTES) -> tuple[list[tuple], list[tuple]]:
-    """``(path, rel, language)`` in canonical order and issues ``(rel, kind, reason, language)``.
+    """``(path, rel, language, size)`` in canonical order and issues ``(rel, kind, reason, language)``.
 
     Directories are followed through links once (by real path). What a limit
     leaves out is an issue, never silent.
@@ -99,24 +100,37 @@ def discover(root: str, include: str | None = None, exclude: list[str] = (), max
                 elif entry.stat().st_size > max_bytes:
                     issues.append((rel, "skipped", "max-file-size", language))
                 else:
-                    files.append((entry.path, rel, language))
+                    files.append((entry.path, rel, language, entry.stat().st_size))
 
     walk(root, 0)
     files.sort(key=lambda f: (f[1].lower(), f[1]))
-    issues += [(rel, "skipped", "max-files", language) for _, rel, language in files[max_files:]]
+    issues += [(rel, "skipped", "max-files", language) for _, rel, language, _ in files[max_files:]]
     return files[:max_files], issues
 
 
+def _contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path, content`` of these files by Spark's binary reader."""
+    if not paths:
+        return spark.createDataFrame([], "path string, content binary")
+    read = spark.read.format("binaryFile").load([f"file://{quote(p)}" for p in paths])
+    return read.select(F.url_decode(F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), r"\+", "%2B")).alias("path"), "content")
+
+
 def source_files(spark: SparkSession, root: str, **limits) -> tuple[DataFrame, DataFrame]:
-    """``path, rel, language, content`` by Spark's binary reader, and the issues."""
+    """``path, rel, language, content`` of the files that count, and the issues. Content is null where the reader gave none."""
     files, issues = discover(root, **limits)
-    listed = spark.createDataFrame(files, "path string, rel string, language string")
-    extensions = ",".join(sorted(x.lstrip(".") for x in EXTENSIONS))
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{extensions}}}").load(root)
-    read = read.select(F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "%20", " ").alias("path"), "content")
+    listed = spark.createDataFrame(files, "path string, rel string, language string, size long")
     # Spark leaves empty files out
-    whole = listed.join(read, "path", "left").withColumn("content", F.coalesce("content", F.lit(bytearray())))
-    return whole, spark.createDataFrame(issues, ISSUES)
+    whole = listed.join(_contents(spark, [f[0] for f in files if f[3]]), "path", "left").withColumn("content", F.when(F.col("size") == 0, F.lit(bytearray())).otherwise(F.col("content")))
+    return whole.drop("size"), spark.createDataFrame(issues, ISSUES)
+
+
+def gap_lines(spark: SparkSession, root: str, issues: DataFrame) -> DataFrame:
+    """``file, line, text`` of readable files in languages without an adapter: their text counts, though nothing in it is resolved."""
+    rels = [r.rel for r in issues.filter("kind = 'unsupported'").select("rel").collect()]
+    listed = spark.createDataFrame([(os.path.join(root, r), r) for r in rels], "path string, file string")
+    text = listed.join(_contents(spark, [os.path.join(root, r) for r in rels]), "path").select("file", F.decode("content", "UTF-8").alias("text"))
+    return text.select("file", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")).select("file", (F.col("pos") + 1).alias("line"), "text")
 
 
 def document_files(table: DataFrame, id_col: str, text_col: str, language: str, suffix: str) -> DataFrame:
@@ -145,14 +159,19 @@ _PARTS = {"symbols": SYMBOLS, "calls": CALLS, "usages": USAGES, "imports": IMPOR
 _FACTS = f"{FILES}, " + ", ".join(f"{name} array<struct<{ddl}>>" for name, ddl in _PARTS.items()) + f", masked array<string>, texts array<string>, issue struct<{ISSUES}>"
 
 
-def facts(files: DataFrame) -> DataFrame:
-    """One row for each file with all its facts nested; explode with ``relations``. A file that can't be parsed has an issue instead."""
+def facts(files: DataFrame, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """One row for each file with all its facts nested; explode with ``relations``. A file that can't be parsed has an issue instead.
+
+    ``wanted``: the relations that will be read (``lines`` among them); the others
+    stay empty, so their rows are neither built nor moved.
+    """
     spark = files.sparkSession
     ship(spark)
     schema = T.StructType.fromDDL(_FACTS)
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
     names = {part: [f.name for f in schema[part].dataType.elementType] for part in _PARTS}
-    adapters = dict(ADAPTERS)
+    adapters, whole = dict(ADAPTERS), wanted is None or "lines" in wanted
+    parts = [p for p in _PARTS if wanted is None or p in wanted]
 
     def parse(batches):
         from codefold.sources.masking import masked
@@ -160,12 +179,15 @@ def facts(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, rel, language, content in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if content is None:
+                    rows.append(dict.fromkeys(arrow.names) | dict.fromkeys(_PARTS, []) | {"file": rel, "rel": rel, "dir": rel.rpartition("/")[0], "language": language, "lines": 0, "size": 0, "is_test": bool(_TEST.search(rel)), "is_bundled": False, "is_generated": False, "texts": [], "masked": [], "issue": {"rel": rel, "kind": "unreadable", "reason": "no content", "language": language}})
+                    continue
                 text = content.decode("utf-8", "replace")
                 lines = text.split("\n")
                 count = len(lines) - (lines[-1] == "")
                 row = {
                     "file": rel, "rel": rel, "dir": rel.rpartition("/")[0], "language": language, "lines": count, "hash": hashlib.md5(content).hexdigest(), "size": len(content), "is_test": bool(_TEST.search(rel)),
-                    "is_bundled": len(content) >= 100 << 10 and len(content) / max(1, count) > 500, "is_generated": bool(_GENERATED.search(text[:500])), "texts": lines, "masked": masked(text, language).split("\n") if language != "html" else lines,
+                    "is_bundled": len(content) >= 100 << 10 and len(content) / max(1, count) > 500, "is_generated": bool(_GENERATED.search(text[:500])), "texts": lines if whole else [], "masked": [] if not whole else masked(text, language).split("\n") if language != "html" else lines,
                 }
                 try:
                     found = adapters[language](text) if language in adapters else extract(text, language)
@@ -175,7 +197,8 @@ def facts(files: DataFrame) -> DataFrame:
                     row |= dict.fromkeys(_PARTS, []) | {"issue": {"rel": rel, "kind": "unparsed", "reason": str(wrong)[:200], "language": language}}
                     rows.append(row)
                     continue
-                for part in _PARTS:
+                row |= dict.fromkeys(_PARTS, [])
+                for part in parts:
                     row[part] = [{n: x.get(n) for n in names[part]} | {"file": rel} for x in found[part]]
                 for s in row["symbols"]:
                     s |= {"rel": rel, "language": language, "symbol_id": f"{rel}:{s['start_line']}:{s['owner'] or ''}:{s['name']}:{s['kind']}"}
