@@ -131,7 +131,7 @@ def entry_points(symbols: DataFrame, calls: DataFrame, files: DataFrame, imports
     handlers = calls.filter("is_function_ref").select("file", "line", F.col("name").alias("handler"))
     given = routed.select("file", "line", "rule", "type", "framework", "place").join(handlers, ["file", "line"])
     if "shape" in calls.columns:
-        fields = calls.filter(F.col("is_function_ref") & F.col("shape").rlike(r"^[\\w.]+\\{\\w+\\}$")).join(files.select("file", "language"), "file").join(rule.filter("detection = 'compositePattern'"), "language")
+        fields = calls.filter(F.col("is_function_ref") & F.col("shape").rlike(r"^[\w.]+\{\w+\}$")).join(files.select("file", "language"), "file").join(rule.filter("detection = 'compositePattern'"), "language")
         fields = fields.filter(F.expr(r"regexp_extract(shape, '^([^{]*)', 1) rlike pattern AND regexp_extract(shape, '[{](\\w+)[}]$', 1) rlike pattern2"))
         given = given.unionByName(fields.select("file", "line", "rule", "type", "framework", "place", F.col("name").alias("handler")))
     handled = given.join(symbols.select("symbol_id", F.col("name").alias("handler"), F.col("file").alias("def_file"), "start_line"), "handler")
