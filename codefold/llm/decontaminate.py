@@ -8,31 +8,18 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codefold.llm.common import id_text, ready
+from codefold.llm.hashing import PARTS, shingles, wide_fingerprints
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Windows with a similarity of 0.8 differ from their item in about 10 of 64 bits, with a deviation of 3: 24 bits are five deviations off.
-RADIUS, BLOCKS = 24, 8
-#: Words of benchmark text that one pass over the documents holds in a worker.
-PASS_WORDS = 2_000_000
-CACHE_WORDS = 500_000
+#: Windows with a similarity of 0.8 differ from their item in some 40 of 256 bits, with a deviation of 6; one in a hundred million differs in over 80. Of fingerprints within the radius one of four 64-bit blocks differs in 20 bits or fewer; of random ones 0.7 % have such a block.
+RADIUS, BLOCKS = 80, PARTS
+#: Words of benchmark text that one pass over the documents holds in a worker, and windows and items in a comparison.
+PASS_WORDS, WINDOWS, ITEMS = 2_000_000, 4096, 256
 _WORD = re.compile(r"\w+")
-_ODD = 0x9E3779B97F4A7C15
-
-
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
-        return h
-
-
-_HASHES = _Hashes()
 
 
 def words_of(text: str) -> list[str]:
@@ -40,34 +27,13 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def shingles(words: list[str], k: int) -> np.ndarray:
-    """64-bit hashes of the runs of ``k`` words."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    own = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out = out * np.uint64(_ODD) + own[j : j + n]
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ out >> np.uint64(27)
-
-
-def window_fingerprints(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """SimHash of the windows of ``n`` shingles at ``starts``, by running bit counts."""
-    bits = np.unpackbits(np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    total = np.vstack([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
-    return np.packbits((total[starts + n] - total[starts]) * 2 > n, axis=1, bitorder="little").view("<u8").ravel()
-
-
 def similarity(a: Counter, b: Counter) -> float:
     """Weighted Jaccard: shingles count as often as they occur."""
     shared = sum(min(n, b[h]) for h, n in a.items() if h in b)
     return shared / (sum(a.values()) + sum(b.values()) - shared) if shared else 0.0
 
 
-def _stretches(starts: np.ndarray, most: int = 4096) -> list[np.ndarray]:
+def _stretches(starts: np.ndarray, most: int = WINDOWS) -> list[np.ndarray]:
     """Ascending starts in parts that lie in one stretch of ``most`` words each, so that a long text's bits are never all in memory."""
     return np.split(starts, np.flatnonzero(np.diff(starts // most)) + 1) if len(starts) else []
 
@@ -75,20 +41,17 @@ def _stretches(starts: np.ndarray, most: int = 4096) -> list[np.ndarray]:
 class Matcher:
     """All items of a pass. Items are grouped by their number of words; each group has its own windows and index."""
 
-    def __init__(self, items: list[tuple[int | None, str]], least: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS):
-        self.least, self.radius, self.blocks, width = least, radius, blocks, 64 // blocks
+    def __init__(self, items: list[tuple[int | None, str]], least: float = SIMILARITY, radius: int = RADIUS):
+        self.least, self.radius = least, radius
         groups: dict[int, list] = {}
         for item_id, text in items:
             if words := words_of(text):
                 groups.setdefault(len(words), []).append((item_id, shingles(words, min(SHINGLE, len(words)))))
         self.groups, known = [], {}
-        near = np.bitwise_count(np.arange(1 << width)[:, None] ^ np.arange(1 << width)[None, :]) <= radius // blocks
         for size, members in sorted(groups.items()):
             k = min(SHINGLE, size)
-            prints = np.array([window_fingerprints(h, np.array([0]), len(h))[0] for _, h in members], np.uint64)
-            # block values within radius // blocks of an item's: if two numbers differ in the radius or fewer, one block does by no more
-            index = np.stack([near[:, (prints >> np.uint64(width * b)).astype(np.int64) & ((1 << width) - 1)] for b in range(blocks)])
-            self.groups.append((size, k, size - k + 1, [m[0] for m in members], [Counter(m[1].tolist()) for m in members], prints, index))
+            prints = np.vstack([wide_fingerprints(h, np.array([0]), len(h)) for _, h in members])
+            self.groups.append((size, k, size - k + 1, [m[0] for m in members], [Counter(m[1].tolist()) for m in members], prints))
             known.setdefault(k, []).extend(m[1] for m in members)
         self.known = {k: np.unique(np.concatenate(v)) for k, v in known.items()}
         self.filters = {}
@@ -104,12 +67,19 @@ class Matcher:
             maybe = maybe[self.known[k][np.minimum(at, len(self.known[k]) - 1)] == hashes[maybe]]
         return maybe
 
+    def _near(self, found: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        """Which of the windows' and items' fingerprints lie within the radius: first those with a block that differs little, then all their bits."""
+        far = np.bitwise_count(found[:, None, :] ^ prints[None, :, :])
+        windows, items = np.nonzero((far <= self.radius // BLOCKS).any(axis=2))
+        good = far[windows, items].sum(axis=1, dtype=np.int64) <= self.radius
+        return np.stack([windows[good], items[good]], axis=1)
+
     def matches(self, text: str) -> list[tuple[int | None, float, int]]:
         """``(item_id, similarity, first word)`` of the best window of each item that reaches the similarity."""
         words = words_of(text)
         cache: dict[int, tuple] = {}
         best: dict[int, tuple] = {}
-        for g, (size, k, n, ids, counters, prints, index) in enumerate(self.groups):
+        for g, (size, k, n, ids, counters, prints) in enumerate(self.groups):
             if k not in cache:
                 hashes = shingles(words, k)
                 cache[k] = hashes, self._hits(hashes, k)
@@ -125,13 +95,9 @@ class Matcher:
             starts = np.flatnonzero(marks[span:] - marks[: len(marks) - span] >= max(1, need))
             for part in _stretches(starts):
                 first = int(part[0])
-                found = window_fingerprints(hashes[first : int(part[-1]) + span], part - first, span)
-                width = 64 // self.blocks
-                candidate = np.zeros((len(part), len(ids)), bool)
-                for b in range(self.blocks):
-                    candidate |= index[b][(found >> np.uint64(width * b)).astype(np.int64) & ((1 << width) - 1)]
-                candidate &= np.bitwise_count(found[:, None] ^ prints[None, :]) <= self.radius
-                for i, j in zip(*(x.tolist() for x in np.nonzero(candidate))):
+                found = wide_fingerprints(hashes[first : int(part[-1]) + span], part - first, span)
+                pairs = [self._near(found, prints[low : low + ITEMS]) + (0, low) for low in range(0, len(ids), ITEMS)]
+                for i, j in np.concatenate(pairs).tolist():
                     start = int(part[i])
                     alike = similarity(Counter(hashes[start : start + span].tolist()), counters[j])
                     if alike >= self.least and alike > best.get((g, j), (0,))[0]:
