@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codefold.llm.common import id_text, join_salted, ready, stored, work_dir
+from codefold.llm.common import join_hot, join_salted, keep_rows, ready, stored, work_dir
 from codefold.llm.components import Forest, connected_components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -40,15 +38,16 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed long) for each row."""
+    """``doc_id, digest, fp`` for each row: the text's hash and its fingerprint as a signed long."""
     ready(docs.sparkSession)
+    text = F.coalesce(F.col("text"), F.lit(""))
 
     def make(batches):
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "digest", "fp"])
 
-    return id_text(docs).mapInArrow(make, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text")).mapInArrow(make, "doc_id long, digest long, fp long")
 
 
 def linked(a: np.ndarray, b: np.ndarray, radius: int = RADIUS, cells: int = CELLS) -> list[tuple[int, int]]:
@@ -84,32 +83,39 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int = RADIUS, cells: int = CELL
 
 
 def _segments(distinct: int) -> int:
-    """Finer tiles for more fingerprints; the links found are the same."""
-    return 2 if distinct < 20_000 else 4 if distinct < 1 << 24 else 8
+    """Finer tiles for more fingerprints; the links found are the same.
+
+    Two random fingerprints lie in the same or neighbouring tiles with a
+    probability of 1/8, 1/70, 1/4,000 and 1/3,000,000 for 2, 4, 8 and 16 segments,
+    so about ``distinct**2 / 2`` times that are compared: 10**11 for 10**9.
+    """
+    return 2 if distinct < 1 << 14 else 4 if distinct < 1 << 20 else 8 if distinct < 1 << 25 else 16
+
+
+def _digit(segments: int) -> int:
+    """Bits for a segment in a tile's key: room for its count and the steps to neighbours."""
+    return min(7, 64 // segments)
 
 
 def tile_of(fp: Column, segments: int) -> Column:
-    """The population counts of the fingerprint's equal segments, seven bits for each."""
-    width = 64 // segments
-    total = F.lit(0).cast("long")
+    """The population counts of the fingerprint's equal segments in one number."""
+    width, total = 64 // segments, F.lit(0).cast("long")
     for k in range(segments):
         part = F.shiftrightunsigned(fp, width * k).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        total = total + F.bit_count(part).cast("long") * F.lit(1 << (7 * k)).cast("long")
+        total = total + F.bit_count(part).cast("long") * F.lit(1 << (_digit(segments) * k)).cast("long")
     return total
 
 
 def neighbour_steps(segments: int, radius: int) -> list[int]:
     """Differences between the keys of tiles whose counts differ by the radius in all at most; one of each pair of opposites, and 0."""
-    steps = [d for d in product(range(-radius, radius + 1), repeat=segments) if sum(map(abs, d)) <= radius] if segments <= 4 else []
-    if segments > 4:
-        steps, layer = {(0,) * segments}, {(0,) * segments}
-        for _ in range(radius):
-            layer = {d[:k] + (d[k] + s,) + d[k + 1 :] for d in layer for k in range(segments) for s in (-1, 1)}
-            steps |= layer
-    return sorted({sum(x << (7 * k) for k, x in enumerate(d)) for d in steps if next((x for x in d if x), 1) > 0})
+    steps, layer = {(0,) * segments}, {(0,) * segments}
+    for _ in range(radius):
+        layer = {d[:k] + (d[k] + s,) + d[k + 1 :] for d in layer for k in range(segments) for s in (-1, 1)}
+        steps |= layer
+    return sorted({sum(x << (_digit(segments) * k) for k, x in enumerate(d)) for d in steps if next((x for x in d if x), 1) > 0})
 
 
-def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK, segments: int | None = None) -> DataFrame:
     """``nodes``: distinct ``fp``. Links ``u, v`` whose components are those of all pairs within the radius.
 
     Tiles hold the fingerprints with the same population counts in each segment;
@@ -120,7 +126,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK
     """
     spark = nodes.sparkSession
     ready(spark)
-    segments = _segments(nodes.count())
+    segments = segments or _segments(nodes.count())
     tiled = nodes.select("fp", tile_of(F.col("fp"), segments).alias("tile"))
     sizes = tiled.groupBy("tile").agg(F.ceil(F.count("*") / block).alias("blocks"))
     cut = tiled.join(sizes, "tile").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
@@ -148,6 +154,17 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK
     return both.select("a", "b").mapInArrow(compare, "u long, v long")
 
 
+def _grouped(docs: DataFrame, radius: int, shingle: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows with their fingerprints; a row for each fingerprint with its group's root and smallest id, and how many rows have it; the number of rows."""
+    spark = docs.sparkSession
+    rows = stored(fingerprints(docs, shingle), work_dir(spark, "fingerprints"))
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")), work_dir(spark, "nodes"))
+    roots = connected_components(fingerprint_links(nodes.select("fp"), radius))
+    placed = stored(nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", "size", F.coalesce("root", "fp").alias("root")), work_dir(spark, "placed"))
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows, stored(join_salted(placed, named, "root", "fp").select("fp", "size", "root", "component_id"), work_dir(spark, "named")), rows.count()
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row for each input row: ``doc_id, fingerprint, component_id``.
 
@@ -159,25 +176,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     empty table gives an empty result.
 
     Equal fingerprints become one node before any comparison, so copies cost
-    nothing, and comparisons yield forests instead of all pairs.
+    nothing, and comparisons yield forests instead of all pairs. Fingerprints
+    with a large share of the rows meet their facts in a broadcast of bounded size.
     """
-    spark = docs.sparkSession
-    rows = stored(fingerprints(docs, shingle), work_dir(spark, "fingerprints"))
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), work_dir(spark, "nodes"))
-    roots = connected_components(fingerprint_links(nodes.select("fp"), radius))
-    placed = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = join_salted(placed, named, "root", "fp").select("fp", "component_id")
-    return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows, found, total = _grouped(docs, radius, shingle)
+    return join_hot(rows, found, "fp", "size", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose ``doc_id`` is the smallest of its group; one document of each group stays.
+    """The rows of ``docs``, all columns, one for each group of linked fingerprints: that of the smallest ``doc_id`` (nulls last).
 
-    Rows that share a ``doc_id`` count as one document. The ids that go meet the
-    documents in a sort-merge anti-join, at any size.
+    Rows go by id and text, so rows that share an id are told apart and no group
+    loses its last row. For similarities beyond a few bits see ``similar``.
     """
-    gone = near_duplicates(docs, radius, shingle).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = stored(gone.select(F.col("doc_id").alias("__cf_gone")), work_dir(docs.sparkSession, "near"))
-    whole = docs.select(F.struct("*").alias("__cf_row"), F.col("doc_id").cast("long").alias("__cf_id"))
-    return whole.join(gone.hint("merge"), F.col("__cf_id").eqNullSafe(F.col("__cf_gone")), "left_anti").select("__cf_row.*")
+    rows, found, total = _grouped(docs, radius, shingle)
+    return keep_rows(docs, join_hot(rows, found, "fp", "size", total).select("doc_id", "digest", "root"), "root", F.xxhash64)
