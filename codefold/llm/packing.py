@@ -265,8 +265,8 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
     one that may be shorter. Each sequence's pieces fill it from 0 without gaps.
 
     Texts don't move. Pieces are written once; a rank within each length comes
-    from counts by task and length, so a length that many documents share
-    gathers nowhere; and a broadcast table of the solution's patterns, whose
+    from counts by task and length, which meet the pieces in a sort-merge join, so
+    a length that many documents share gathers nowhere; and a broadcast table of the solution's patterns, whose
     size the capacity bounds, gives each rank its place.
     """
     spark = docs.sparkSession
@@ -275,7 +275,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
     counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = spark.sparkContext.broadcast(places(search(spark, counts, capacity)))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = sizes.select("length", "part", F.coalesce(before, F.lit(0)).alias("base"))
+    bases = sizes.select("length", "part", F.coalesce(before, F.lit(0)).alias("base")).hint("merge")
     ranked = pieces.join(bases, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
 
     def place(batches):

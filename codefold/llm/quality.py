@@ -19,7 +19,7 @@ THRESHOLD, HELD_OUT = 0.3, 5
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-4, 1e-3, 3
 SCALE = 16.0
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 
 
 def shape(word: str) -> int:
