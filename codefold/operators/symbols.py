@@ -131,15 +131,16 @@ def members(symbols: DataFrame, owner: str) -> DataFrame:
     return symbols.filter((F.col("family") == "callable") & ((F.col("owner") == owner) | (F.col("receiver") == owner)))
 
 
-def dispatch_names(inherit: DataFrame, symbols: DataFrame, owner: str, method: str, cap: int = 256, depth: int = 8) -> DataFrame:
-    """``name``: the class and the descendants that take the method from it, down to those that override it."""
+def dispatch_names(inherit: DataFrame, symbols: DataFrame, owner: str, method: str, cap: int | None = None, depth: int = 8) -> DataFrame:
+    """``name``: the class and the descendants, up to ``depth`` levels below, that take the method from it, down to those that override it; all, or the first ``cap`` by name."""
     overriding = symbols.filter((F.col("name") == method) & F.col("owner").isNotNull()).select(F.col("owner").alias("child")).distinct()
     links = inherit.select("child", "parent").distinct().join(overriding, "child", "left_anti")
     found = level = symbols.sparkSession.createDataFrame([(owner,)], "name string")
     for _ in range(depth):
         level = level.join(links, F.col("name") == F.col("parent")).select(F.col("child").alias("name")).distinct()
         found = found.unionByName(level)
-    return found.distinct().orderBy("name").limit(cap)
+    found = found.distinct().orderBy("name")
+    return found if cap is None else found.limit(cap)
 
 
 def usage_counts(symbols: DataFrame, calls: DataFrame, imports: DataFrame) -> DataFrame:

@@ -26,6 +26,10 @@ _GENERATED = re.compile(r"(?i)@generated|code generated .* do not edit|auto-?gen
 _TEST = re.compile(r"(^|/)(tests?|__tests__|spec|__mocks__|fixtures?)/|[._-](test|spec)s?\.[a-z]+$|(^|/)test_[^/]*\.py$|_test\.(go|py|c|cc|cpp|rs)$|Tests?\.(java|cs)$", re.I)
 
 
+#: Reason of a file whose content no reader gave.
+NO_CONTENT = "no content"
+
+
 def project_root(start: str) -> str:
     """The nearest folder upwards with a marker file, else ``start``."""
     at = Path(start).resolve()
@@ -180,7 +184,7 @@ def facts(files: DataFrame, wanted: tuple[str, ...] | None = None) -> DataFrame:
             rows = []
             for path, rel, language, content in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if content is None:
-                    rows.append(dict.fromkeys(arrow.names) | dict.fromkeys(_PARTS, []) | {"file": rel, "rel": rel, "dir": rel.rpartition("/")[0], "language": language, "lines": 0, "size": 0, "is_test": bool(_TEST.search(rel)), "is_bundled": False, "is_generated": False, "texts": [], "masked": [], "issue": {"rel": rel, "kind": "unreadable", "reason": "no content", "language": language}})
+                    rows.append(dict.fromkeys(arrow.names) | dict.fromkeys(_PARTS, []) | {"file": rel, "rel": rel, "dir": rel.rpartition("/")[0], "language": language, "lines": 0, "size": 0, "is_test": bool(_TEST.search(rel)), "is_bundled": False, "is_generated": False, "texts": [], "masked": [], "issue": {"rel": rel, "kind": "unreadable", "reason": NO_CONTENT, "language": language}})
                     continue
                 text = content.decode("utf-8", "replace")
                 lines = text.split("\n")
