@@ -173,12 +173,18 @@ def _columns(n, fp, sketches) -> dict:
 
 def _block(members: pa.Array) -> dict:
     """A block's columns."""
-    n, fp, sketches, node, root = (members.field(k) for k in ("n", "fp", "sketch", "node", "root"))
-    return _columns(n, fp, sketches) | {"node": node.to_numpy(), "root": root.to_numpy()}
+    n, fp, sketches, keys, node, root = (members.field(k) for k in ("n", "fp", "sketch", "keys", "node", "root"))
+    return _columns(n, fp, sketches) | {"node": node.to_numpy(), "root": root.to_numpy(), "keys": keys.flatten().to_numpy().reshape(-1, KEYS)}
+
+
+def first_shared(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
+    """Whether ``key`` is the first of the keys that two nodes share, for each pair of rows: so a pair counts in one tile only."""
+    at = (a == b).argmax(axis=1)
+    return a[np.arange(len(a)), at] == key
 
 
 def tile_pairs(tiles: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """``u, v``, each once: pairs of nodes that share a tile, as ``near_pairs`` has them. ``tiles``: ``key, node, n, fp, sketch, root``.
+    """``u, v``, each once: pairs of nodes that share a tile, as ``near_pairs`` has them. ``tiles``: ``key, node, n, fp, sketch, keys, root``.
 
     Tiles are cut into blocks by size class and hash; a task compares two blocks,
     so no task holds a whole tile, and classes too far apart never meet.
@@ -188,7 +194,7 @@ def tile_pairs(tiles: DataFrame, similarity: float, block: int = BLOCK) -> DataF
     large = stored(cut.groupBy("key", "class").agg(F.ceil(F.count("*") / block).alias("blocks")).filter("blocks > 1"), work_dir(spark, "similar-large"))
     large = F.broadcast(large) if large.count() <= KNOWN // 16 else large.hint("merge")
     cut = cut.join(large, ["key", "class"], "left").withColumn("block", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))))
-    blocks = stored(cut.groupBy("key", "class", "block").agg(F.collect_list(F.struct("node", "n", "fp", "sketch", "root")).alias("members")), work_dir(spark, "similar-blocks"))
+    blocks = stored(cut.groupBy("key", "class", "block").agg(F.collect_list(F.struct("node", "n", "fp", "sketch", "keys", "root")).alias("members")), work_dir(spark, "similar-blocks"))
     ends = blocks.select("key", F.col("class").alias("to_class"), F.col("block").alias("to_block"))
     pairs = blocks.select("key", "class", "block").withColumn("to_class", F.explode(F.array(F.col("class"), F.col("class") + 1, F.col("class") + 2))).join(ends, ["key", "to_class"])
     pairs = pairs.filter("to_class > class OR block <= to_block")
@@ -196,16 +202,17 @@ def tile_pairs(tiles: DataFrame, similarity: float, block: int = BLOCK) -> DataF
 
     def compare(batches):
         for batch in batches:
-            same, left, right = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+            keys, same, left, right = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)
             for k in range(batch.num_rows):
                 a, b = _block(left[k].values), _block(right[k].values)
                 i, j = near_pairs(a, b, same[k], similarity)
-                u, v = a["node"][i], b["node"][j]
+                own = first_shared(a["keys"][i], b["keys"][j], keys[k])
+                u, v = a["node"][i[own]], b["node"][j[own]]
                 for low in range(0, len(u), 1 << 16):
                     x, y = u[low : low + (1 << 16)], v[low : low + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
 
-    return both.select(F.expr("class = to_class AND block = to_block").alias("same"), "a", "b").mapInArrow(compare, "u long, v long").distinct()
+    return both.select("key", F.expr("class = to_class AND block = to_block").alias("same"), "a", "b").mapInArrow(compare, "u long, v long").distinct()
 
 
 def similar_links(rows: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -222,12 +229,12 @@ def similar_links(rows: DataFrame, texts: DataFrame, similarity: float = SIMILAR
     shared = stored(shared, work_dir(spark, "similar-keys"))
     total = shared.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     met = stored(join_hot(entries, shared, "key", "size", total).select("key", "node", "low", "high").distinct(), work_dir(spark, "similar-met"))
-    facts = stored(rows.join(met.select("node").distinct(), "node", "left_semi").select("node", "n", "fp", "sketch").dropDuplicates(["node"]), work_dir(spark, "similar-facts"))
+    facts = stored(rows.join(met.select("node").distinct(), "node", "left_semi").select("node", "n", "fp", "sketch", "keys").dropDuplicates(["node"]), work_dir(spark, "similar-facts"))
     ends = met.select("node", F.explode(F.array("low", "high")).alias("end")).filter("node <> end")
     first = ends.select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v")).distinct()
     links = _verified(_close(first, facts, similarity), rows, texts, similarity, shingle)
     roots = stored(connected_components(links, "similar-components"), work_dir(spark, "similar-roots"))
-    known = facts.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "n", "fp", "sketch", F.coalesce("root", "node").alias("root"))
+    known = facts.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "n", "fp", "sketch", "keys", F.coalesce("root", "node").alias("root"))
     known = stored(known, work_dir(spark, "similar-known"))
     placed = met.select("key", "node").join(known.select("node", "root"), "node")
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low <> high").select("key", "size")
