@@ -86,17 +86,13 @@ def _encoded(docs: DataFrame, tokenizer: str, end: int, wide: bool) -> DataFrame
     """``shard, doc_id, tie, ids``: each text's ids with ``end``, as little-endian bytes of 16 or 32 bits, and the shard its place in the order gives it."""
     spark = docs.sparkSession
     cuts = spark.sparkContext.broadcast(ordered_cuts(docs, "doc_id", max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    tail, kind = np.array([end], dtype="<u4").tobytes(), "<u4" if wide else "<u2"
+    kind = "<u4" if wide else "<u2"
+    tail = np.array([end], dtype=kind).tobytes()
 
     def encode(batches):
         own = encoder(tokenizer)
         for batch in batches:
-            out = []
-            for text in batch.column(2).to_pylist():
-                ids = np.frombuffer(own.encode(text) + tail, "<u4")
-                if not wide and ids.max() > 0xFFFF:
-                    raise ValueError("ids over 16 bits: write with wide=True")
-                out.append(ids.astype(kind).tobytes())
+            out = [own.encode(text, kind) + tail for text in batch.column(2).to_pylist()]
             ids, ties = batch.column(0), batch.column(1)
             yield pa.RecordBatch.from_arrays([pa.array(cuts.value.of(ids, ties)), ids, ties, pa.array(out, pa.binary())], ["shard", "doc_id", "tie", "ids"])
 

@@ -15,12 +15,12 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import unicodedata
-
-import numpy as np
+from array import array
 
 #: Bytes of words and ids that a worker's cache holds before it starts anew, bytes that Python needs for an entry besides, and characters from which a word is not kept.
-CACHE_BYTES, ENTRY_BYTES, LONG_WORD = 24 << 20, 200, 64
+CACHE_BYTES, ENTRY_BYTES, LONG_WORD = 48 << 20, 200, 64
 #: Characters whose class, case and normal form are the same everywhere.
 PLAIN = "\t\n\r" + "".join(map(chr, (*range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x130), *range(0x131, 0x149), *range(0x14A, 0x17F), 0x2013, 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x2026, 0x20AC)))
 WORD_END = b"\xff"
@@ -47,24 +47,38 @@ def _class(kind: str) -> str:
 
 
 class _Cache(dict):
-    """Word -> what ``make`` says of it, made on a miss; bounded in bytes."""
+    """Word -> what ``make`` says of it, made on a miss; bounded in bytes.
+
+    Two generations: when the young one is full it becomes the old one, from
+    which words that occur again are taken back, so frequent words stay.
+    """
 
     def __init__(self, make, most: int, size=len):
         super().__init__()
-        self.make, self.most, self.size, self.held = make, most, size, 0
+        self.make, self.most, self.size, self.held, self.old = make, most // 2, size, 0, {}
 
     def __missing__(self, word: str):
-        found = self.make(word)
-        if len(word) > LONG_WORD:
-            return found
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
+            if len(word) > LONG_WORD:
+                return found
         if self.held >= self.most:
+            self.old, self.held = dict(self), 0
             self.clear()
-            self.held = 0
         self.held += ENTRY_BYTES + 2 * len(word) + self.size(found)
         self[word] = found
         return found
 
 
+def _packed(ids: list[int], kind: str) -> bytes:
+    """Ids as little-endian bytes."""
+    out = array("I" if kind == "<u4" else "H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     def __init__(self, name: str, cache_bytes: int = CACHE_BYTES):
         path = resolve(name)
@@ -101,12 +115,12 @@ class Encoder:
         piece = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         split = re.compile(inner).findall
 
-        def encode(word: str) -> bytes:
-            return np.array([i for part in split(word) for i in piece(part.encode() + end)], dtype="<u4").tobytes()
+        def encode(word: str) -> list[int]:
+            return [i for part in split(word) for i in piece(part.encode() + end)]
 
-        self.cache = _Cache(encode, cache_bytes)
-        #: The same by number of ids, for callers that only count.
-        self.lengths = _Cache(lambda word: len(encode(word)) // 4, cache_bytes, lambda n: 0)
+        #: By width of an id; and the number of ids, for callers that only count.
+        self.caches = {kind: _Cache(lambda word, kind=kind: _packed(encode(word), kind), cache_bytes) for kind in ("<u4", "<u2")}
+        self.lengths = _Cache(lambda word: len(encode(word)), cache_bytes, lambda n: 0)
         self.words = str.split if chunk is None else chunk.findall
         self.odd = re.compile("[^" + re.escape(PLAIN) + "]" + "".join("|" + re.escape(x) for x in special)).search
 
@@ -127,11 +141,11 @@ class Encoder:
             return None
         return self.words(text.lower() if self.lower else text)
 
-    def encode(self, text: str) -> bytes:
-        """All ids of the text, little-endian unsigned 32-bit."""
+    def encode(self, text: str, kind: str = "<u4") -> bytes:
+        """All ids of the text, little-endian: unsigned 32-bit, or 16-bit (``<u2``), which an id above refuses."""
         if (words := self.split(text)) is None:
-            return np.array(self.whole(text), dtype="<u4").tobytes()
-        return b"".join(map(self.cache.__getitem__, words))
+            return _packed(self.whole(text), kind)
+        return b"".join(map(self.caches[kind].__getitem__, words))
 
     def count(self, text: str) -> int:
         if (words := self.split(text)) is None:
