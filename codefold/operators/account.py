@@ -9,6 +9,21 @@ from pyspark.sql import functions as F
 BUCKETS = ("confirmed", "unverified", "excluded")
 
 
+def _rank():
+    return F.when(F.col("bucket") == "confirmed", 0).when(F.col("bucket") == "unverified", 1).when(F.col("bucket") == "excluded", 2).otherwise(3)
+
+
+def _order():
+    return F.when(F.col("usage_type") == "call", 0).when(F.col("usage_type") == "import", 1).when(F.col("usage_type") == "definition", 2).when(F.col("usage_type") == "reference", 3).otherwise(4)
+
+
+def _bucket(rank):
+    """The bucket of a line with these ``issue``, rank of its best claim, and ``usage``."""
+    claim = F.when(rank == 0, "confirmed").when(rank == 1, "unverified").when(rank == 2, "excluded").when(rank == 3, "unaccounted")
+    rest = F.when(F.col("usage") == 0, "unverified").when(F.col("usage") == 1, "import").when(F.col("usage") == 2, "definition").when(F.col("usage") == 3, "reference").otherwise("unclassified")
+    return F.coalesce("issue", claim, rest)
+
+
 def assigned(ground: DataFrame, claims: DataFrame, usages: DataFrame | None = None, issues: DataFrame | None = None) -> DataFrame:
     """``file, line, bucket, reason`` for each ground line.
 
@@ -20,27 +35,31 @@ def assigned(ground: DataFrame, claims: DataFrame, usages: DataFrame | None = No
     (unparsed or unsupported) puts all of a file's lines in that bucket. A claim
     of no known bucket accounts for nothing: its line is ``unaccounted``.
     """
-    rank = F.when(F.col("bucket") == "confirmed", 0).when(F.col("bucket") == "unverified", 1).when(F.col("bucket") == "excluded", 2).otherwise(3)
-    best = claims.groupBy("file", "line").agg(F.min(F.struct(rank.alias("rank"), F.coalesce("reason", F.lit("")).alias("reason"))).alias("b"))
+    best = claims.groupBy("file", "line").agg(F.min(F.struct(_rank().alias("rank"), F.coalesce("reason", F.lit("")).alias("reason"))).alias("b"))
     out = ground.join(best, ["file", "line"], "left")
     if usages is not None:
-        order = F.when(F.col("usage_type") == "call", 0).when(F.col("usage_type") == "import", 1).when(F.col("usage_type") == "definition", 2).when(F.col("usage_type") == "reference", 3).otherwise(4)
-        out = out.join(usages.groupBy("file", "line").agg(F.min(order).alias("usage")), ["file", "line"], "left")
+        out = out.join(usages.groupBy("file", "line").agg(F.min(_order()).alias("usage")), ["file", "line"], "left")
     else:
         out = out.withColumn("usage", F.lit(None).cast("int"))
     if issues is not None:
         out = out.join(issues.groupBy("file").agg(F.min("kind").alias("issue")), "file", "left")
     else:
         out = out.withColumn("issue", F.lit(None).cast("string"))
-    claim = F.when(F.col("b.rank") == 0, "confirmed").when(F.col("b.rank") == 1, "unverified").when(F.col("b.rank") == 2, "excluded").when(F.col("b.rank") == 3, "unaccounted")
-    rest = F.when(F.col("usage") == 0, "unverified").when(F.col("usage") == 1, "import").when(F.col("usage") == 2, "definition").when(F.col("usage") == 3, "reference").otherwise("unclassified")
     reason = F.when(F.col("b").isNotNull(), F.col("b.reason")).when(F.col("usage") == 0, "call-not-resolved").otherwise("")
-    return out.select("file", "line", F.coalesce("issue", claim, rest).alias("bucket"), F.when(F.col("issue").isNull(), reason).otherwise("").alias("reason"))
+    return out.select("file", "line", _bucket(F.col("b.rank")).alias("bucket"), F.when(F.col("issue").isNull(), reason).otherwise("").alias("reason"))
 
 
-def beyond_text(ground: DataFrame, claims: DataFrame) -> DataFrame:
-    """Confirmed and unverified claims on lines that don't hold the name (aliases): found from the claims' side."""
-    return claims.filter(F.col("bucket").isin("confirmed", "unverified")).select("file", "line").distinct().join(ground, ["file", "line"], "left_anti")
+def _lines(ground: DataFrame, claims: DataFrame, usages: DataFrame | None, issues: DataFrame | None) -> DataFrame:
+    """``held`` (ground rows), ``rank`` (best claim) and ``bucket`` of each line of the ground or of a claim. Claims are read once."""
+    none, unknown = F.lit(None).cast("int"), F.col("file").isNull() | F.col("line").isNull()
+    # lines without a file or number are equal to none, as in a join
+    part = lambda df, mark, held, rank, usage: df.select("file", "line", F.when(unknown, F.lit(mark)).alias("odd"), F.lit(held).cast("long").alias("held"), rank.alias("rank"), usage.alias("usage"))
+    rows = part(ground, "ground", 1, none, none).unionByName(part(claims, "claim", 0, _rank(), none))
+    if usages is not None:
+        rows = rows.unionByName(part(usages, "usage", 0, none, _order()))
+    rows = rows.groupBy("file", "line", "odd").agg(F.sum("held").alias("held"), F.min("rank").alias("rank"), F.min("usage").alias("usage"))
+    rows = rows.join(issues.groupBy("file").agg(F.min("kind").alias("issue")), "file", "left") if issues is not None else rows.withColumn("issue", F.lit(None).cast("string"))
+    return rows.select("held", "rank", _bucket(F.col("rank")).alias("bucket"))
 
 
 def account(ground: DataFrame, claims: DataFrame, usages: DataFrame | None = None, issues: DataFrame | None = None, unread: DataFrame | None = None) -> DataFrame:
@@ -51,16 +70,16 @@ def account(ground: DataFrame, claims: DataFrame, usages: DataFrame | None = Non
     unsupported line, and no file in ``unread`` (issues of files whose text
     nobody saw). Nothing here says that a zero is safe to delete.
     """
-    rows = assigned(ground, claims, usages, issues)
-    n = lambda *b: F.count_if(F.col("bucket").isin(*b))
+    rows = _lines(ground, claims, usages, issues)
+    n = lambda *b: F.coalesce(F.sum(F.when(F.col("bucket").isin(*b), F.col("held"))), F.lit(0).cast("long"))
     non_call = ("import", "definition", "reference", "unclassified")
-    sums = rows.agg(n("confirmed").alias("confirmed"), n("unverified").alias("unverified"), n("excluded").alias("excluded"), n(*non_call).alias("non_call"), n("unparsed").alias("unparsed"), n("unsupported").alias("unsupported"))
+    sums = rows.agg(n("confirmed").alias("confirmed"), n("unverified").alias("unverified"), n("excluded").alias("excluded"), n(*non_call).alias("non_call"), n("unparsed").alias("unparsed"), n("unsupported").alias("unsupported"), F.count_if((F.col("held") == 0) & (F.col("rank") < 2)).alias("beyond_text"))
     total = ground.agg(F.count("*").alias("total"))
-    beyond = beyond_text(ground, claims).agg(F.count("*").alias("beyond_text"))
     hidden = unread.agg(F.count("*").alias("unread")) if unread is not None else ground.agg(F.lit(0).cast("long").alias("unread"))
     out = total.crossJoin(F.broadcast(sums)).withColumn("unaccounted", F.expr("total - confirmed - unverified - excluded - non_call - unparsed - unsupported"))
-    out = out.crossJoin(F.broadcast(beyond)).crossJoin(F.broadcast(hidden)).withColumn("text_complete", F.expr("unaccounted = 0 AND unparsed = 0 AND unsupported = 0 AND unread = 0"))
-    return out if unread is not None else out.drop("unread")
+    out = out.crossJoin(F.broadcast(hidden)).withColumn("text_complete", F.expr("unaccounted = 0 AND unparsed = 0 AND unsupported = 0 AND unread = 0"))
+    names = ("total", *BUCKETS, "non_call", "unparsed", "unsupported", "unaccounted", "beyond_text", *(("unread",) if unread is not None else ()), "text_complete")
+    return out.select(*names)
 
 
 def callee_account(calls: DataFrame, edges: DataFrame, symbol_ids: DataFrame, symbols: DataFrame) -> DataFrame:
