@@ -64,6 +64,16 @@ def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None, up: bo
     return spark.read.schema(frontier.schema).parquet(*parts)
 
 
+def within(edges: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
+    """``node``, each once: the targets and all that reach them in ``depth`` steps, whatever the target; a step holds each node once."""
+    steps = edges.select(F.col("dst").alias("at"), F.col("src").alias("next")).filter("at IS NOT NULL AND next IS NOT NULL").distinct()
+    level = out = targets.select("node").distinct()
+    for _ in range(depth):
+        level = level.join(steps, F.col("node") == F.col("at"), "inner").select(F.col("next").alias("node")).distinct()
+        out = out.unionByName(level)
+    return out.distinct()
+
+
 def tree(edges: DataFrame, roots: DataFrame, depth: int = 3, up: bool = False, cap: int | None = 10) -> DataFrame:
     """The rows of a trace: ``root, parent, node, depth, ord, shown_before, children``.
 
@@ -198,9 +208,10 @@ def short_cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
 
 def affected_tests(confirmed: DataFrame, possible: DataFrame, targets: DataFrame, test_nodes: DataFrame, depth: int = 3) -> DataFrame:
     """Tests that call into the targets' callers: ``test, confirmed, possible`` (functions linked by each tier), most linked first."""
-    sure = closure(confirmed, targets, depth, up=True).select("node", F.lit(1).alias("sure"))
-    both = closure(confirmed.select("src", "dst").unionByName(possible.select("src", "dst")), targets, depth, up=True).select("node").distinct().join(sure.distinct(), "node", "left")
+    every = confirmed.select("src", "dst").unionByName(possible.select("src", "dst"))
+    sure = within(confirmed, targets, depth).withColumn("sure", F.lit(1))
+    both = within(every, targets, depth).join(sure, "node", "left")
     tests = test_nodes.select(F.col("node").alias("test"))
-    links = confirmed.select("src", "dst").unionByName(possible.select("src", "dst")).distinct().join(tests, F.col("src") == F.col("test"))
+    links = every.join(tests.distinct(), F.col("src") == F.col("test"), "left_semi").distinct().select(F.col("src").alias("test"), "dst")
     found = links.join(both, F.col("dst") == F.col("node"))
     return found.groupBy("test").agg(F.countDistinct(F.when(F.col("sure") == 1, F.col("node"))).alias("confirmed"), F.countDistinct(F.when(F.col("sure").isNull(), F.col("node"))).alias("possible"))
