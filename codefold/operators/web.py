@@ -121,6 +121,32 @@ def bridge(routes: DataFrame, requests_: DataFrame) -> DataFrame:
     return both.filter(fits).withColumn("confidence", F.round(F.greatest(F.lit(0.0), base - F.when(inferred, 0.1).otherwise(0.0)), 2))
 
 
+def _kinds(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each combination of what a bridge looks at."""
+    return rows.groupBy(*by).agg(*(F.min(c).alias(c) for c in rows.columns if c in ("file", "line", "handler")))
+
+
+def kind_bridge(routes: DataFrame, requests_: DataFrame) -> DataFrame:
+    """The bridge between the distinct methods and paths of either side, for what asks only whether something matches."""
+    return bridge(_kinds(routes, ["method", "norm_path"]), _kinds(requests_, ["method", "norm_path", "interp", "method_inferred"]))
+
+
+def routes_left(routes: DataFrame, requests_: DataFrame) -> DataFrame:
+    """``unmatched_routes`` without making the pairs."""
+    found = kind_bridge(routes, requests_).select(F.col("route_method").alias("method"), F.col("route_path").alias("norm_path")).distinct()
+    met = routes.join(found, ["method", "norm_path"], "left_semi").select("file", "line", "method").distinct()
+    return routes.join(met, ["file", "line", "method"], "left_anti")
+
+
+def requests_left(routes: DataFrame, requests_: DataFrame) -> DataFrame:
+    """``unmatched_requests`` without making the pairs."""
+    key = ["method", "norm_path", "interp", "method_inferred"]
+    found = kind_bridge(routes, requests_).select(F.col("request_method").alias("method"), F.col("request_path").alias("norm_path"), "interp", "method_inferred").distinct()
+    same = [requests_[k].eqNullSafe(found[k]) for k in key]
+    met = requests_.join(found, same, "left_semi").select("file", "line").distinct()
+    return requests_.join(met, ["file", "line"], "left_anti")
+
+
 def unmatched_routes(routes: DataFrame, bridges: DataFrame) -> DataFrame:
     return routes.join(bridges.select(F.col("route_file").alias("file"), F.col("route_line").alias("line"), F.col("route_method").alias("method")).distinct(), ["file", "line", "method"], "left_anti")
 

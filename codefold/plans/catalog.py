@@ -475,14 +475,12 @@ def _bridge(spark, sf):
 
 @query("unmatched_routes", f"WITH {PAGES} SELECT file FROM rt WHERE file NOT IN (SELECT route_file FROM br)")
 def _unrouted(spark, sf):
-    routes = T.page_routes(spark, sf)
-    return web.unmatched_routes(routes, web.bridge(routes, T.page_requests(spark, sf))).select("file")
+    return web.routes_left(T.page_routes(spark, sf), T.page_requests(spark, sf)).select("file")
 
 
 @query("unmatched_requests", f"WITH {PAGES} SELECT file FROM rq WHERE file NOT IN (SELECT request_file FROM br)")
 def _unrequested(spark, sf):
-    requests = T.page_requests(spark, sf)
-    return web.unmatched_requests(requests, web.bridge(T.page_routes(spark, sf), requests)).select("file")
+    return web.requests_left(T.page_routes(spark, sf), T.page_requests(spark, sf)).select("file")
 
 
 @query("page_calls", "SELECT page_id || '.html' AS file, 1 + length(substr(html, 1, strpos(html, 'track(') - 1)) - length(replace(substr(html, 1, strpos(html, 'track(') - 1), chr(10), '')) AS line, 'track' AS name, CAST(1 AS INTEGER) AS arg_count FROM pages")
