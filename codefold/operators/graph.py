@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codefold.operators.pairs import dealt
 
 #: Folders made for applications without ``spark.checkpoint.dir``, by application.
 _OWN_DIRS: dict[str, str] = {}
@@ -37,22 +38,23 @@ def cut(df: DataFrame, path: str) -> DataFrame:
 def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None, up: bool = False) -> DataFrame:
     """``root, node, depth``: each node that the roots reach, at its least depth (roots at 0).
 
-    ``edges``: ``src, dst``; ``roots``: ``node``. Semi-naive: a round joins only
+    ``edges``: ``src, dst``; ``roots``: ``node``, and ``root`` where a root has
+    another name or several nodes at 0. Semi-naive: a round joins only
     the last frontier and removes what is known; the rounds end with the depth or
     an empty frontier, so cycles end too. A depth of ``ONE_PLAN`` or less is one
     plan, nothing written: a node met again deeper is dropped at the end.
     """
     steps = edges.select(F.col("dst" if up else "src").alias("at"), F.col("src" if up else "dst").alias("next")).filter("at IS NOT NULL AND next IS NOT NULL").distinct()
+    roots = roots.select(F.col("root" if "root" in roots.columns else "node").alias("root"), F.col("node")).distinct().withColumn("depth", F.lit(0))
     if depth is not None and depth <= ONE_PLAN:
-        level = out = roots.select(F.col("node").alias("root"), F.col("node")).distinct().withColumn("depth", F.lit(0))
+        level = out = roots
         for k in range(1, depth + 1):
             level = level.join(steps, F.col("node") == F.col("at")).select("root", F.col("next").alias("node")).distinct().withColumn("depth", F.lit(k))
             out = out.unionByName(level)
         return out.groupBy("root", "node").agg(F.min("depth").alias("depth"))
     spark, base = edges.sparkSession, scratch(edges.sparkSession)
     steps = cut(steps, f"{base}/edges")
-    frontier = roots.select(F.col("node").alias("root"), F.col("node")).distinct().withColumn("depth", F.lit(0))
-    frontier, parts, k = cut(frontier, f"{base}/level=0"), [], 0
+    frontier, parts, k = cut(roots, f"{base}/level=0"), [], 0
     while True:
         parts.append(f"{base}/level={k}")
         if (depth is not None and k >= depth) or frontier.isEmpty():
@@ -107,12 +109,29 @@ def reverse_to_roots(edges: DataFrame, targets: DataFrame, depth: int = 5, possi
 
 
 def blast(confirmed: DataFrame, unverified: DataFrame, targets: DataFrame, depth: int = 3) -> DataFrame:
-    """Callers of the targets: the confirmed closure, and one step of unverified callers around it (``tier``). Self-calls are left out."""
+    """Callers of the targets: the confirmed closure, and one step of unverified callers around it (``tier``). Self-calls are left out.
+
+    Targets with the same direct callers have all others in common too: these are
+    found once for each such group (two 64-bit sums over its callers), and rows
+    for each target are made last.
+    """
     loops = F.col("src") != F.col("dst")
-    trunk = closure(confirmed.filter(loops), targets, depth, up=True)
-    rim = trunk.filter(F.col("depth") < depth).join(unverified.filter(loops), F.col("node") == F.col("dst")).select("root", F.col("src").alias("node"), (F.col("depth") + 1).alias("depth"))
+    confirmed, unverified = confirmed.filter(loops), unverified.filter(loops)
+    roots = targets.select(F.col("node").alias("root")).distinct()
+    own = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit("confirmed").alias("tier"))
+    if depth < 1:
+        return own
+    direct = lambda edges, sure: edges.join(roots, F.col("dst") == F.col("root")).select("root", F.col("src").alias("node"), F.lit(sure).alias("sure"))
+    near = direct(confirmed, True).unionByName(direct(unverified, False)).distinct()
+    total = lambda k: F.sum(F.xxhash64(F.lit(k), "node", "sure").cast("decimal(38,0)")).cast("string")
+    groups = near.groupBy("root").agg(F.concat_ws(":", F.count("*").cast("string"), total(1), total(2)).alias("group"))
+    first = near.join(groups, "root").select(F.col("group").alias("root"), "node", "sure").distinct()
+    trunk = closure(confirmed, first.filter("sure").select("root", "node"), depth - 1, up=True).withColumn("depth", F.col("depth") + 1)
+    rim = trunk.filter(F.col("depth") < depth).join(unverified, F.col("node") == F.col("dst")).select("root", F.col("src").alias("node"), (F.col("depth") + 1).alias("depth"))
+    rim = rim.unionByName(first.filter("NOT sure").select("root", "node", F.lit(1).alias("depth")))
     rim = rim.groupBy("root", "node").agg(F.min("depth").alias("depth")).join(trunk.select("root", "node"), ["root", "node"], "left_anti")
-    return trunk.withColumn("tier", F.lit("confirmed")).unionByName(rim.withColumn("tier", F.lit("unverified")))
+    around = trunk.withColumn("tier", F.lit("confirmed")).unionByName(rim.withColumn("tier", F.lit("unverified"))).withColumnRenamed("root", "group")
+    return own.unionByName(dealt(groups, around, ["group"]).filter("root <> node").select("root", "node", "depth", "tier"))
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
