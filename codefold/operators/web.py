@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codefold.functions.text import joined_route, normal_route
+from codefold.operators.pairs import dealt
 
 #: Call patterns: side, language, receiver, method, framework. Fixed values.
 _VERBS = "get|post|put|delete|patch|options|head"
@@ -94,11 +95,12 @@ def requests(calls: DataFrame, files: DataFrame, patterns: DataFrame) -> DataFra
 def bridge(routes: DataFrame, requests_: DataFrame) -> DataFrame:
     """Requests with the routes they may reach: ``match`` exact, partial or uncertain, and ``confidence``.
 
-    Equal paths meet by an equi-join. A wildcard path and another meet if the
-    other begins with the whole segments before the first wildcard: one side's
-    stem is joined with the other's prefixes. A wildcard is one segment, so
-    where the pattern must fit the sizes are equal too. The regular expression
-    then looks at few pairs.
+    Paths meet first, each once. Equal ones meet by an equi-join. A wildcard path
+    and another meet if the other begins with the whole segments before the first
+    wildcard: one side's stem is joined with the other's prefixes. A wildcard is
+    one segment, so where the pattern must fit the sizes are equal too. The
+    regular expression then looks at few pairs of paths. The rows of either side
+    meet last, by these pairs, dealt so that a frequent path is no single task's.
     """
     left = requests_.filter("norm_path <> ''").select(F.col("file").alias("request_file"), F.col("line").alias("request_line"), F.col("method").alias("request_method"), F.col("norm_path").alias("request_path"), "interp", "method_inferred")
     right = routes.filter("norm_path <> ''").select(F.col("file").alias("route_file"), F.col("line").alias("route_line"), F.col("method").alias("route_method"), F.col("norm_path").alias("route_path"), "handler")
@@ -107,18 +109,25 @@ def bridge(routes: DataFrame, requests_: DataFrame) -> DataFrame:
     stem = lambda c: F.regexp_extract(c, r"^([^*]*/|)", 1)
     prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.greatest(size(c) - 1, F.lit(0))), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(F.split(c, "/"), 1, i), "/"), F.lit("/")))))
     as_regex = lambda c: F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.col(c), r"([.+?^${}()|\[\]\\])", r"\\$1"), r"\*", "[^/]+"), F.lit("$"))
-    equal = left.join(right, F.col("request_path") == F.col("route_path")).withColumn("match", F.when(wild("route_path"), "partial").otherwise("exact"))
+    # beside each pair of paths, the confidence of a method that is the same and of one that is inferred; both are rounded here, not for each pair of rows
+    scored = lambda base: [F.round(base, 2).alias("sure"), F.round(F.greatest(F.lit(0.0), base - 0.1), 2).alias("guess")]
+    asked, served = left.select("request_path").distinct(), right.select("route_path").distinct()
     differ = F.col("request_path") != F.col("route_path")
-    patterns = right.filter(wild("route_path")).withColumn("stem", stem("route_path")).withColumn("size", size("route_path")).withColumn("rx", as_regex("route_path"))
-    server = left.withColumn("size", size("request_path")).withColumn("stem", prefixes("request_path")).join(patterns, ["stem", "size"]).filter(differ & F.expr("request_path rlike rx")).withColumn("match", F.lit("partial")).drop("stem", "size", "rx")
-    loose = left.filter(wild("request_path") & F.col("interp")).withColumn("stem", stem("request_path")).withColumn("rx", as_regex("request_path")).withColumn("open", F.regexp_replace("request_path", r"\*+$", ""))
+    exact = F.when(wild("request_path"), F.lit("partial")).otherwise(F.lit("exact"))
+    equal = left.select("*", F.col("request_path").alias("route_path"), exact.alias("match"), *scored(F.when(wild("request_path"), 0.85).otherwise(1.0)))
+    patterns = served.filter(wild("route_path")).withColumn("stem", stem("route_path")).withColumn("size", size("route_path")).withColumn("rx", as_regex("route_path"))
+    server = asked.withColumn("size", size("request_path")).withColumn("stem", prefixes("request_path")).join(patterns, ["stem", "size"]).filter(differ & F.expr("request_path rlike rx"))
+    server = left.join(server.select("request_path", "route_path"), "request_path").select(*left.columns, "route_path", F.lit("partial").alias("match"), *scored(F.lit(0.85)))
+    open_ = left.filter(wild("request_path") & F.col("interp"))
+    loose = open_.select("request_path").distinct().withColumn("stem", stem("request_path")).withColumn("rx", as_regex("request_path")).withColumn("open", F.regexp_replace("request_path", r"\*+$", ""))
     fits = F.expr("route_path rlike rx") | (F.expr("startswith(route_path, open)") & wild("route_path"))
-    client = loose.join(right.withColumn("stem", prefixes("route_path")), "stem").withColumn("own", as_regex("route_path")).filter(differ & fits & ~(wild("route_path") & F.expr("request_path rlike own"))).withColumn("match", F.lit("uncertain")).drop("stem", "rx", "open", "own")
-    both = equal.unionByName(server).unionByName(client)
+    client = loose.join(served.withColumn("stem", prefixes("route_path")), "stem").withColumn("own", as_regex("route_path")).filter(differ & fits & ~(wild("route_path") & F.expr("request_path rlike own")))
+    client = right.join(client.select("request_path", "route_path"), "route_path").select(*right.columns, "request_path", F.lit("uncertain").alias("match"), *scored(F.lit(0.6)))
+    columns = [*left.columns, *right.columns, "match", "sure", "guess"]
+    both = dealt(equal.unionByName(server), right, ["route_path"]).select(*columns).unionByName(dealt(client, open_, ["request_path"]).select(*columns))
     inferred = F.col("route_method").isin("ALL", "USE") | (F.col("request_method") == "ALL")
     fits = inferred & ((F.col("route_method") != "USE") | F.col("method_inferred")) | (F.col("route_method") == F.col("request_method"))
-    base = F.when(F.col("match") == "exact", 1.0).when(F.col("match") == "partial", 0.85).otherwise(0.6)
-    return both.filter(fits).withColumn("confidence", F.round(F.greatest(F.lit(0.0), base - F.when(inferred, 0.1).otherwise(0.0)), 2))
+    return both.filter(fits).withColumn("confidence", F.when(inferred, F.col("guess")).otherwise(F.col("sure"))).drop("sure", "guess")
 
 
 def _kinds(rows: DataFrame, by: list[str]) -> DataFrame:
