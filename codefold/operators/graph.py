@@ -35,7 +35,19 @@ def cut(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None, up: bool = False) -> DataFrame:
+#: 64-bit words of the bit table that goes to all tasks: 8,388,608 bits, whatever the input.
+WORDS = 1 << 17
+
+
+def near_nodes(edges: DataFrame, column: str, nodes: DataFrame) -> DataFrame:
+    """The edges whose ``column`` is one of ``nodes`` (``node``), and a few others: what a bit table of fixed size lets through before anything is shuffled. The exact join must follow."""
+    spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(64 * WORDS))
+    words = nodes.select(spot("node").alias("_spot")).groupBy(F.expr("shiftright(_spot, 6)").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_spot & 63 AS int)))").alias("_bits"))
+    found = edges.withColumn("_spot", spot(column)).withColumn("_word", F.expr("shiftright(_spot, 6)")).join(F.broadcast(words), "_word")
+    return found.filter("getbit(_bits, cast(_spot & 63 AS int)) = 1").select(*edges.columns)
+
+
+def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None, up: bool = False, sparse: bool = False) -> DataFrame:
     """``root, node, depth``: each node that the roots reach, at its least depth (roots at 0).
 
     ``edges``: ``src, dst``; ``roots``: ``node``, and ``root`` where a root has
@@ -43,13 +55,16 @@ def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None, up: bo
     the last frontier and removes what is known; the rounds end with the depth or
     an empty frontier, so cycles end too. A depth of ``ONE_PLAN`` or less is one
     plan, nothing written: a node met again deeper is dropped at the end.
+    ``sparse``: few edges are met, so such a plan drops the others before it shuffles.
     """
-    steps = edges.select(F.col("dst" if up else "src").alias("at"), F.col("src" if up else "dst").alias("next")).filter("at IS NOT NULL AND next IS NOT NULL").distinct()
+    every = edges.select(F.col("dst" if up else "src").alias("at"), F.col("src" if up else "dst").alias("next")).filter("at IS NOT NULL AND next IS NOT NULL")
+    steps = every.distinct()
     roots = roots.select(F.col("root" if "root" in roots.columns else "node").alias("root"), F.col("node")).distinct().withColumn("depth", F.lit(0))
     if depth is not None and depth <= ONE_PLAN:
         level = out = roots
         for k in range(1, depth + 1):
-            level = level.join(steps, F.col("node") == F.col("at")).select("root", F.col("next").alias("node")).distinct().withColumn("depth", F.lit(k))
+            met = near_nodes(every, "at", level) if sparse else steps
+            level = level.join(met, F.col("node") == F.col("at")).select("root", F.col("next").alias("node")).distinct().withColumn("depth", F.lit(k))
             out = out.unionByName(level)
         return out.groupBy("root", "node").agg(F.min("depth").alias("depth"))
     spark, base = edges.sparkSession, scratch(edges.sparkSession)
@@ -113,7 +128,8 @@ def blast(confirmed: DataFrame, unverified: DataFrame, targets: DataFrame, depth
 
     Targets with the same direct callers have all others in common too: these are
     found once for each such group (two 64-bit sums over its callers), and rows
-    for each target are made last.
+    for each target are made last. Edges that no target or caller meets are
+    dropped before a shuffle; targets' groups and their callers are written once.
     """
     loops = F.col("src") != F.col("dst")
     confirmed, unverified = confirmed.filter(loops), unverified.filter(loops)
@@ -121,16 +137,19 @@ def blast(confirmed: DataFrame, unverified: DataFrame, targets: DataFrame, depth
     own = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit("confirmed").alias("tier"))
     if depth < 1:
         return own
-    direct = lambda edges, sure: edges.join(roots, F.col("dst") == F.col("root")).select("root", F.col("src").alias("node"), F.lit(sure).alias("sure"))
-    near = direct(confirmed, True).unionByName(direct(unverified, False)).distinct()
+    base = scratch(roots.sparkSession)
+    direct = lambda edges, sure: near_nodes(edges, "dst", targets).join(roots, F.col("dst") == F.col("root")).select("root", F.col("src").alias("node"), F.lit(sure).alias("sure"))
+    near = cut(direct(confirmed, True).unionByName(direct(unverified, False)).distinct(), f"{base}/near")
     total = lambda k: F.sum(F.xxhash64(F.lit(k), "node", "sure").cast("decimal(38,0)")).cast("string")
-    groups = near.groupBy("root").agg(F.concat_ws(":", F.count("*").cast("string"), total(1), total(2)).alias("group"))
-    first = near.join(groups, "root").select(F.col("group").alias("root"), "node", "sure").distinct()
-    trunk = closure(confirmed, first.filter("sure").select("root", "node"), depth - 1, up=True).withColumn("depth", F.col("depth") + 1)
-    rim = trunk.filter(F.col("depth") < depth).join(unverified, F.col("node") == F.col("dst")).select("root", F.col("src").alias("node"), (F.col("depth") + 1).alias("depth"))
+    groups = cut(near.groupBy("root").agg(F.concat_ws(":", F.count("*").cast("string"), total(1), total(2)).alias("group")), f"{base}/groups")
+    first = cut(near.join(groups, "root").select(F.col("group").alias("root"), "node", "sure").distinct(), f"{base}/first")
+    trunk = closure(confirmed, first.filter("sure").select("root", "node"), depth - 1, up=True, sparse=True).withColumn("depth", F.col("depth") + 1)
+    inner = trunk.filter(F.col("depth") < depth)
+    rim = inner.join(near_nodes(unverified, "dst", inner), F.col("node") == F.col("dst")).select("root", F.col("src").alias("node"), (F.col("depth") + 1).alias("depth"))
     rim = rim.unionByName(first.filter("NOT sure").select("root", "node", F.lit(1).alias("depth")))
     rim = rim.groupBy("root", "node").agg(F.min("depth").alias("depth")).join(trunk.select("root", "node"), ["root", "node"], "left_anti")
     around = trunk.withColumn("tier", F.lit("confirmed")).unionByName(rim.withColumn("tier", F.lit("unverified"))).withColumnRenamed("root", "group")
+    around = cut(around, f"{base}/around")
     return own.unionByName(dealt(groups, around, ["group"]).filter("root <> node").select("root", "node", "depth", "tier"))
 
 
