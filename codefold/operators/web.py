@@ -99,8 +99,10 @@ def bridge(routes: DataFrame, requests_: DataFrame) -> DataFrame:
     and another meet if the other begins with the whole segments before the first
     wildcard: one side's stem is joined with the other's prefixes. A wildcard is
     one segment, so where the pattern must fit the sizes are equal too. The
-    regular expression then looks at few pairs of paths. The rows of either side
-    meet last, by these pairs, dealt so that a frequent path is no single task's.
+    regular expression then looks at few pairs of paths. Methods are compared, and
+    confidences found, once for each pair of kinds (path and method). The rows of
+    either side meet last, by these pairs, dealt so that a frequent path is no
+    single task's; every pair of rows made is one of the result.
     """
     left = requests_.filter("norm_path <> ''").select(F.col("file").alias("request_file"), F.col("line").alias("request_line"), F.col("method").alias("request_method"), F.col("norm_path").alias("request_path"), "interp", "method_inferred")
     right = routes.filter("norm_path <> ''").select(F.col("file").alias("route_file"), F.col("line").alias("route_line"), F.col("method").alias("route_method"), F.col("norm_path").alias("route_path"), "handler")
@@ -109,25 +111,28 @@ def bridge(routes: DataFrame, requests_: DataFrame) -> DataFrame:
     stem = lambda c: F.regexp_extract(c, r"^([^*]*/|)", 1)
     prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.greatest(size(c) - 1, F.lit(0))), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(F.split(c, "/"), 1, i), "/"), F.lit("/")))))
     as_regex = lambda c: F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.col(c), r"([.+?^${}()|\[\]\\])", r"\\$1"), r"\*", "[^/]+"), F.lit("$"))
-    # beside each pair of paths, the confidence of a method that is the same and of one that is inferred; both are rounded here, not for each pair of rows
-    scored = lambda base: [F.round(base, 2).alias("sure"), F.round(F.greatest(F.lit(0.0), base - 0.1), 2).alias("guess")]
+    left = left.withColumn("guessed", F.coalesce("method_inferred", F.lit(False)))
+    ask, serve = ["request_path", "request_method", "guessed"], ["route_path", "route_method"]
     asked, served = left.select("request_path").distinct(), right.select("route_path").distinct()
+    pair = lambda match, base: ["request_path", "route_path", match.alias("match"), base.alias("base")]
     differ = F.col("request_path") != F.col("route_path")
-    exact = F.when(wild("request_path"), F.lit("partial")).otherwise(F.lit("exact"))
-    equal = left.select("*", F.col("request_path").alias("route_path"), exact.alias("match"), *scored(F.when(wild("request_path"), 0.85).otherwise(1.0)))
+    star = wild("request_path")
+    equal = asked.withColumn("route_path", F.col("request_path")).select(pair(F.when(star, F.lit("partial")).otherwise(F.lit("exact")), F.when(star, 0.85).otherwise(1.0)))
     patterns = served.filter(wild("route_path")).withColumn("stem", stem("route_path")).withColumn("size", size("route_path")).withColumn("rx", as_regex("route_path"))
     server = asked.withColumn("size", size("request_path")).withColumn("stem", prefixes("request_path")).join(patterns, ["stem", "size"]).filter(differ & F.expr("request_path rlike rx"))
-    server = left.join(server.select("request_path", "route_path"), "request_path").select(*left.columns, "route_path", F.lit("partial").alias("match"), *scored(F.lit(0.85)))
-    open_ = left.filter(wild("request_path") & F.col("interp"))
+    server = server.select(pair(F.lit("partial"), F.lit(0.85)))
+    open_ = left.filter(star & F.col("interp"))
     loose = open_.select("request_path").distinct().withColumn("stem", stem("request_path")).withColumn("rx", as_regex("request_path")).withColumn("open", F.regexp_replace("request_path", r"\*+$", ""))
     fits = F.expr("route_path rlike rx") | (F.expr("startswith(route_path, open)") & wild("route_path"))
     client = loose.join(served.withColumn("stem", prefixes("route_path")), "stem").withColumn("own", as_regex("route_path")).filter(differ & fits & ~(wild("route_path") & F.expr("request_path rlike own")))
-    client = right.join(client.select("request_path", "route_path"), "route_path").select(*right.columns, "request_path", F.lit("uncertain").alias("match"), *scored(F.lit(0.6)))
-    columns = [*left.columns, *right.columns, "match", "sure", "guess"]
-    both = dealt(equal.unionByName(server), right, ["route_path"]).select(*columns).unionByName(dealt(client, open_, ["request_path"]).select(*columns))
+    client = client.select(pair(F.lit("uncertain"), F.lit(0.6)))
     inferred = F.col("route_method").isin("ALL", "USE") | (F.col("request_method") == "ALL")
-    fits = inferred & ((F.col("route_method") != "USE") | F.col("method_inferred")) | (F.col("route_method") == F.col("request_method"))
-    return both.filter(fits).withColumn("confidence", F.when(inferred, F.col("guess")).otherwise(F.col("sure"))).drop("sure", "guess")
+    meets = inferred & ((F.col("route_method") != "USE") | F.col("guessed")) | (F.col("route_method") == F.col("request_method"))
+    confidence = F.round(F.when(inferred, F.greatest(F.lit(0.0), F.col("base") - 0.1)).otherwise(F.col("base")), 2).alias("confidence")
+    kinds = lambda paths, rows: paths.join(rows.select(*ask).distinct(), "request_path").join(right.select(*serve).distinct(), "route_path").filter(meets).select(*ask, *serve, "match", confidence)
+    columns = [*(c for c in left.columns if c != "guessed"), *right.columns, "match", "confidence"]
+    both = dealt(left.join(kinds(equal.unionByName(server), left), ask), right, serve).select(*columns)
+    return both.unionByName(dealt(right.join(kinds(client, open_), serve), open_, ask).select(*columns))
 
 
 def _kinds(rows: DataFrame, by: list[str]) -> DataFrame:
